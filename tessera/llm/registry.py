@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, line_dedup, media, token_counts
+from tessera.llm import licenses, line_dedup, media, mixing, token_counts, token_files
 from tessera.session import table
 
 #: op10: texts with more tokens are marked.
 TOKEN_LIMIT = 4096
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_digests(table(spark, sf_dir, "documents"))
 
@@ -63,6 +71,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
+        "op3_mixing": op3_mixing,
         "op5_media": op5_media,
         "op6_line_dedup": op6_line_dedup,
         "op9_licenses": op9_licenses,
