@@ -16,12 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = "[\\x20\\x09-\\x0D]"
+from tessera.session import cut
+
+#: The blanks [\\x20\\x09-\\x0D].
+BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", ""), UPPER, LOWER)
+    """The normalised line; ``lower`` is the same as A-Z to a-z, and faster, where all characters are ASCII."""
+    key = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.length(key) == F.octet_length(key), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
 
 def _digest(key: Column) -> Column:
@@ -32,23 +37,27 @@ def _digest(key: Column) -> Column:
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``id_col``, n_lines (before dropping), n_dropped and the reassembled ``text`` of every row.
 
-    Exchanges: digests by (digest, document), partial counts by digest, digests again to meet the common ones,
-    dropped positions by row, and each text once to meet its positions.
+    Exchanges: digests by (digest, document), partial counts by digest, digests again to meet the common ones (unless
+    those are few enough for Spark to broadcast), dropped positions by row, and each text once to meet its positions.
+    The digests and the common ones are written in between: texts are split into keys once, and the join starts from
+    exchanges of its own, which adaptive execution can split where one line is hot.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    lines = (
+    lines = cut(
         rows.select("id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .where(F.length("line") >= min_chars)
         .select("id", "h", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("id", "h", "pos", _digest(F.col("key")).alias("digest"))
+        .select("id", "h", "pos", _digest(F.col("key")).alias("digest")),
+        "lines",
     )
-    common = (
+    common = cut(
         lines.groupBy("digest", "id").agg(F.lit(1).alias("one"))
         .groupBy("digest").agg(F.count("one").alias("n_docs"), F.max("id").alias("keep"))
         .where(F.col("n_docs") >= min_docs)
-        .select("digest", "keep")
+        .select("digest", "keep"),
+        "common-lines",
     )
     # a row is known by id and text hash: rows that repeat both have the same lines and lose the same ones
     dropped = (
@@ -59,7 +68,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
     joined = (
         rows.withColumn("h", F.xxhash64("text")).alias("r")
-        .join(dropped.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.h") == F.col("d.h")), "left")
+        .join(dropped.hint("shuffle_hash").alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.h") == F.col("d.h")), "left")
         .select("r.id", "r.text", "d.gone", F.split("r.text", "\n", -1).alias("all"))
     )
     return joined.select(
