@@ -24,9 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    """The normalised line; ``lower`` is the same as A-Z to a-z, and faster, where all characters are ASCII."""
-    key = F.btrim(line, F.lit(BLANKS))
-    return F.when(F.length(key) == F.octet_length(key), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
+    """The normalised form of a stripped line; ``lower`` is A-Z to a-z, and faster, where all characters are ASCII."""
+    return F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def _digest(key: Column) -> Column:
@@ -44,12 +43,12 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    # array functions, one after another, so that each line is stripped and lower-cased once
+    stripped = F.transform(F.split("text", "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
+    keys = F.transform(stripped, lambda line: F.when(F.length(line) >= min_chars, line_key(line)))
+    marks = F.transform(keys, lambda key, pos: F.struct(pos.alias("pos"), _digest(key).alias("digest")))
     lines = cut(
-        rows.select("id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .where(F.length("line") >= min_chars)
-        .select("id", "h", "pos", line_key(F.col("line")).alias("key"))
-        .where(F.length("key") >= min_chars)
-        .select("id", "h", "pos", _digest(F.col("key")).alias("digest")),
+        rows.select("id", F.xxhash64("text").alias("h"), F.inline(F.filter(marks, lambda m: m["digest"].isNotNull()))).select("id", "h", "pos", "digest"),
         "lines",
     )
     common = cut(
@@ -68,7 +67,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
     joined = (
         rows.withColumn("h", F.xxhash64("text")).alias("r")
-        .join(dropped.hint("shuffle_hash").alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.h") == F.col("d.h")), "left")
+        .join(dropped.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.h") == F.col("d.h")), "left")
         .select("r.id", "r.text", "d.gone", F.split("r.text", "\n", -1).alias("all"))
     )
     return joined.select(
