@@ -17,6 +17,7 @@ and an empty result; columns other than the two named are left out.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ _BITS16 = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     if not len(ids) or int(ids.max()) < 1 << 16:
-        return _BITS16[ids]
+        return _BITS16[ids.astype(np.int32)]
     out = np.zeros(ids.shape, np.uint8)
     for k in range(4):
         part = (ids >> np.uint64(16 * k)) & np.uint64(0xFFFF)
@@ -72,10 +74,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = int(COUNT[selector])
         while reach < count:
             step = min(reach, count - reach)
-            shifted = np.zeros_like(most)
-            shifted[:, : BLOCK - step] = most[:, step:]
-            most, reach = np.maximum(most, shifted), reach + step
-        choice[most <= WIDTH[selector]] = selector
+            if most is bits:
+                most = bits.copy()
+            np.maximum(most[:, : BLOCK - step], most[:, step:].copy(), out=most[:, : BLOCK - step])
+            reach += step
+        np.copyto(choice, np.uint8(selector), where=most <= np.uint8(WIDTH[selector]))
     at, rows = np.zeros(n_blocks, np.int64), np.arange(n_blocks)
     took: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(rows):
@@ -83,25 +86,34 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         took.append((rows, at[rows], selector))
         at[rows] += COUNT[selector]
         rows = rows[at[rows] < sizes[rows]]
+    step = np.repeat(np.arange(len(took)), [len(x[0]) for x in took])
     row, pos, selector = (np.concatenate(x) for x in zip(*took, strict=True))
-    order = np.lexsort((pos, row))
-    row, pos, selector = row[order], pos[order], selector[order]
-    length = np.where(selector == 0, 2, 1)
-    place = np.cumsum(length) - length
-    words = np.zeros(int(length.sum()), np.uint64)
+    per_row = np.bincount(row, minlength=n_blocks)
+    escaped = selector == 0
+    if escaped.any():  # words that are two long move what follows them
+        order = np.lexsort((step, row))
+        length = np.where(escaped, 2, 1)[order]
+        place = np.empty(len(row), np.int64)
+        place[order] = np.cumsum(length) - length
+        per_row += np.bincount(row[escaped], minlength=n_blocks)
+    else:
+        place = (np.cumsum(per_row) - per_row)[row] + step
+    offsets = np.cumsum(per_row) - per_row
+    words = np.zeros(int(per_row.sum()), np.uint64)
+    flat, first = grid.ravel(), row * grid.shape[1] + pos
     for s in range(16):
         mine = np.flatnonzero(selector == s)
         if not len(mine):
             continue
+        to, begin = place[mine], first[mine]
         if s == 0:
-            words[place[mine] + 1] = grid[row[mine], pos[mine]]
+            words[to + 1] = flat[begin]
             continue
         word = np.full(len(mine), s << 60, np.uint64)
         for k in range(int(COUNT[s]) if WIDTH[s] else 0):
-            word |= grid[row[mine], pos[mine] + k] << (np.uint64(k) * WIDTH[s])
-        words[place[mine]] = word
-    begins = np.searchsorted(row, np.arange(n_blocks))
-    return words, place[begins]
+            word |= flat[begin + k] << (np.uint64(k) * WIDTH[s])
+        words[to] = word
+    return words, offsets
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
@@ -155,29 +167,30 @@ class Writer:
         self.temporary = f"{self.path}.{uuid.uuid4().hex}.part"
         self.file = self.fs.open_output_stream(self.temporary)
         self.file.write(MAGIC + struct.pack("<II", BLOCK, 0))
-        self.held: list[bytes] = []
+        self.held: list[np.ndarray] = []
         self.n_held = self.n_ids = self.n_words = 0
         self.offsets: list[np.ndarray] = []
         self.doc_ids: list[int | None] = []
         self.starts: list[int] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """``ids``: little-endian unsigned 32-bit integers."""
-        self.doc_ids.append(doc_id)
-        self.starts.append(self.n_ids + self.n_held)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents one after another: their ids, and the number of ids of each."""
+        self.doc_ids += doc_ids
+        self.starts += (np.cumsum(lengths) - lengths + self.n_ids + self.n_held).tolist()
         self.held.append(ids)
-        self.n_held += len(ids) // 4
+        self.n_held += len(ids)
         if self.n_held >= SLAB:
             self._code(self.n_held // BLOCK * BLOCK)
 
     def _code(self, n: int) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
-        words, offsets = encode(ids[:n])
-        self.file.write(words.astype("<u8").tobytes())
-        self.offsets.append(offsets + self.n_words)
-        self.n_words += len(words)
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        for begin in range(0, n, SLAB):
+            words, offsets = encode(ids[begin : min(n, begin + SLAB)])
+            self.file.write(words.astype("<u8").tobytes())
+            self.offsets.append(offsets + self.n_words)
+            self.n_words += len(words)
         self.n_ids += n
-        self.held, self.n_held = [ids[n:].tobytes()], len(ids) - n
+        self.held, self.n_held = [ids[n:]], len(ids) - n
 
     def close(self) -> None:
         self._code(self.n_held)
@@ -228,51 +241,131 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
                 parts = [ids[starts[doc] - base :]]
 
 
-#: Words remembered by each Python worker (about 150 MB); the memory is emptied beyond that.
-MEMO_WORDS = 600_000
+#: Bytes of text that are encoded together.
+PIECE_BYTES = 32 << 20
+
+#: Every white space, in RE2's notation.
+_WHITE = "[\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_WHITE_BLANK = _WHITE + " |  "
+#: Letters, then marks: the pre-tokenizer splits between the two.
+_STEM = "^(?P<a> [A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-/:-@\\[-`{-~]+)$"
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of ``values`` that begin at ``starts``, one after another."""
+    upto = np.cumsum(sizes)
+    index = np.repeat((starts - upto + sizes).astype(np.int64), sizes)
+    index += np.arange(len(index))
+    return values[index]
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, one call for all words not met before.
+    """Ids of whole texts by the tokenizers library, which sees every distinct word of a batch once.
 
-    A byte-level BPE splits a text before every blank that follows a non-blank, whatever comes after; the parts
-    between those places are encoded by the library once and remembered. Texts with another white space right
-    before a blank are cut only at places where the rule holds.
+    A byte-level BPE splits a text before every blank that follows a non-blank, whatever comes after, and between
+    letters and the marks behind them. The words between those places are made distinct by Arrow and encoded by the
+    library, and ids are put together by array operations. A text in which white space stands before a blank is
+    given to the library as a whole.
     """
 
-    def __init__(self, path_or_json: str):
+    def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(path_or_json)
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        fresh = [p for p in dict.fromkeys(parts) if p not in self.memo]
-        if fresh:
-            for part, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.memo[part] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        import re
-
-        if not text:
-            return b""
-        if re.search(r"\s ", text):
-            parts = re.split(r"(?<=\S)(?= )", text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]] if first or rest else []
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in parts])
-        except KeyError:
-            self._learn(parts)
-            return b"".join([memo[p] for p in parts])
+        self.library = Tokenizer.from_str(tokenizer_json)
+        vocab = self.library.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: one character of its name each
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+
+    def _ask(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of words, as parts one after another, and the number of ids of each word.
+
+        Words without inner white space are one text for the library, cut again by the byte lengths of its tokens.
+        """
+        parts, counts = [], []
+        step = 20_000
+        for i in range(0, len(words), step):
+            part = words.slice(i, step)
+            if pc.any(pc.match_substring_regex(part, "^[^ ]|^ $|. |" + _WHITE)).as_py():
+                found = [x.ids for x in self.library.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+                parts.append(np.array([i for ids in found for i in ids], np.uint32))
+                counts.append(np.array([len(ids) for ids in found], np.int64))
+                continue
+            ids = np.array(self.library.encode_batch_fast(["".join(part.to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.width[ids])
+            to = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.searchsorted(ends, to) + 1
+            if len(ids) != cuts[-1] or (ends[cuts - 1] != to).any():
+                raise ValueError("the tokenizer is not byte-level")
+            parts.append(ids)
+            counts.append(np.diff(cuts, prepend=0))
+        return parts, np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each): stems and marks are asked for apart, once."""
+        cut = pc.extract_regex(words, _STEM)
+        whole = pc.if_else(pc.is_null(cut), words, pc.struct_field(cut, "a"))
+        heads = whole.dictionary_encode()
+        tails = pc.struct_field(cut, "b").dictionary_encode()
+        # words with white space inside are few: they go last, so that the others are encoded as one text
+        forms = pa.concat_arrays([heads.dictionary, tails.dictionary.cast(pa.string())])
+        plain = pc.match_substring_regex(forms, "^ ?[^ ]+$")
+        plain = pc.and_(plain, pc.invert(pc.match_substring_regex(forms, _WHITE)))
+        plain = pc.and_(plain, pc.starts_with(forms, " ")).to_numpy(zero_copy_only=False).astype(bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        parts, counts = [], []
+        for half in (order[:n], order[n:]):
+            ids, sizes = self._ask(forms.take(pa.array(half)))
+            parts += ids
+            counts.append(sizes)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        sizes = np.zeros(len(forms), np.int64)
+        sizes[order] = np.concatenate(counts)
+        starts = np.zeros(len(forms), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        head = np.asarray(heads.indices).astype(np.int64)
+        tail = pc.fill_null(tails.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        tail = np.where(tail < 0, -1, tail + len(heads.dictionary))
+        pair = np.stack([head, tail], axis=1).ravel()
+        return _gather(ids, np.append(starts, 0)[pair], np.append(sizes, 0)[pair]), sizes[head] + np.append(sizes, 0)[tail]
+
+    def encode_batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with ``end_id`` after each, number of ids of each text)."""
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, _WHITE_BLANK)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        at = np.asarray(lists.offsets).astype(np.int64)
+        at -= at[0]
+        flat = lists.flatten()
+        distinct = flat.dictionary_encode()
+        words = pc.binary_join_element_wise("", distinct.dictionary, " ")
+        heads = pc.if_else(odd, texts, flat.take(pa.array(at[:-1])))
+        codes = np.asarray(distinct.indices).astype(np.int64)
+        codes[at[:-1]] = len(words) + np.arange(n)
+        codes = np.insert(codes, at[1:], len(words) + n)
+        table, sizes = self._table(words)
+        first, more = self._ask(heads)
+        table = np.concatenate([table, *first, np.array([end_id], np.uint32)])
+        sizes = np.concatenate([sizes, more, [1]])
+        starts = np.cumsum(sizes) - sizes
+        out = sizes[codes]
+        ids = _gather(table, starts[codes], out)
+        ends = np.cumsum(out)[at[1:] + np.arange(n)]
+        return ids, np.diff(ends, prepend=0)
+
+    def pieces(self, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """(document ids, ids, number of ids of each) of a batch's rows, about PIECE_BYTES of text at a time."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < batch.num_rows:
+            before = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, before + PIECE_BYTES, side="right")))
+            part = batch.slice(begin, end - begin)
+            yield part.column(0).to_pylist(), *self.encode_batch(part.column(1), end_id)
+            begin = end
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -296,13 +389,13 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
         tokenizer = spark.sparkContext.broadcast(file.read())  # a property of the tokenizer: 2 MB
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer.value), struct.pack("<I", end_id)
+        encoder = _encoder(tokenizer.value)
         path = f"{folder}/ids-{TaskContext.get().partitionId():06d}.s8b"
         writer = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_ids, ids, lengths in encoder.pieces(batch, end_id):
                 writer = writer or Writer(path)
-                writer.add(doc_id.as_py(), encoder.encode(text.as_py() or "") + end)
+                writer.add(doc_ids, ids, lengths)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_ids": [writer.n_ids], "n_docs": [len(writer.doc_ids)]})
