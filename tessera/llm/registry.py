@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, line_dedup, media, mixing, token_counts, token_files
+from tessera.llm import licenses, line_dedup, media, mixing, ngram_jaccard, token_counts, token_files
 from tessera.session import table
 
 #: op10: texts with more tokens are marked.
@@ -23,6 +24,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.components(table(spark, sf_dir, "documents"), n=3, threshold=Fraction(90, 100))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_digests(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op3_mixing": op3_mixing,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_media": op5_media,
         "op6_line_dedup": op6_line_dedup,
         "op9_licenses": op9_licenses,
