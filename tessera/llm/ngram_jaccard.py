@@ -28,6 +28,7 @@ left out of ``components`` and passed through by ``keep_one``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -91,21 +92,26 @@ class Levels:
     def __init__(self, threshold: Fraction):
         self.threshold = threshold
         self.begin = [1]
+        self.n_parts: dict[int, int] = {}
+
+    def _grow(self) -> None:
+        self.begin.append(int(self.begin[-1] / self.threshold) + 1)
 
     def of(self, size: int) -> int:
         while self.begin[-1] <= size:
-            self.begin.append(int(self.begin[-1] / self.threshold) + 1)
-        return int(np.searchsorted(self.begin, size, side="right")) - 1
+            self._grow()
+        return bisect.bisect_right(self.begin, size) - 1
 
     def differ(self, total: int) -> int:
         """The most tokens in which two linked sets with ``total`` tokens together can differ."""
         return int((1 - self.threshold) / (1 + self.threshold) * total)
 
     def parts(self, level: int) -> int:
-        self.of(self.begin[-1])
-        while len(self.begin) < level + 2:
-            self.of(self.begin[-1])
-        return self.differ(2 * (self.begin[level + 1] - 1)) + 1
+        if level not in self.n_parts:
+            while len(self.begin) < level + 2:
+                self._grow()
+            self.n_parts[level] = self.differ(2 * (self.begin[level + 1] - 1)) + 1
+        return self.n_parts[level]
 
 
 def bundles(tokens: np.ndarray, levels: Levels) -> np.ndarray:
@@ -120,7 +126,7 @@ def bundles(tokens: np.ndarray, levels: Levels) -> np.ndarray:
         begins = np.flatnonzero(np.diff(part, prepend=-1))
         # two sums of hashes: order doesn't matter, equal parts and only they agree
         total = np.add.reduceat(mixed[order], begins) ^ _mix(np.bitwise_xor.reduceat(tokens[order], begins))
-        value = _mix(total + part[begins].astype(np.uint64) * _M2 + np.uint64(own + guest) * _M1)
+        value = _mix(total + (part[begins] + ((own + guest) << 40)).astype(np.uint64) * _M2)
         out.append((value & ~np.uint64(1)) | np.uint64(guest))
     return np.concatenate(out)
 
