@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, line_dedup, media, mixing, ngram_jaccard, quality, token_counts, token_files
+from tessera.llm import decontamination, licenses, line_dedup, media, mixing, ngram_jaccard, quality, token_counts, token_files
 from tessera.session import table
 
 #: op10: texts with more tokens are marked.
@@ -55,6 +55,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.training_rows(table(spark, sf_dir, "labels")))
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_media": op5_media,
         "op6_line_dedup": op6_line_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
         "op9_licenses": op9_licenses,
         "op10_token_counts": op10_token_counts,
