@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, licenses, line_dedup, media, mixing, ngram_jaccard, quality, token_counts, token_files
-from tessera.session import table
+from tessera.llm import decontamination, licenses, line_dedup, media, mixing, ngram_jaccard, quality, sharding, token_counts, token_files
+from tessera.session import fresh_path, table
 
 #: op10: texts with more tokens are marked.
 TOKEN_LIMIT = 4096
@@ -20,6 +20,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stored = sharding.shard(docs, fresh_path(spark, "shards")).read()
+    return stored.select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP2_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -88,6 +97,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_media": op5_media,
@@ -100,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_licenses": _op9_sql()}
+    return {"op2_sharding": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_licenses": _op9_sql()}
