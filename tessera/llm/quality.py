@@ -104,11 +104,12 @@ class Model:
         df = (raw[:, :WORD_TERMS] > 0).sum(axis=0)
         self.idf = np.log((1 + len(raw)) / (1 + df)).astype(np.float32) + 1
         x = _weighted(raw, self.idf)
-        # leading right singular vectors from the smaller Gram matrix
-        values, vectors = np.linalg.eigh((x @ x.T if len(x) < x.shape[1] else x.T @ x).astype(np.float64))
-        top = np.argsort(-values)[: min(AXES, int((values > 1e-9).sum()))]
-        axes = x.T @ vectors[:, top] / np.sqrt(values[top]) if len(x) < x.shape[1] else vectors[:, top]
-        self.axes = axes.astype(np.float32)
+        # leading right singular vectors by subspace iteration: nothing larger than the sample itself is held
+        basis = np.random.default_rng(0).standard_normal((x.shape[1], min(AXES + 16, *x.shape))).astype(np.float32)
+        for _ in range(6):
+            basis = np.linalg.qr(x.T @ (x @ basis))[0]
+        _, values, turn = np.linalg.svd(x @ basis, full_matrices=False)
+        self.axes = (basis @ turn[: min(AXES, int((values > 1e-5).sum()))].T).astype(np.float32)
         self.points = _unit(x @ self.axes).astype(np.float32)
         self.labels = labels.astype(np.float32)
         self.share = float(share)
@@ -166,13 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = texts.mapInArrow(vectors, "label int, at binary, value binary").collect()
     if not found:
         return None
+    found.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["value"])))  # the model doesn't depend on their order
     raw = np.zeros((len(found), TERMS), np.float32)
     for i, r in enumerate(found):
         raw[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
-    y = np.array([r.label for r in found])
-    order = np.lexsort((*raw[:, :64].T, y))  # rows in an order of their own: the model doesn't depend on theirs
-    total = sum(counts.values())
-    return Model(raw[order], y[order], counts.get(1, 0) / total)
+    y = np.array([r["label"] for r in found])
+    return Model(raw, y, counts.get(1, 0) / sum(counts.values()))
 
 
 def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
