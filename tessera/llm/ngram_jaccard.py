@@ -45,9 +45,11 @@ from tessera.session import cut
 
 CHUNK_DOCS, CHUNK_TOKENS = 256, 200_000
 #: Bundles that one task of the grouping step gets, about.
-TASK_BUNDLES = 2_000_000
+TASK_BUNDLES = 500_000
+#: Bundles that are packed together.
+PACK_BYTES = 8 << 20
 #: Word hashes remembered by a worker; emptied beyond that.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -203,7 +205,7 @@ def _shared_bundles(sketched: DataFrame) -> DataFrame:
                 if (d := digest.as_py()) not in held:
                     held[d] = b.as_py()
                     size += len(held[d])
-                if size >= 32 << 20:
+                if size >= PACK_BYTES:
                     yield from flush()
                     held, size = {}, 0
         yield from flush()
