@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import knowledge
+from tessera.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+REGISTRIES = (knowledge.R,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for registry in REGISTRIES for name, query in registry.functions.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for registry in REGISTRIES for name, sql in registry.oracle_sql().items()}
