@@ -71,6 +71,34 @@ def safe_int(value: Column, default: int = 0) -> Column:
     return F.coalesce(value.try_cast("int"), F.lit(default))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: what a lambda mentions is computed at every element otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements whose running sums are built together.
+SUM_BLOCK = 64
+
+
+def running_sums(lengths: Column) -> Column:
+    """Running sums of an array of integers: in blocks, so that long arrays are not copied at every element."""
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
+        return F.aggregate(block, start, add)["out"]
+
+    def joined(blocks: Column) -> Column:
+        bases = within(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(bases, lambda base: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda n: n + F.coalesce(F.get(base, i - 1), F.lit(0))))))
+
+    def summed(all_: Column) -> Column:
+        begins = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1, F.lit(SUM_BLOCK))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(begins, lambda i: within(F.slice(all_, i + 1, F.lit(SUM_BLOCK)))), joined)
+
+    return let(F.coalesce(lengths, F.array().cast("array<int>")), summed)
+
+
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, token>> of the matches, in code points: gaps and matches one after another.
 
@@ -78,28 +106,20 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
-    steps = F.filter(zipped, lambda z: z["whole"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
 
-    def step(acc: Column, z: Column) -> Column:
-        end = acc["at"] + F.length(z["gap"]) + F.length(z["whole"])
-        item = F.struct((end - F.length(z["part"])).alias("start"), end.alias("end"), z["part"].alias("token"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def spans(steps: Column) -> Column:
+        ends = running_sums(F.transform(steps, lambda z: F.length(z["gap"]) + F.length(z["whole"])))
+        return F.zip_with(steps, ends, lambda z, end: F.struct((end - F.length(z["part"])).alias("start"), end.alias("end"), z["part"].alias("token")))
 
-    return F.aggregate(steps, start, step)["out"]
+    return let(F.filter(zipped, lambda z: z["whole"].isNotNull()), spans)
 
 
 def sentences(text: Column, pattern: str = SENTENCE_END) -> Column:
     """array<struct<start, end, sentence>>: pieces with the separator behind them; an empty tail goes."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("gap"))
     pieces = F.filter(F.transform(zipped, lambda z: F.concat(z["piece"], F.coalesce(z["gap"], F.lit("")))), lambda s: s != "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,sentence:string>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = acc["at"] + F.length(s)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), s.alias("sentence")))).alias("out"))
-
-    return F.aggregate(pieces, start, step)["out"]
+    place = lambda ps: F.zip_with(ps, running_sums(F.transform(ps, F.length)), lambda s, end: F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("sentence")))
+    return let(pieces, place)
 
 
 def chunks(tokens: Column, target: int = 250, overlap: int = 40) -> Column:
@@ -164,18 +184,30 @@ def first_json_array(text: Column) -> Column:
 
 
 def detokenize(tokens: Column) -> Column:
-    """struct<text, spans>: tokens joined with blanks where they belong, and the span of each token."""
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, raw: Column) -> Column:
-        token, text = F.coalesce(raw, F.lit("")), acc["text"]
-        last = F.right(text, F.lit(1))
-        tight = (token == "") | (text == "") | token.isin(*vocab.NO_SPACE_BEFORE) | last.isin(" ", "\n", *vocab.NO_SPACE_AFTER)
-        begin = F.length(text) + F.when(tight, 0).otherwise(1)
-        span = F.struct(begin.cast("int").alias("start"), (begin + F.length(token)).cast("int").alias("end"))
-        return F.struct(F.concat(text, F.when(tight, F.lit("")).otherwise(F.lit(" ")), token).alias("text"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    return F.aggregate(tokens, start, step)
+    """struct<text, spans>: tokens joined with blanks where they belong, and the span of each token.
+
+    A token's blank depends on it and the last non-empty token before it; empty tokens have empty spans.
+    """
+
+    def build(ts: Column) -> Column:
+        def before(i: Column) -> Column:
+            near = F.get(ts, i - 1)
+            far = F.element_at(F.filter(F.slice(ts, 1, F.greatest(i, F.lit(0))), lambda t: t != ""), -1)
+            return F.when(i == 0, F.lit("")).when(near != "", near).otherwise(F.coalesce(far, F.lit("")))
+
+        def piece(t: Column, i: Column) -> Column:
+            last = F.right(before(i), F.lit(1))
+            tight = (t == "") | (last == "") | t.isin(*vocab.NO_SPACE_BEFORE) | last.isin(" ", "\n", *vocab.NO_SPACE_AFTER)
+            return F.when(tight, t).otherwise(F.concat(F.lit(" "), t))
+
+        def spans(ps: Column) -> Column:
+            ends = running_sums(F.transform(ps, F.length))
+            place = F.zip_with(ts, ends, lambda t, end: F.struct((end - F.length(t)).alias("start"), end.alias("end")))
+            return F.struct(F.array_join(ps, "").alias("text"), place.alias("spans"))
+
+        return let(F.transform(ts, piece), spans)
+
+    return let(F.transform(tokens, lambda t: F.coalesce(t, F.lit(""))), build)
 
 
 def normalize_answer(text: Column) -> Column:

@@ -91,7 +91,7 @@ R.cte(
     "mentions",
     f"""SELECT *, {_sid('ent', "'mention'", 'mention_id')} AS entity_id, {_sid('ent', "'resolved'", 'entity_type', 'norm', 'source')} AS resolved_id FROM (
 SELECT doc_id, source, sent, pos, sentence, surface, CASE WHEN length(surface) % 5 = 0 THEN 'Location' WHEN source = 'narrative' THEN 'Character' ELSE 'Person' END AS entity_type,
-  {_norm_sql('surface')} AS norm, 0.5 AS confidence, {_sid('m', 'doc_id', 'sent', 'pos', 'surface')} AS mention_id FROM names)""",
+  {_norm_sql('surface')} AS norm, CAST(0.5 AS DOUBLE) AS confidence, {_sid('m', 'doc_id', 'sent', 'pos', 'surface')} AS mention_id FROM names)""",
 )
 
 
@@ -114,7 +114,7 @@ R.cte(
     "edges",
     """SELECT doc_id, source, sent AS chunk_id, sentence, CASE WHEN a_type = 'Location' THEN b_id ELSE a_id END AS source_entity_id,
   CASE WHEN (a_type = 'Location') <> (b_type = 'Location') THEN 'LOCATED_IN' ELSE 'INTERACTS_WITH' END AS predicate,
-  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, 0.5 AS confidence FROM pairs WHERE NOT (a_type = 'Location' AND b_type = 'Location')""",
+  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence FROM pairs WHERE NOT (a_type = 'Location' AND b_type = 'Location')""",
 )
 
 
@@ -271,7 +271,7 @@ def _(spark, sf_dir):
     return first_names(spark, sf_dir).select("chunk_id", "doc_id", "surface", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"))
 
 
-@R.query("txt14_merge_mentions", f"SELECT doc_id, start_char, end_char, {_norm_sql('surface')} AS norm, max(0.5) AS confidence FROM wide GROUP BY ALL")
+@R.query("txt14_merge_mentions", f"SELECT doc_id, start_char, end_char, {_norm_sql('surface')} AS norm, CAST(0.5 AS DOUBLE) AS confidence FROM wide GROUP BY ALL")
 def _(spark, sf_dir):
     rows = first_names(spark, sf_dir).withColumn("confidence", F.lit(0.5)).withColumn("mention_id", F.col("chunk_id"))
     merged = extraction.merge_mentions(rows, rows.withColumn("confidence", F.lit(0.4)))
@@ -554,7 +554,7 @@ def _named(spark, sf_dir, rows, kinds=("entity_type",)):
     return rows
 
 
-@R.query("cq02_top_interactions", "SELECT a.canonical_name AS source_name, b.canonical_name AS target_name, x.n, 0.5 AS avg_confidence FROM (SELECT source_entity_id, target_entity_id, count(*) AS n FROM clean_edges WHERE predicate = 'INTERACTS_WITH' GROUP BY ALL) x JOIN entities a ON a.entity_id = source_entity_id JOIN entities b ON b.entity_id = target_entity_id WHERE a.entity_type = 'Character' AND b.entity_type = 'Character' ORDER BY n DESC, source_entity_id, target_entity_id LIMIT 20")
+@R.query("cq02_top_interactions", "SELECT a.canonical_name AS source_name, b.canonical_name AS target_name, x.n, CAST(0.5 AS DOUBLE) AS avg_confidence FROM (SELECT source_entity_id, target_entity_id, count(*) AS n FROM clean_edges WHERE predicate = 'INTERACTS_WITH' GROUP BY ALL) x JOIN entities a ON a.entity_id = source_entity_id JOIN entities b ON b.entity_id = target_entity_id WHERE a.entity_type = 'Character' AND b.entity_type = 'Character' ORDER BY n DESC, source_entity_id, target_entity_id LIMIT 20")
 def _(spark, sf_dir):
     # counted by ids first: names are joined to one row a pair, not to every edge
     rows = edges(spark, sf_dir).where("predicate = 'INTERACTS_WITH' AND source_entity_id <> target_entity_id")
