@@ -213,7 +213,7 @@ def detokenize(tokens: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case without ASCII marks and articles, single blanks; null is empty."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[!-/:-@\\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "\\b(a|an|the)\\b", " "), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, "(?U)\\b(a|an|the)\\b", " "), "\\s+", " "))
 
 
 def answer_tokens(text: Column) -> Column:

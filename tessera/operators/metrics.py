@@ -25,15 +25,18 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def token_f1(prediction: Column, golds: Column) -> Column:
     """The best token F1 over the golds; two answers without tokens agree."""
-    mine = T.answer_tokens(prediction)
 
-    def f1(gold: Column) -> Column:
-        theirs = T.answer_tokens(gold)
-        same = _overlap(mine, theirs)
-        p, r = same / F.size(mine), same / F.size(theirs)
-        return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), (F.size(mine) == F.size(theirs)).cast("double")).when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
+    def f1(mine: Column, theirs: Column) -> Column:
+        def of(same: Column) -> Column:
+            p, r = same / F.size(mine), same / F.size(theirs)
+            return F.when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
 
-    return F.coalesce(F.array_max(F.transform(golds, f1)), F.lit(0.0))
+        none = (F.size(mine) == 0) | (F.size(theirs) == 0)
+        return F.when(none, (F.size(mine) == F.size(theirs)).cast("double")).otherwise(T.let(_overlap(mine, theirs), of))
+
+    tokens = F.transform(golds, T.answer_tokens)
+    best = T.let(T.answer_tokens(prediction), lambda mine: F.array_max(F.transform(tokens, lambda theirs: f1(mine, theirs))))
+    return F.coalesce(best, F.lit(0.0))
 
 
 def answer_scores(predictions: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def question_ends(questions: DataFrame, most: int = 3) -> DataFrame:
 def fallback_paths(triples: DataFrame, seeds: DataFrame, most: int = FALLBACK_PATHS) -> DataFrame:
     """(question_id, path): first edges at the seeds (question_id, node, rank), at most ``most``; else the first triple."""
     order = Window.partitionBy("question_id").orderBy("rank", "at")
-    near = seeds.join(adjacency(triples), (seeds["question_id"] == F.col("adj_q")) & (F.col("node") == F.col("u"))) if "adj_q" in triples.columns else seeds.join(adjacency(triples).withColumnRenamed("u", "node"), ["question_id", "node"])
+    near = seeds.join(adjacency(triples).withColumnRenamed("u", "node"), ["question_id", "node"])
     edges = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.array("node", "v").alias("path")))), lambda x: x["path"]).alias("paths"))
     first = triples.groupBy("question_id").agg(F.min_by(F.array("s", "o"), "idx").alias("first"))
     return first.join(edges, "question_id", "left").select("question_id", F.explode(F.coalesce("paths", F.array("first"))).alias("path"))
@@ -93,15 +93,16 @@ def template_question(triples: DataFrame) -> DataFrame:
     """(s, p, o, question) from one of three templates, chosen by hash of the triple."""
     clean = lambda c: F.replace(F.replace(c, F.lit("/m/"), F.lit("")), F.lit("_"), F.lit(" "))
     s, p = clean(F.col("s")), F.replace(F.substring_index("p", "/", -1), F.lit("_"), F.lit(" "))
-    pick = F.pmod(F.crc32(F.concat_ws("\t", "s", "p", "o").cast("binary")), F.lit(3))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("\t", "s", "p", "o").cast("binary")), 1, 8), 16, 10).cast("bigint") % 3
     question = F.when(pick == 0, F.concat(F.lit("What is the "), p, F.lit(" of "), s, F.lit("?"))).when(pick == 1, F.concat(F.lit("Find the "), p, F.lit(" for "), s)).otherwise(F.concat(F.lit("Which "), p, F.lit(" does "), s, F.lit(" have?")))
     return triples.select("s", "p", "o", question.alias("question"))
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
     """(question_id, a, b): neighbouring nodes of paths, the smaller first, each once."""
-    pairs = F.zip_with("path", F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(1))), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
-    return paths.where(F.size("path") > 1).select("question_id", F.inline(F.filter(pairs, lambda x: x["a"].isNotNull() & x["b"].isNotNull()))).distinct()
+    steps = F.greatest(F.size("path") - 1, F.lit(1))
+    pairs = F.zip_with(F.slice("path", 1, steps), F.slice("path", 2, steps), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+    return paths.where(F.size("path") > 1).select("question_id", F.inline(pairs)).distinct()
 
 
 def label_edges(triples: DataFrame, paths: DataFrame) -> DataFrame:

@@ -352,7 +352,7 @@ def _pattern_sql() -> str:
     for predicate, words, base, symmetric in PATTERNS:
         hits = " + ".join(f"CAST(contains(lower(sentence), '{w}') AS INT)" for w in words)
         for s, t in (("s", "t"), ("t", "s"))[: 2 if symmetric else 1]:
-            parts.append(f"SELECT doc_id, sent AS chunk_id, {s} AS source_entity_id, '{predicate}' AS predicate, {t} AS target_entity_id, round(least({base} + 0.05 * ({hits} - 1), 0.95), 6) AS confidence FROM few_pairs WHERE {hits} > 0")
+            parts.append(f"SELECT doc_id, sent AS chunk_id, {s} AS source_entity_id, '{predicate}' AS predicate, {t} AS target_entity_id, CAST(round(least({base} + 0.05 * ({hits} - 1), 0.95), 6) AS DOUBLE) AS confidence FROM few_pairs WHERE {hits} > 0")
     return " UNION ALL ".join(parts)
 
 
@@ -407,7 +407,7 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- resolution, quality, grounding
 
 
-@R.query("er01_lexical_entities", "SELECT entity_id, entity_type, canonical_name, array_to_string(list_filter(all_surfaces, x -> x <> canonical_name), '|') AS aliases, norm, mention_count FROM entities")
+@R.query("er01_lexical_entities", "SELECT entity_id, entity_type, canonical_name, array_to_string(list_filter(all_surfaces, lambda x: x <> canonical_name), '|') AS aliases, norm, mention_count FROM entities")
 def _(spark, sf_dir):
     found, _ = entities(spark, sf_dir)
     return found.select("entity_id", "entity_type", "canonical_name", F.array_join("aliases", "|").alias("aliases"), "norm", "mention_count")

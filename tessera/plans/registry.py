@@ -28,11 +28,11 @@ class Registry:
 
         return add
 
-    def _needed(self, sql: str, seen: list[str]) -> list[str]:
-        """Parts that ``sql`` names, those they need first."""
+    def _needed(self, sql: str, seen: list[str], open_: tuple[str, ...] = ()) -> list[str]:
+        """Parts that ``sql`` names, those they need first; a part may name itself."""
         for name in self.parts:
-            if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
-                self._needed(self.parts[name], seen)
+            if name not in seen and name not in open_ and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
+                self._needed(self.parts[name], seen, (*open_, name))
                 if name not in seen:
                     seen.append(name)
         return seen
@@ -42,8 +42,9 @@ class Registry:
         needed = self._needed(body, [])
         if not needed:
             return body
-        parts = ",\n".join(f"{n} AS MATERIALIZED ({self.parts[n]})" for n in needed)
-        return f"WITH {parts}\n{body}"
+        kind = lambda n: "" if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", self.parts[n]) else "MATERIALIZED "
+        parts = ",\n".join(f"{n} AS {kind(n)}({self.parts[n]})" for n in needed)
+        return f"WITH RECURSIVE {parts}\n{body}"
 
     def oracle_sql(self) -> dict[str, str]:
         return {name: self.sql(name) for name in self.bodies}
