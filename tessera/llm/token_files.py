@@ -287,7 +287,7 @@ class Encoder:
         step = 20_000
         for i in range(0, len(words), step):
             part = words.slice(i, step)
-            if pc.any(pc.match_substring_regex(part, "^[^ ]|^ $|. |" + _WHITE)).as_py():
+            if pc.any(pc.match_substring_regex(part, "^$|^[^ ]|^ $|. |" + _WHITE)).as_py():
                 found = [x.ids for x in self.library.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
                 parts.append(np.array([i for ids in found for i in ids], np.uint32))
                 counts.append(np.array([len(ids) for ids in found], np.int64))
