@@ -110,7 +110,7 @@ def _(spark, sf_dir):
 R.cte("vectors", "SELECT vec_id AS id, label AS scope, CAST(embedding AS DOUBLE[]) AS e FROM embeddings")
 R.cte("sim_pairs", "SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.e, b.e) AS s FROM vectors a JOIN vectors b ON a.scope = b.scope AND a.id < b.id")
 #: Similarities in the testdata lie lower than those of names: the thresholds are parameters.
-MERGE, CANDIDATE = 0.6, 0.4
+MERGE, CANDIDATE = 0.3, 0.2
 
 
 def _vectors(spark, sf_dir):
