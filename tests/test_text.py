@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import extraction
 
 STORIES = [
-    ("ro_story_001", "fiction", "Într-o zi, Ana se plimba prin parc. Acolo era și Mihai."),
+    ("story_1", "fiction", "Într-o zi, Ana se plimba prin parc. Acolo era și Mihai."),
     ("emoji", "fiction", "xAna Ștefan … 😀 Mihai Viteazul. Pe drum era Ion Popescu-Creangă! Ce?"),
     ("none", "history", ""),
     ("blank", "history", "  \n "),
@@ -68,7 +68,7 @@ def test_chunk_arguments():
 def test_regex_mentions(docs):
     rows = extraction.regex_mentions(extraction.chunk_documents(docs), "fiction").collect()
     found = sorted((r.doc_id, r.start_char, r.surface) for r in rows)
-    assert ("ro_story_001", 11, "Ana") in found and ("ro_story_001", 49, "Mihai") in found
+    assert ("story_1", 11, "Ana") in found and ("story_1", 49, "Mihai") in found
     assert not any(s in ("Într-o", "Acolo", "Ce") for _, _, s in found)
 
 
