@@ -39,11 +39,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     each step is one aggregation.
     """
     spark = nodes.sparkSession
-    ids = nodes.select("entity_id").distinct()
+    ids = cut(nodes.select("entity_id").distinct(), "pagerank-nodes")
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
-    both = undirected(edges)
+    both = cut(undirected(edges), "pagerank-edges")
     out = both.groupBy("u").agg(F.count(F.lit(1)).alias("out"))
     links = cut(both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).join(out, "u").join(ids.withColumnRenamed("entity_id", "v"), "v", "left_semi").select("u", "v", (F.col("k") / F.col("out")).alias("w")), "pagerank-links")
     now = cut(ids.withColumn("pagerank", F.lit(1.0 / n)), "pagerank")
@@ -62,7 +62,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(community, size, members) of components with more than one node; members sorted."""
-    ids = nodes.select("entity_id").distinct()
+    ids = cut(nodes.select("entity_id").distinct(), "community-nodes")
     inner = edges.join(ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
     found = connected_components(inner, "source_entity_id", "target_entity_id")
     return found.groupBy(F.col("component").alias("community")).agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("node")).alias("members")).where("size > 1")

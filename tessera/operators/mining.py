@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 PATHS, FALLBACK_PATHS = 8, 4
 
 
@@ -29,7 +31,7 @@ def shortest_paths(triples: DataFrame, ends: DataFrame, hops: int = 4) -> DataFr
     ``ends``: question_id, start, goal. Each hop is one join and keeps one path for every node reached, the one whose
     edges were inserted first along the way; a start that is its goal has no path of two nodes and is left out.
     """
-    steps = adjacency(triples).groupBy("question_id", "u", "v").agg(F.min("at").alias("at"))
+    steps = cut(adjacency(triples).groupBy("question_id", "u", "v").agg(F.min("at").alias("at")), "steps")
     walk = ends.where("start <> goal").select("question_id", "start", "goal", F.array("start").alias("path"), F.array().cast("array<bigint>").alias("key"))
     found = None
     key = ["question_id", "start", "goal"]
@@ -37,7 +39,7 @@ def shortest_paths(triples: DataFrame, ends: DataFrame, hops: int = 4) -> DataFr
         nxt = walk.withColumn("u", F.element_at("path", -1)).join(steps, ["question_id", "u"]).where(~F.array_contains("path", F.col("v")))
         nxt = nxt.select(*key, F.concat("path", F.array("v")).alias("path"), F.concat("key", F.array(F.col("at").cast("bigint"))).alias("key"), "v")
         # of the paths to one node the first in order of insertion is the one that breadth-first search keeps
-        nxt = nxt.groupBy(*key, "v").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key"))
+        nxt = cut(nxt.groupBy(*key, "v").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")), "paths")
         hit = nxt.where("v = goal").select(*key, "path")
         found = hit if found is None else found.unionByName(hit)
         walk = nxt.where("v <> goal").drop("v")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vocab
 from tessera.operators.relations import type_allows
+from tessera.session import cut
 
 
 class InvalidGraph(ValueError):
@@ -57,7 +58,9 @@ def quality_control(entities: DataFrame, mentions: DataFrame, relations: DataFra
     Order: self loop, missing end, type rule, then repeats of the canonical edge (symmetric ends sorted; the most
     confident stays).
     """
-    rated = entities.join(degrees(relations), "entity_id", "left").withColumn("junk", junk(F.col("canonical_name"), F.coalesce("degree", F.lit(0))))
+    # both are read several times below
+    relations = cut(relations, "qc-relations")
+    rated = cut(entities.join(degrees(relations), "entity_id", "left").withColumn("junk", junk(F.col("canonical_name"), F.coalesce("degree", F.lit(0)))), "qc-entities")
     kept = rated.where("NOT junk").drop("degree", "junk")
     kept_mentions = mentions.join(kept.select("entity_id"), "entity_id", "left_semi")
     kinds = kept.select("entity_id", "entity_type")

@@ -14,7 +14,7 @@ from tessera.functions import text as T
 from tessera.functions import vocab
 from tessera.operators import extraction, graph, quality_control, relations, resolution
 from tessera.plans.registry import Registry
-from tessera.session import table
+from tessera.session import spread, table
 from tessera.sources import writers
 
 R = Registry()
@@ -34,7 +34,7 @@ def _sql(pattern: str) -> str:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int")
     corpus = F.when(number % 2 == 0, "narrative").otherwise("historical")
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), corpus.alias("source"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), corpus.alias("source")))
 
 
 R.cte("docs", "SELECT doc_id, coalesce(text, '') AS text, CASE WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 = 0 THEN 'narrative' ELSE 'historical' END AS source FROM documents")

@@ -29,6 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Smaller inputs are not worth an exchange.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if its scan has fewer partitions than the session has cores.
+
+    One Parquet file with one row group is one task; a corpus of many files is left as it is.
+    """
+    execution, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    size = int(execution.optimizedPlan().stats().sizeInBytes())
+    if size < SPREAD_BYTES or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 _OWN_DIR: dict[str, str] = {}
 
 
