@@ -316,8 +316,9 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     sketched = cut(sketch(docs, n, threshold, id_col, text_col), "shingle-sketch")
     entries = cut(_shared_bundles(sketched), "shared-bundles")
     grouped = cut(entries.groupBy("digest").agg(F.min("first").alias("group")), "groups")
-    members = sketched.join(grouped, "digest").groupBy("digest", "group").agg(F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.min("id").alias("id"))
-    members = cut(members, "group-members")
+    # one row a set before the join: copies are combined ahead of the exchange and never meet in one task
+    reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.min("id").alias("id"))
+    members = cut(reps.join(grouped, "digest"), "group-members")
     chunks = members.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_TOKENS)).alias("chunks"))
     placed = cut(members.join(chunks, "group").withColumn("chunk", F.xxhash64("group", F.pmod(F.xxhash64("digest"), "chunks"))), "chunks")
     content = cut(placed.groupBy("chunk").agg(F.collect_list(F.struct("digest", "n", "bitmap")).alias("sets")), "chunk-content")
