@@ -12,7 +12,7 @@ import pytest
 from tessera.llm import decontamination, licenses, line_dedup, media, mixing, ngram_jaccard, quality, sharding, token_counts, token_files
 from tessera.session import fresh_path
 
-from .conftest import LINE, ROWS, make
+from .conftest import ROWS, make
 
 BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -93,7 +93,7 @@ def test_licenses(spark, docs, empty):
     assert licenses.find_licenses(docs, known).count() == len(ROWS)
     assert licenses.find_licenses(empty, known).count() == 0
     assert {r["license_id"] for r in licenses.find_licenses(docs, known.where("false")).collect()} == {None}
-    mit = dict(licenses.KNOWN_TEXTS)["MIT"] if False else next(t for n, t in licenses.KNOWN_TEXTS if n == "MIT")
+    mit = next(t for n, t in licenses.KNOWN_TEXTS if n == "MIT")
     changed = "Copyright (c) 2020 Some One\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ;")
     assert licenses.find_licenses(make(spark, [(1, changed, "a")]), known).first()["license_id"] == "MIT"
 
@@ -279,4 +279,3 @@ def test_size_tiers():
     assert sharding.plan([*small, shard(40 << 20), shard(sharding.TARGET_BYTES)]) == []
     merged = sharding.plan([shard(30 << 20, k) for k in range(9)])
     assert [len(g) for g in merged] == [4, 4]
-    assert LINE
