@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, metrics, mining, resolution
+from tessera.operators import graph, metrics, mining, quality_control, resolution
 from tessera.operators.components import connected_components
 from tessera.plans import knowledge
 from tessera.plans.registry import Registry
@@ -341,6 +341,40 @@ def _facts(spark, sf_dir):
     return table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("question_id"), F.col("doc_id").alias("fact_idx"), F.col("quality").alias("label"), (F.col("doc_id") * 37 % 101 / F.lit(101.0)).alias("prob"))
 
 
+@R.query("me1_normalized_answers", f"SELECT conv_id, turn, sha256({_NORM.format(x='text')}) AS sha FROM conversations")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.normalize_answer(F.col("text")).cast("binary"), 256).alias("sha"))
+
+
+@R.query("snk05_cypher_literals", "SELECT conv_id, turn, chr(39) || replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39) AS literal FROM conversations")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.cypher_string(F.col("text")).alias("literal"))
+
+
+@R.query("txt22_json_salvage", "SELECT event_id, props AS found FROM events")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.json_between(F.concat(F.lit("Answer: "), F.col("props"), F.lit(" done"))).alias("found"))
+
+
+@R.query("src07_flatten_graph", "SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY idx) - 1 AS idx, s, p, o FROM triples WHERE p = 'has_part'")
+def _(spark, sf_dir):
+    t = _triples(spark, sf_dir)
+    part = F.when(F.col("p") == "has_part", F.array("s", "p", "o")).otherwise(F.array("s", "o"))
+    nested = t.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", part.alias("t")))), lambda x: x["t"]).alias("graph"))
+    return mining.flatten_graph(nested).select("question_id", F.col("idx").cast("bigint").alias("idx"), "s", "p", "o")
+
+
+@R.query("hm06_direct_paths", "SELECT question_id, start || '|' || goal AS path FROM ends")
+def _(spark, sf_dir):
+    rows = _ends(spark, sf_dir).select("question_id", F.array("start").alias("q_entity"), F.array("goal").alias("a_entity"), F.array().cast("array<string>").alias("answer"))
+    return mining.direct_paths(rows).select("question_id", F.array_join("path", "|").alias("path"))
+
+
+@R.query("tk10_sample_triples")
+def _(spark, sf_dir):
+    return quality_control.audit_sample(_triples(spark, sf_dir), 1000, 13)
+
+
 @R.query("me6_retrieval", "SELECT question_id, round(CASE WHEN c > 0 THEN h / c ELSE 0 END, 9) AS precision, round(CASE WHEN r > 0 THEN h / r ELSE 0 END, 9) AS recall, h > 0 AS any_relevant FROM (SELECT question_id, count(*) FILTER (WHERE prob >= 0.5) AS c, count(*) FILTER (WHERE label = 1) AS r, count(*) FILTER (WHERE label = 1 AND prob >= 0.5) AS h FROM facts GROUP BY question_id)")
 def _(spark, sf_dir):
     return metrics.retrieval_scores(_facts(spark, sf_dir)).select("question_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "any_relevant")

@@ -420,6 +420,15 @@ def _(spark, sf_dir):
     return resolution.remap(m, mapping, "entity_id").select("mention_id", "entity_id")
 
 
+@R.query("jn09_remapped_relations", "SELECT a.doc_id, a.sent, a.pos, a.resolved_id AS source_entity_id, b.resolved_id AS target_entity_id FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.sent = b.sent AND b.pos = a.pos + 1")
+def _(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    _, mapping = entities(spark, sf_dir)
+    nxt = m.select("doc_id", "sent", (F.col("pos") - 1).alias("pos"), F.col("entity_id").alias("target_entity_id"))
+    rows = m.select("doc_id", "sent", "pos", F.col("entity_id").alias("source_entity_id")).join(nxt, ["doc_id", "sent", "pos"])
+    return resolution.remap(rows, mapping, "source_entity_id", "target_entity_id").select("doc_id", F.col("sent").cast("bigint").alias("sent"), F.col("pos").cast("bigint").alias("pos"), "source_entity_id", "target_entity_id")
+
+
 @R.query("ag08_members", "SELECT resolved_id AS entity_id, count(DISTINCT entity_id) AS n_members, min(entity_id) AS first_member FROM mentions GROUP BY ALL")
 def _(spark, sf_dir):
     _, mapping = entities(spark, sf_dir)
