@@ -47,9 +47,9 @@ CHUNK_DOCS, CHUNK_TOKENS = 256, 200_000
 #: Bundles that one task of the grouping step gets, about.
 TASK_BUNDLES = 500_000
 #: Bundles that are packed together.
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 #: Word hashes remembered by a worker; emptied beyond that.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -158,8 +158,8 @@ def sketch(docs: DataFrame, n: int, threshold: Fraction, id_col: str, text_col:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(threshold)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for begin in range(0, batch.num_rows, 250):
+                part = batch.slice(begin, 250)
                 sets = [shingles(x.as_py(), n) for x in part.column(1)]
                 columns = [
                     part.column(0),

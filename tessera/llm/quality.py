@@ -35,7 +35,7 @@ TERMS = WORD_TERMS + SHAPE_TERMS + 3 * BINS
 #: Weights of the three kinds of terms in a vector.
 KIND_WEIGHT = (0.5, 1.0, 1.0)
 #: Texts that are handled together.
-BLOCK_ROWS, BLOCK_BYTES = 1000, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 250, 2 << 20
 #: Votes are similarities to this power.
 SHARPNESS = 8.0
 THRESHOLD = 0.7
