@@ -336,11 +336,13 @@ PATTERNS = (("LOVES", ("that", "the "), 0.85, True), ("KILLS", ("ing",), 0.9, Fa
 INDICATORS = (("BEFORE", ("hein",)), ("AFTER", ("andin",)))
 
 
-def _few_per_sentence(spark, sf_dir):
-    """Sentences as chunks with their first three names and places inside the sentence."""
-    rows = sentence_mentions(spark, sf_dir).withColumn("m", F.slice("mentions", 1, 3))
-    at = F.transform("m", lambda m: F.struct(m["entity_id"].alias("entity_id"), m["entity_type"].alias("entity_type"), (F.instr(F.col("sentence"), m["surface"]) - 1).cast("int").alias("start_char"), (F.instr(F.col("sentence"), m["surface"]) - 1 + F.length(m["surface"])).cast("int").alias("end_char")))
-    return rows.select(F.col("sent").alias("chunk_id"), "doc_id", "source", F.lit(0).alias("start_char"), F.col("sentence").alias("text"), at.alias("mentions"))
+def _chunk_mentions(spark, sf_dir):
+    """Every chunk with all its names and their places in the document."""
+    kind = lambda w: F.when(F.length(w) % 5 == 0, "Location").when(F.col("source") == "narrative", "Character").otherwise("Person")
+    entity = lambda w: T.stable_id("ent", F.lit("resolved"), kind(w), T.normalize_mention(w), F.col("source"))
+    found = F.filter(T.match_spans(F.col("text"), T.CAPITAL_RUN, 1), lambda m: m["token"].rlike(T.CAPITAL_WORD) & T.is_name(m["token"]))
+    at = F.transform(found, lambda m: F.struct(entity(m["token"]).alias("entity_id"), kind(m["token"]).alias("entity_type"), (F.col("start_char") + m["start"]).alias("start_char"), (F.col("start_char") + m["end"]).alias("end_char")))
+    return chunks(spark, sf_dir).select("chunk_id", "doc_id", "source", "start_char", "text", at.alias("mentions"))
 
 
 R.cte("few", "SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) AS k FROM mentions WHERE pos < 3")
@@ -358,15 +360,15 @@ def _pattern_sql() -> str:
 
 @R.query("rel03_semantic_patterns", _pattern_sql())
 def _(spark, sf_dir):
-    found = relations.semantic_relations(_few_per_sentence(spark, sf_dir), patterns=PATTERNS)
-    return found.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "source_entity_id", "predicate", "target_entity_id", F.round("confidence", 6).alias("confidence"))
+    found = relations.semantic_relations(_chunk_mentions(spark, sf_dir), patterns=PATTERNS)
+    return found.select("doc_id", "chunk_id", "source_entity_id", "predicate", "target_entity_id", F.round("confidence", 6).alias("confidence"))
 
 
 @R.query("rel04_temporal", "SELECT doc_id, sent AS chunk_id, s AS source_entity_id, CASE WHEN contains(lower(sentence), 'hein') THEN 'BEFORE' ELSE 'AFTER' END AS predicate, t AS target_entity_id FROM few_pairs WHERE s_type = 'Location' AND t_type = 'Location' AND (contains(lower(sentence), 'hein') OR contains(lower(sentence), 'andin'))")
 def _(spark, sf_dir):
-    rows = _few_per_sentence(spark, sf_dir)
+    rows = _chunk_mentions(spark, sf_dir)
     events = rows.withColumn("mentions", F.transform("mentions", lambda m: m.withField("entity_type", F.when(m["entity_type"] == "Location", "Event").otherwise(m["entity_type"]))))
-    return relations.temporal_relations(events, indicators=INDICATORS).select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "source_entity_id", "predicate", "target_entity_id")
+    return relations.temporal_relations(events, indicators=INDICATORS).select("doc_id", "chunk_id", "source_entity_id", "predicate", "target_entity_id")
 
 
 @R.query("rel05_entity_table", "SELECT doc_id, sent, rank, surface FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY length(surface), entity_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent, norm ORDER BY length(surface), pos) AS one FROM mentions WHERE norm <> '') WHERE one = 1) WHERE rank <= 25")
