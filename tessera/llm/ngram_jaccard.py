@@ -5,8 +5,10 @@ result is each document's component under the links. No link is lost, whatever t
 
 1. Sketch. Each set gets a digest, a bitmap of its hashed tokens and its bundles. A set's size puts it in a level;
    levels are so wide that linked sets are in the same or in neighbouring levels. In a level, tokens are dealt by
-   hash into one part more than two linked sets can differ in, so linked sets have an equal non-empty part: a
-   bundle. A set shows its bundles at its own level and at the next.
+   hash into one part more than two linked sets can differ in, so linked sets have an equal part: a bundle, unless
+   it is empty. If all their equal parts are empty, the two differ in every part that has tokens; a set with so few
+   of those that a linked set may differ in all of them shows its first tokens in hash order too, so many that two
+   such linked sets have one in common. A set shows its bundles at its own level and at the next.
 2. Group. Sets that share bundles are put in one group by the smallest digest they meet; a group is split into
    chunks of at most ``CHUNK_DOCS`` sets and about ``CHUNK_TOKENS`` tokens. The matrix of bundles and chunks gives the pairs of
    chunks that may hold a link.
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -115,9 +118,25 @@ class Levels:
             self.n_parts[level] = self.differ(2 * (self.begin[level + 1] - 1)) + 1
         return self.n_parts[level]
 
+    def first_tokens(self, size: int, level: int, guest: int, filled: int) -> int:
+        """How many first tokens a set with ``filled`` non-empty parts must show for the links that parts may miss.
+
+        These are links with a set that differs in all of the parts, so in ``filled`` tokens or more. Two linked sets
+        with an overlap of o or more have a token in common among the first size - o + 1 of each.
+        """
+        k, t = self.parts(level), self.threshold
+        if filled == k or filled > self.differ(size + min(self.begin[level + 1] - 1, int(size / t))):
+            return 0
+        least = self.begin[level] if guest else math.ceil(t * size)
+        overlap = max(math.ceil(t / (1 + t) * (size + least)), math.ceil(t / (1 - t) * filled))
+        return max(size - overlap + 1, 0)
+
 
 def bundles(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """One 64-bit value for each non-empty part, at the own level and the next; the lowest bit tells which."""
+    """One 64-bit value for each non-empty part, at the own level and the next; the lowest bit tells which.
+
+    Where empty parts may hide a link, first tokens (``Levels.first_tokens``) are bundles too.
+    """
     own = levels.of(len(tokens))
     mixed, spread, out = _mix(tokens ^ _M2), _mix(tokens + _M1), []
     for guest in (0, 1):
@@ -129,6 +148,8 @@ def bundles(tokens: np.ndarray, levels: Levels) -> np.ndarray:
         # two sums of hashes: order doesn't matter, equal parts and only they agree
         total = np.add.reduceat(mixed[order], begins) ^ _mix(np.bitwise_xor.reduceat(tokens[order], begins))
         value = _mix(total + (part[begins] + ((own + guest) << 40)).astype(np.uint64) * _M2)
+        first = tokens[: levels.first_tokens(len(tokens), own + guest, guest, len(begins))]
+        value = np.concatenate([value, _mix(_mix(first ^ _M3) + np.uint64((own + guest) << 40))])
         out.append((value & ~np.uint64(1)) | np.uint64(guest))
     return np.concatenate(out)
 

@@ -138,6 +138,25 @@ def test_ngram_jaccard(spark, docs, empty, n, threshold):
         assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 5, 6, 7, 8, 9, 10, 11]
 
 
+@pytest.mark.parametrize("threshold", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_linked_sets_share_a_bundle(threshold):
+    """Sets that are linked, but only just, meet in a bundle that not only guests hold."""
+    rng, levels, pairs = np.random.default_rng(7), ngram_jaccard.Levels(threshold), 0
+    for size in range(1, 41):
+        for other in range(size, int(size / threshold) + 1):
+            both = -(-threshold.numerator * (size + other) // (threshold.numerator + threshold.denominator))
+            if both > size:
+                continue
+            for _ in range(10):
+                tokens = np.unique(rng.integers(0, 1 << 63, size + other - both, dtype=np.uint64))
+                rng.shuffle(tokens)
+                a, b = np.sort(tokens[:size]), np.sort(tokens[size - both :])
+                shown = [{v >> 1: v & 1 for v in ngram_jaccard.bundles(s, levels).tolist()[::-1]} for s in (a, b)]
+                assert any(not (shown[0][v] and shown[1][v]) for v in shown[0].keys() & shown[1].keys()), (size, other)
+                pairs += 1
+    assert pairs > 500
+
+
 def test_near_copies_in_chunks(spark, monkeypatch):
     """A group larger than a chunk, in which only neighbours link."""
     monkeypatch.setattr(ngram_jaccard, "CHUNK_DOCS", 4)
