@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, drop_cut
 
 #: Steps before giving up; a component of n nodes needs about log2(n).
 MAX_ROUNDS = 64
@@ -33,17 +33,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
-    Nodes of any orderable type; self loops and repeated edges are allowed. Minima are combined before each
-    exchange and hubs are split by adaptive joins, so no node's neighbours meet in one task. Each round is written
-    to the shared folder.
+    Nodes of any orderable type; self loops and repeated edges are allowed. Repeats go before the first round. Minima
+    are combined before each exchange and hubs are split by adaptive joins, so no node's neighbours meet in one task.
+    Each round is written to the shared folder, and the one before it is deleted.
     """
-    loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"), F.col(src).alias("component")).distinct()
-    now = cut(edges.where(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u")).select("u", "v").distinct(), "components")
-    seen = None
+    pairs = cut(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u")).distinct(), "component-edges", few=True)
+    loops = pairs.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    now, seen = pairs.where("u <> v").select("u", "v"), None
     for _ in range(MAX_ROUNDS):
-        now = cut(_small_star(_large_star(now)), "components")
+        was, now = now, cut(_small_star(_large_star(now)), "components", few=True)
+        drop_cut(was)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             break
         seen = state
     else:

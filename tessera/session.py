@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 
 def local_session(cores: int = 8, app: str = "tessera") -> SparkSession:
@@ -45,17 +50,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores)
 
 
+#: Bytes of one Arrow batch between Spark and a Python worker. Rows of the operators hold whole texts and blocks of
+#: sets: a batch that only counts rows would grow with them.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless it has a smaller bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key, None)
+    if found is None or not found.isdigit() or int(found) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a session that runs in one machine's JVM; others are refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, _OWN_DIR[app].removeprefix("file://"), ignore_errors=True)
     return _OWN_DIR[app]
 
 
@@ -64,12 +88,43 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str = "cut", compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row: an order among rows that doesn't depend on partitions but for equal rows."""
+    simple = lambda c: isinstance(df.schema[c].dataType, AtomicType)
+    return F.xxhash64(*(F.col(c) if simple(c) else F.to_json(F.struct(c)) for c in df.columns))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI with the scheme that Spark resolves it by, so that other readers find the same place."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub(r"^file:/+", "file:///", found)
+
+
+#: Tasks a core that write a result marked ``few``, at most.
+FEW_A_CORE = 4
+
+
+def cut(df: DataFrame, name: str = "cut", compression: str = "zstd", few: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``few`` is for results of an exchange that are small next to the input: a fixed number of tasks a core writes
+    them, so that many shuffle partitions don't become as many tiny files.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = df.coalesce(FEW_A_CORE * spark.sparkContext.defaultParallelism) if few else df
+    rows.write.option("compression", compression).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for ``frames``; for state that nothing reads any more."""
+    for frame in frames:
+        if (path := getattr(frame, "_cut_path", None)) is not None:
+            drop_path(frame.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
