@@ -19,13 +19,15 @@ result is each document's component under the links. No link is lost, whatever t
    product, and every pair of chunks gives its links as stars, not as pairs.
 5. Components of the stars.
 
-Equal sets are one set from step 1 on, so copies are never paired. Work on a large group of near copies grows with
-the pairs of its chunks (65,536 set pairs each), as blocks of bounded size in separate tasks.
+Equal sets are one set from step 1 on, so copies are never paired. Work on a large group of near copies that are not
+equal grows with the square of its chunks: k chunks give up to k * k / 2 pairs of chunks (65,536 set pairs each), as
+blocks of bounded size in separate tasks, and each pair carries the bitmaps of its two chunks.
 
 Cases: null, empty and wordless texts have the empty set, link with nothing and are their own component (their id);
 fewer words than ``n`` are one shingle, the whole sequence; rows that repeat an id are each judged by their own
-text; texts of any length are used whole; empty tables give empty results; columns other than the two named are
-left out of ``components`` and passed through by ``keep_one``.
+text, in ``keep_one`` too; a null id is no component's id unless all of its rows have none; texts of any length are
+used whole; empty tables give empty results; columns other than the two named are left out of ``components`` and
+passed through by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,20 +42,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.session import cut
+from tessera.session import cut, drop_cut, row_hash, small_batches
 
 CHUNK_DOCS, CHUNK_TOKENS = 256, 200_000
-#: Bundles that one task of the grouping step gets, about.
+#: Bundles that the grouping step holds at a time, about.
 TASK_BUNDLES = 500_000
-#: Bundles that are packed together.
+#: Bytes of bundles that are packed together.
 PACK_BYTES = 4 << 20
+#: Chunks on one side of a tile of chunk pairs.
+TILE = 64
 #: Word hashes remembered by a worker; emptied beyond that.
 MEMO_WORDS = 100_000
 
+#: The blanks between words, [\\x20\\x09-\\x0D].
+BLANKS = " \t\n\x0b\f\r"
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -172,8 +179,12 @@ def _unfold(bitmaps: list[bytes]) -> np.ndarray:
     return rows
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def sketch(docs: DataFrame, n: int, threshold: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, bundles, bitmap) of every row; digest and the rest are null for the empty set."""
+    """(id, h: hash of the text, n, digest, bundles, bitmap) of every row; the last three are null for the empty set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,30 +192,25 @@ def sketch(docs: DataFrame, n: int, threshold: Fraction, id_col: str, text_col:
         for batch in batches:
             for begin in range(0, batch.num_rows, 250):
                 part = batch.slice(begin, 250)
-                sets = [shingles(x.as_py(), n) for x in part.column(1)]
+                sets = [shingles(x.as_py(), n) for x in part.column(2)]
                 columns = [
                     part.column(0),
+                    part.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([bundles(s, levels).tobytes() if len(s) else None for s in sets], pa.binary()),
                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "bundles", "bitmap"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "n", "digest", "bundles", "bitmap"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(make, f"id {kind}, n bigint, digest binary, bundles binary, bitmap binary")
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(make, f"id {kind}, h bigint, n bigint, digest binary, bundles binary, bitmap binary")
 
 
-def _shared_bundles(sketched: DataFrame) -> DataFrame:
-    """(bundle, digest, first): the sets that share a bundle with another, and the smallest digest of the bundle.
+def _pack(parts: int):
+    """Bundles dealt into parts, a few packed rows at a time: (part, bundles, owner among the digests, digests)."""
 
-    Bundles travel packed, a few rows a task; each task sorts its own and drops those of one set only.
-    """
-    spark = sketched.sparkSession
-    total = sketched.agg(F.sum(F.octet_length("bundles")) / 8).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_BUNDLES) + 1)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, bytes] = {}
         size = 0
 
@@ -231,39 +237,83 @@ def _shared_bundles(sketched: DataFrame) -> DataFrame:
                     held, size = {}, 0
         yield from flush()
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one part at a time would need sorted input; values of different parts differ, so a task takes all it has
-        values, owner, digests, n = [], [], [], 0
-        for batch in batches:
-            for v, o, d in zip(*batch.columns[1:], strict=True):
-                values.append(np.frombuffer(v.as_py(), np.uint64))
-                owner.append(np.frombuffer(o.as_py(), np.uint32).astype(np.int64) + n)
-                digests.append(np.frombuffer(d.as_py(), "V16"))
-                n += len(digests[-1])
-        if not values:
-            return
-        values, owner = np.concatenate(values), np.concatenate(owner)
-        digests, same = np.unique(np.concatenate(digests).view("u1").reshape(-1, 16), axis=0, return_inverse=True)
-        owner = same.reshape(-1)[owner]
-        bundle, guest = values >> np.uint64(1), values & np.uint64(1)
-        order = np.lexsort((owner, bundle))
-        bundle, guest, owner = bundle[order], guest[order], owner[order]
-        fresh = np.ones(len(bundle), bool)
-        fresh[1:] = (bundle[1:] != bundle[:-1]) | (owner[1:] != owner[:-1])
-        bundle, guest, owner = bundle[fresh], guest[fresh], owner[fresh]
-        begins = np.flatnonzero(np.diff(bundle, prepend=bundle[:1] ^ np.uint64(1)))
-        sizes = np.diff(np.append(begins, len(bundle)))
-        # two guests of a level link at their own level, where they share a bundle too
-        useful = (sizes > 1) & (np.minimum.reduceat(guest, begins) == 0)
-        keep = np.repeat(useful, sizes)
-        first = np.repeat(owner[begins], sizes)[keep]
-        raw = [digests[i].tobytes() for i in range(len(digests))]
-        bundle, owner = bundle[keep].astype(np.int64), owner[keep]
-        for i in range(0, len(bundle), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(bundle[i : i + 50_000], pa.int64()), pa.array([raw[x] for x in owner[i : i + 50_000]], pa.binary()), pa.array([raw[x] for x in first[i : i + 50_000]], pa.binary())], names=["bundle", "digest", "first"])
-
-    packed = sketched.where("digest IS NOT NULL").select("digest", "bundles").mapInArrow(pack, "part int, bundles binary, owner binary, digests binary")
-    return packed.repartition(parts, "part").mapInArrow(match, "bundle bigint, digest binary, first binary")
+    return run
+
+
+def _shared_of_part(values: list[np.ndarray], owner: list[np.ndarray], digests: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The bundles of one part that more than one set has: (bundle, digest, first)."""
+    shift = np.cumsum([0, *(len(d) for d in digests[:-1])])
+    raw = np.concatenate(digests)
+    # packs repeat digests: equal ones get one number, in the order of their bytes
+    high, low = raw.view(">u8").reshape(-1, 2).T.astype(np.uint64)
+    by_digest = np.lexsort((low, high))
+    new = np.ones(len(raw), bool)
+    new[1:] = (np.diff(high[by_digest]) != 0) | (np.diff(low[by_digest]) != 0)
+    number = np.empty(len(raw), np.int64)
+    number[by_digest] = np.cumsum(new) - 1
+    raw = raw[by_digest[new]]
+    who = number[np.concatenate([o + s for o, s in zip(owner, shift, strict=True)])]
+    all_values = np.concatenate(values)
+    bundle, guest = all_values >> np.uint64(1), all_values & np.uint64(1)
+    order = np.lexsort((who, bundle))
+    bundle, guest, who = bundle[order], guest[order], who[order]
+    fresh = np.ones(len(bundle), bool)
+    fresh[1:] = (bundle[1:] != bundle[:-1]) | (who[1:] != who[:-1])
+    bundle, guest, who = bundle[fresh], guest[fresh], who[fresh]
+    begins = np.flatnonzero(np.diff(bundle, prepend=bundle[:1] ^ np.uint64(1)))
+    sizes = np.diff(np.append(begins, len(bundle)))
+    # two guests of a level link at their own level, where they share a bundle too
+    useful = (sizes > 1) & (np.minimum.reduceat(guest, begins) == 0)
+    keep = np.repeat(useful, sizes)
+    first = np.repeat(who[begins], sizes)[keep]
+    bundle, who = bundle[keep].astype(np.int64), who[keep]
+    kind = pa.binary(16)
+    for i in range(0, len(bundle), 20_000):
+        digest, smallest = (pa.Array.from_buffers(kind, len(x), [None, pa.py_buffer(raw[x].tobytes())]).cast(pa.binary()) for x in (who[i : i + 20_000], first[i : i + 20_000]))
+        yield pa.RecordBatch.from_arrays([pa.array(bundle[i : i + 20_000], pa.int64()), digest, smallest], names=["bundle", "digest", "first"])
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted packed rows, one part at a time: equal bundles are in one part, and a part has about TASK_BUNDLES."""
+    part, values, owner, digests = None, [], [], []
+    for batch in batches:
+        for p, v, o, d in zip(*batch.columns, strict=True):
+            if (p := p.as_py()) != part and values:
+                yield from _shared_of_part(values, owner, digests)
+                values, owner, digests = [], [], []
+            part = p
+            values.append(np.frombuffer(v.as_py(), np.uint64))
+            owner.append(np.frombuffer(o.as_py(), np.uint32).astype(np.int64))
+            digests.append(np.frombuffer(d.as_py(), "V16"))
+    if values:
+        yield from _shared_of_part(values, owner, digests)
+
+
+def _shared_bundles(sketched: DataFrame) -> DataFrame:
+    """(bundle, digest, first): the sets that share a bundle with another, and the smallest digest of the bundle.
+
+    Bundles travel packed; a task sorts the packed rows by part and holds one part of bundles at a time.
+    """
+    spark = sketched.sparkSession
+    total = sketched.agg(F.sum(F.octet_length("bundles")) / 8).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_BUNDLES) + 1)
+    packed = sketched.where("digest IS NOT NULL").select("digest", "bundles").mapInArrow(_pack(parts), "part int, bundles binary, owner binary, digests binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_match, "bundle bigint, digest binary, first binary")
+
+
+def _chunk_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) of all chunks a < b of each row's sorted array ``chunks``, each pair once.
+
+    A long list, as that of a bundle that very many sets share, is cut into tiles of TILE by TILE chunks that are dealt out
+    anew, so its pairs are not made by one task.
+    """
+    pairs = lambda left, right: F.filter(F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"] < p["b"])
+    short = lists.where(F.size("chunks").between(2, TILE)).select(F.inline(pairs(F.col("chunks"), F.col("chunks"))))
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size("chunks") - 1) / TILE).cast("int")), lambda i: F.slice("chunks", i * TILE + 1, TILE))
+    rows = lists.where(F.size("chunks") > TILE).select(cut_up.alias("tiles")).select(F.posexplode("tiles").alias("i", "left"), "tiles")
+    tiles = rows.select("left", F.explode(F.slice("tiles", F.col("i") + 1, F.size("tiles"))).alias("right"))
+    dealt = tiles.repartition(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return short.unionByName(dealt.select(F.inline(pairs(F.col("left"), F.col("right"))))).distinct()
 
 
 def _prune(levels: Levels):
@@ -330,27 +380,28 @@ def link_stars(digests: list[bytes], sets: list[np.ndarray], threshold: Fraction
     return [(d, least[x]) for d, x in zip(digests, label, strict=True) if d != least[x]]
 
 
-def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_shingles and component_id (the smallest id reachable by links) of every row of ``docs``."""
-    spark = docs.sparkSession
+def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", per_row: bool = False) -> DataFrame:
+    """``id_col``, n_shingles and component_id (the smallest id reachable by links) of every row of ``docs``.
+
+    ``per_row`` gives (id, h: hash of the text, component: a digest) of the rows with words instead.
+    """
     levels = Levels(threshold)
+    small_batches(docs.sparkSession)
     sketched = cut(sketch(docs, n, threshold, id_col, text_col), "shingle-sketch")
     entries = cut(_shared_bundles(sketched), "shared-bundles")
-    grouped = cut(entries.groupBy("digest").agg(F.min("first").alias("group")), "groups")
+    grouped = entries.groupBy("digest").agg(F.min("first").alias("group"))
     # one row a set before the join: copies are combined ahead of the exchange and never meet in one task
     reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.min("id").alias("id"))
-    members = cut(reps.join(grouped, "digest"), "group-members")
+    members = cut(reps.join(grouped, "digest"), "group-members", few=True)
     chunks = members.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_TOKENS)).alias("chunks"))
-    placed = cut(members.join(chunks, "group").withColumn("chunk", F.xxhash64("group", F.pmod(F.xxhash64("digest"), "chunks"))), "chunks")
-    content = cut(placed.groupBy("chunk").agg(F.collect_list(F.struct("digest", "n", "bitmap")).alias("sets")), "chunk-content")
+    placed = cut(members.join(chunks, "group").withColumn("chunk", F.xxhash64("group", F.pmod(F.xxhash64("digest"), "chunks"))), "chunks", few=True)
+    content = cut(placed.groupBy("chunk").agg(F.collect_list(F.struct("digest", "n", "bitmap")).alias("sets")), "chunk-content", few=True)
     # the matrix of bundles and chunks: chunks that share bundles, each list of chunks once
-    lists = entries.join(placed.select("digest", "chunk"), "digest").groupBy("bundle").agg(F.array_sort(F.collect_set("chunk")).alias("chunks")).select("chunks").distinct()
-    first = lists.where(F.size("chunks") > 1).select(F.posexplode("chunks").alias("at", "a"), "chunks")
-    across = first.select("a", F.explode(F.slice("chunks", F.col("at") + 2, F.size("chunks"))).alias("b")).distinct()
+    lists = entries.join(placed.select("digest", "chunk"), "digest").groupBy("bundle").agg(F.array_sort(F.collect_set("chunk")).alias("chunks")).where(F.size("chunks") > 1).select("chunks").distinct()
     within = content.where(F.size("sets") > 1).select(F.col("chunk").alias("a"), F.col("chunk").alias("b"))
-    pairs = cut(across.unionByName(within), "chunk-pairs")
+    pairs = _chunk_pairs(cut(lists, "chunk-lists", few=True)).unionByName(within)
     left, right = (content.select(F.col("chunk").alias(c), F.col("sets").alias(s)) for c, s in (("a", "left_sets"), ("b", "right_sets")))
-    opened = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left_sets", "right_sets").mapInArrow(_prune(levels), "a bigint, b bigint, digest binary"), "opened")
+    opened = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left_sets", "right_sets").mapInArrow(_prune(levels), "a bigint, b bigint, digest binary"), "opened", few=True)
     # tokens of the opened sets, from the text of one document of each
     wanted = opened.select("digest").distinct().join(placed.select("digest", "id"), "digest")
 
@@ -364,27 +415,39 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     read = texts.join(wanted.hint("shuffle_hash"), texts["id"].eqNullSafe(wanted["id"])).select("digest", "text").mapInArrow(tokens, "digest binary, tokens binary")
-    sets = cut(read.dropDuplicates(["digest"]), "tokens")
+    sets = read.dropDuplicates(["digest"])
 
     def stars(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = link_stars(list(rows["digest"]), [np.frombuffer(x, np.uint64) for x in rows["tokens"]], threshold)
         return pd.DataFrame(found, columns=["u", "v"])
 
-    links = cut(opened.join(sets, "digest").groupBy("a", "b").applyInPandas(stars, "u binary, v binary").distinct(), "links")
-    labels = connected_components(links)
+    labels = connected_components(opened.join(sets, "digest").groupBy("a", "b").applyInPandas(stars, "u binary, v binary"))
     least = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first_id"))
     rooted = least.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first_id", F.coalesce("component", "digest").alias("root"))
-    rooted = cut(rooted, "rooted")
+    rooted = cut(rooted, "rooted", few=True)
+    drop_cut(entries, members, placed, content, opened)
+    if per_row:
+        return sketched.where("digest IS NOT NULL").select("id", "h", "digest").join(rooted.select("digest", F.col("root").alias("component")), "digest").select("id", "h", "component")
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut(rooted.join(roots, "root").select("digest", "component_id"), "named")
+    named = rooted.join(roots, "root").select("digest", "component_id")
     out = sketched.select("id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest id, and one of the rows that repeat it."""
-    found = components(docs, n, threshold, id_col, text_col)
-    heads = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(heads, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    once = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth")
+    """``docs`` with one row of each component, and all rows of the empty set, which are linked with nothing.
+
+    Rows are judged, not ids: of a component the row of the smallest id (null last) and text hash stays, and of rows
+    that repeat both the one of the smallest hash of all columns. Texts meet the few heads in one exchange.
+    """
+    found = components(docs, n, threshold, id_col, text_col, per_row=True)
+    # a bounded aggregate: a hot component is one partial row a task
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
+    heads = found.groupBy("component").agg(first).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"), F.xxhash64("first.id").alias("__key"))
+    rows = docs.withColumns({"__hash": text_hash(text_col), "__id_hash": F.xxhash64(id_col)})
+    same = (F.col("__id_hash") == F.col("__key")) & (F.col("__hash") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = rows.join(heads, same, "left_semi")
+    once = Window.partitionBy("__id_hash", "__hash").orderBy(row_hash(docs))
+    copies = kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").select(*docs.columns)
+    wordless = F.btrim(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(BLANKS)) == ""
+    return copies.unionByName(docs.where(wordless))
