@@ -10,8 +10,9 @@ Labels are learnt from at most ``SAMPLE`` rows of each class, those of smallest
 the driver gathers (sparse term vectors, not texts) and what is broadcast (2 * SAMPLE * AXES floats, 1 MB). Scores are
 made for every row from its text alone.
 
-Cases: null and empty texts, and texts like no labelled one, score the share of label 1 in the sample; repeated rows
-score alike; labels of null or for unknown documents are ignored; an id with several texts or labels contributes each;
+Cases: null and empty texts, and texts like no labelled one, score the share of label 1 among the labels; repeated rows
+score alike; of labelled texts that are equally near the first in the model's own order counts; labels of null or for
+unknown documents are ignored; an id with several texts or labels contributes each;
 without any label all scores are 0.5; empty tables give empty results; columns other than the two named pass through
 ``keep_good`` and are left out of ``scores``.
 """
@@ -27,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut, small_batches
+
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 2000
 AXES, NEIGHBOURS = 64, 25
@@ -69,7 +72,7 @@ def terms(texts: pa.Array) -> np.ndarray:
     word = _hashed(pc.utf8_lower(words), WORD_TERMS)
     shape = pc.replace_substring_regex(words, "\\p{Ll}+", "a")
     shape = pc.replace_substring_regex(shape, "\\p{Lu}+", "A")
-    shape = pc.utf8_slice_codeunits(pc.replace_substring_regex(shape, "[0-9]+", "0"), 0, 10).dictionary_encode()
+    shape = pc.replace_substring_regex(shape, "[0-9]+", "0").dictionary_encode()
     shape = _hashed(shape.dictionary, SHAPE_TERMS)[np.asarray(shape.indices)]
     size = np.bincount(row, minlength=n)
     flat_size = n * TERMS
@@ -97,6 +100,16 @@ def _weighted(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.concatenate([w * _unit(p) for w, p in zip(KIND_WEIGHT, parts, strict=True)], axis=1)
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` largest values of each row; of equal ones at the border the first."""
+    far = -cosines
+    near = np.argpartition(far, k - 1, axis=1)[:, :k]
+    border = np.take_along_axis(far, near, axis=1).max(axis=1, keepdims=True)
+    for row in np.flatnonzero((far <= border).sum(axis=1) > k):
+        near[row] = np.argsort(far[row], kind="stable")[:k]
+    return near
+
+
 class Model:
     """Axes, labelled vectors and votes; everything in it has a fixed largest size."""
 
@@ -122,8 +135,7 @@ class Model:
         raw = terms(texts)
         mine = _unit(_weighted(raw, self.idf) @ self.axes)
         cosines = mine @ self.points.T
-        k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        near = nearest(cosines, min(NEIGHBOURS, cosines.shape[1]))
         weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** SHARPNESS * self.votes[near]
         total = weight.sum(axis=1)
         score = np.divide((weight * self.labels[near]).sum(axis=1), total, out=np.full(len(raw), self.share, np.float32), where=total > 1e-12)
@@ -144,16 +156,16 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """A model of the labelled rows among ``docs``; None where there is no label at all.
 
-    The labels meet ids and hashes first; texts are read again for the sample only.
+    The labels meet the ids first; texts are read again for the sample only.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = None
-    for label in (0, 1):
-        # a few more than SAMPLE ids, as some labels may be for documents that are not there
-        part = known.where(F.col("label") == label).join(rows.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # labels of documents that are not there go first; ids and labels are all that this exchange carries
+    met = cut(known.join(rows.select("id"), "id", "left_semi"), "labels", few=True)
+    counts = {r.label: r.n for r in met.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = [met.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for label in (0, 1)]
+    chosen = first[0].unionByName(first[1])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +191,7 @@ def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """``id_col`` and score of every row; a narrow map."""
     if model is None:
         return docs.select(id_col, F.lit(0.5).alias("score"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -195,15 +208,17 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
     """The rows of ``docs`` that score at least ``threshold``, with all their columns; all rows without a model."""
     if model is None:
         return docs
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _blocks(batch, place):
-                yield part.filter(pa.array(shared.value.scores(part.column(place).cast(pa.string())) >= threshold))
+    # only texts go to the Python workers and only scores come back
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            batch = pa.RecordBatch.from_arrays([texts.cast(pa.string())], names=["text"])
+            yield pa.array(np.concatenate([np.zeros(0), *(shared.value.scores(part.column(0)) for part in _blocks(batch, 0))]), pa.float64())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
