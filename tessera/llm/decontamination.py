@@ -6,7 +6,9 @@ split into one piece more than that; of any text within the budget, at least one
 piece hits (one automaton for all pieces) find every place worth looking at. There Myers' bit-parallel algorithm
 gives the least edit distance, first of small runs of pieces and at last of the whole item: a run of p pieces
 within p - 1 edits has a half for which the same holds, so some unchanged piece lies in such runs all the way up, and
-a hit whose run fails is dropped early without loss.
+a hit whose run fails is dropped early without loss. The first of these tests needs no distance: where a piece is
+unchanged, the pieces beside it in its smallest run have the run's edits, so one of as many parts and one more is
+unchanged too, moved by no more than the edits.
 
 Items come to the driver in blocks of at most ``BLOCK_CHARS`` characters of text; each block is one broadcast and
 one pass over the documents, whatever the size of the benchmark. Documents are never exchanged.
@@ -25,11 +27,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-RATE = 0.08
+from tessera.session import small_batches
+
+#: Edits a character of an item. README has the share of changed items that are found at this and other rates.
+RATE = 0.12
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
 
@@ -101,6 +106,7 @@ class Matcher:
         self.items = [(item_id, form, int(rate * len(form))) for item_id, text in items if (form := normalised(text))]
         self.cuts = [[len(form) * i // (budget + 1) for i in range(budget + 2)] for _, form, budget in self.items]
         self.letters: dict[tuple[int, int, int], dict[str, int]] = {}
+        self.around: dict[tuple[int, int], tuple[int, list[tuple[int, str]]]] = {}
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, form, budget) in enumerate(self.items):
             for leaf, (_, piece) in enumerate(pieces(form, budget)):
@@ -116,9 +122,24 @@ class Matcher:
             self.letters[k, a, b] = letters(self.items[k][1][a:b])
         return self.letters[k, a, b]
 
+    def _near(self, k: int, leaf: int) -> tuple[int, list[tuple[int, str]]]:
+        """(edits, parts) of the pieces beside ``leaf`` in its smallest run, split into one part more than their edits."""
+        if (k, leaf) not in self.around:
+            cuts, item = self.cuts[k], self.items[k][1]
+            first, behind = runs(leaf, len(cuts) - 1)[0]
+            a, b = (cuts[leaf + 1], cuts[behind]) if leaf == first else (cuts[first], cuts[leaf])
+            edits = behind - first - 1
+            places = [a + (b - a) * i // (edits + 1) for i in range(edits + 2)]
+            self.around[k, leaf] = edits, [(x, item[x:y]) for x, y in zip(places, places[1:], strict=False)] if first in (leaf, leaf - (behind - first - 1)) else []
+        return self.around[k, leaf]
+
     def _climb(self, k: int, leaf: int, start: int, form: str, most: int) -> tuple[int, int] | None:
         """(distance, end) of item ``k`` near ``start``, if all runs of pieces around ``leaf`` are within their edits."""
         cuts = self.cuts[k]
+        # the neighbours of an unchanged piece are within their edits: one of their parts is there, moved by no more
+        edits, parts = self._near(k, leaf)
+        if parts and not any(form.find(part, max(0, start + at - edits), max(0, start + at + len(part) + edits)) >= 0 for at, part in parts):
+            return None
         for first, behind in runs(leaf, len(cuts) - 1):
             a, b, budget = cuts[first], cuts[behind], behind - first - 1
             whole = behind - first == len(cuts) - 1
@@ -169,7 +190,9 @@ def _matcher(spark, items: list[tuple[object, str]], rate: float):
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(``id_col``, ``item_col``, distance, match_end): one row for each item found in a row of ``docs``."""
+    small_batches(docs.sparkSession)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, item {item_kind}, distance int, match_end bigint"
     out = None
@@ -183,7 +206,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
                 found = [(r, ids[k], d, e) for r, text in enumerate(batch.column(1)) for k, d, e in matcher.find(text.as_py())]
                 if found:
                     row, item, distance, end = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], names=["id", "item", "distance", "match_end"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, item_type), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], names=["id", "item", "distance", "match_end"])
 
         part = rows.mapInArrow(look, schema)
         out = part if out is None else out.unionByName(part)
@@ -192,16 +215,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
+def _clean(make):
+    """A function of a text column: no item is found. Only texts go to the Python workers and only marks come back."""
+
+    @F.arrow_udf("boolean")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = make()
+        for texts in parts:
+            yield pa.array([not matcher.find(x.as_py()) for x in texts], pa.bool_())
+
+    return clean
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns; a narrow filter for each block."""
-    place = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark, item_col, item_text_col):
-        make = _matcher(docs.sparkSession, items, rate)
-
-        def keep(batches: Iterator[pa.RecordBatch], make=make) -> Iterator[pa.RecordBatch]:
-            matcher = make()
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(x.as_py()) for x in pc.cast(batch.column(place), pa.string())], pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.where(_clean(_matcher(docs.sparkSession, items, rate))(F.col(text_col).cast("string")))
     return docs
