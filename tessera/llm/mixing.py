@@ -16,7 +16,7 @@ gets more than about sqrt(n) of them.
 
 Cases: null and empty texts have size 0, take no words and keep one copy; a null source is a source of its own and
 the last; one source, a source without words and an empty table work; ties in size are broken by hash of id and
-text, so equal rows share copies in a fixed total; extra columns pass through ``mixed`` and are left out of
+text, so equal rows share copies in a fixed total (rows that differ in other columns by a hash of all of them); extra columns pass through ``mixed`` and are left out of
 ``mix_counts``.
 """
 
@@ -29,13 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, row_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Newton iterations stop when every source is this near its target, or after so many.
-TOLERANCE, MAX_ITERATIONS = 1e-7, 40
+#: Newton iterations stop when every source is this near its target; more than so many are an error. Bisection alone, the
+#: fallback of a step, needs about 60 to use up a double.
+TOLERANCE, MAX_ITERATIONS = 1e-7, 120
 
 
 def word_count(text: Column) -> Column:
@@ -101,6 +102,9 @@ def solve_dual(cells: DataFrame, sizes: dict[str, int], counts: dict[str, int],
                 a, b = low[key], high[key]
                 step = (a + b) / 2 if math.isfinite(a) and math.isfinite(b) else tilt[key] + (1 if b == math.inf else -1) * max(1.0, abs(tilt[key]))
             tilt[key] = step
+    else:
+        if todo:
+            raise RuntimeError(f"entropy balancing did not settle for the sources {sorted(todo)}")
     return {k: t / mean[k] if math.isfinite(t) else t for k, t in tilt.items()}
 
 
@@ -120,7 +124,7 @@ def _round_source(cells: pd.DataFrame, most: int) -> pd.DataFrame:
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """``id_col``, ``text_hash``, size, source_size, target, copies and taken (copies * size) of every row.
+    """``id_col``, ``text_hash``, ``source_key``, size, source_size, target, copies and taken (copies * size) of every row.
 
     Exchanges carry a few numbers a row: sizes are counted in one pass over the texts and written first.
     """
@@ -146,19 +150,19 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = dealt.withColumn("rank", rank).join(before, ["key", "size", "bucket"], "left")
     copies = (F.col("base") + (F.coalesce(F.col("before"), F.lit(0)) + F.col("rank") <= F.col("more")).cast("bigint")).alias("copies")
     out = ranked.select("id", "text_hash", "key", "size", copies).join(state.drop("slope"), "key")
-    return out.select(F.col("id").alias(id_col), "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("key").alias("source_key"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its copies say, with the columns of ``docs``."""
     counts = (
         mix_counts(docs, id_col, text_col, source_col, weights, most)
-        .groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"))
+        .groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"), F.col("source_key").alias("__key"))
         .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
     )
-    rows = docs.withColumn("__h2", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = rows.join(counts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
-    # rows that repeat id and text share their copies: the first ones take what doesn't divide
-    nth = F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__rows"))).otherwise(1)
+    rows = docs.withColumns({"__h2": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__key2": _key(F.col(source_col))})
+    joined = rows.join(counts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")) & (F.col("__key2") == F.col("__key")))
+    # rows that repeat id, text and source share their copies: the first ones take what doesn't divide
+    nth = F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy("__id", "__h", "__key").orderBy(row_hash(docs)))).otherwise(1)
     own = F.floor(F.col("__copies") / F.col("__rows")) + (nth <= F.col("__copies") % F.col("__rows")).cast("bigint")
     return joined.withColumn("__own", own).where("__own > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__own").cast("int")))).select(*docs.columns)
