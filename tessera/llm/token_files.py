@@ -6,8 +6,8 @@ cut into blocks of ``BLOCK`` ids; a block begins on a word of its own, unused pl
 the file keeps every block's word offset, so blocks are decoded at random and all at once with array operations.
 
 File: magic, block size; words; then block offsets, document ids with validity, document starts, a trailer of
-counts and the magic again. All integers are little-endian. A file is written under another name and renamed when
-complete, so a task that is run again replaces it with the same bytes.
+counts and the magic again. All integers are little-endian. Every attempt of a task writes a file of its own name,
+renamed when complete; the manifest names the files of the attempts that Spark took, and nothing is replaced.
 
 Cases: null and empty texts are documents that hold only the end id; texts of any length are encoded whole; rows
 that repeat an id stand next to one another, ordered by text; a null id sorts first; an empty table gives no file
@@ -16,8 +16,8 @@ and an empty result; columns other than the two named are left out.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import fresh_path
+from tessera.session import fresh_path, qualified, small_batches
 
 #: By selector: ids in a word, and bits of each. Fixed values of the coding; selector 0 is the escape.
 COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -164,7 +164,7 @@ class Writer:
 
     def __init__(self, path: str):
         self.fs, self.path = _open(path)
-        self.temporary = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.temporary = f"{self.path}.part"
         self.file = self.fs.open_output_stream(self.temporary)
         self.file.write(MAGIC + struct.pack("<II", BLOCK, 0))
         self.held: list[np.ndarray] = []
@@ -200,10 +200,6 @@ class Writer:
         tail = (len(offsets), len(ids), self.n_ids, self.n_words)
         self.file.write(offsets.astype("<u8").tobytes() + ids.tobytes() + valid.tobytes() + np.array(self.starts, "<u8").tobytes() + struct.pack("<4Q", *tail) + MAGIC)
         self.file.close()
-        from pyarrow import fs
-
-        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:
-            self.fs.delete_file(self.path)
         self.fs.move(self.temporary, self.path)
 
 
@@ -241,6 +237,10 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
                 parts = [ids[starts[doc] - base :]]
 
 
+#: Input of one file, as Spark estimates it before the exchange; files at most, where it can't tell.
+FILE_BYTES, MAX_FILES = 128 << 20, 2_000_000
+#: Documents in a batch of digests.
+DIGEST_ROWS = 10_000
 #: Bytes of text that are encoded together.
 PIECE_BYTES = 32 << 20
 
@@ -382,15 +382,18 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     """Write the ids of all documents in ascending id order; gives (path, first id's place, ids, documents) of each file.
 
     One exchange: texts are dealt out by ranges of (id, text hash), so that a repeated id can be split. Files are
-    named by range. What the driver gets is one row a file.
+    named by range, and there are so many that none holds much more than FILE_BYTES of input. What the driver gets is
+    one row a file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
+    folder = qualified(spark, folder)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())  # a property of the tokenizer: 2 MB
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer.value)
-        path = f"{folder}/ids-{TaskContext.get().partitionId():06d}.s8b"
+        path = f"{folder}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.s8b"
         writer = None
         for batch in batches:
             for doc_ids, ids, lengths in encoder.pieces(batch, end_id):
@@ -403,7 +406,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     system, at = _open(folder)
     system.create_dir(at, recursive=True)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // FILE_BYTES, MAX_FILES))
     dealt = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     found = sorted(dealt.mapInArrow(write, "path string, n_ids bigint, n_docs bigint").collect())
     manifest, start = [], 0
@@ -421,9 +425,9 @@ def read_digests(spark, manifest: list[tuple[str, int, int, int]], id_col: str =
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0), batch.column(1), strict=True):
-                found = [(d, base.as_py() + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, s, ids in read_file(path.as_py())]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
+                found = ((d, base.as_py() + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, s, ids in read_file(path.as_py()))
+                while some := list(itertools.islice(found, DIGEST_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=names)
 
     if manifest:
         rows = rows.repartition(len(manifest))
