@@ -1,7 +1,8 @@
 """Licence scan by canonical digest lookup.
 
 A text is brought to a canonical form and its digest is looked up among the digests of known licence texts by a
-hash join over entire texts. The form: A-Z in lower case; copyright lines go; ``©`` and ``(c)`` read
+hash join over entire texts. The form: A-Z in lower case (licence texts are English: other letters keep their case);
+lines of copyright or that reserve all rights go; ``©`` and ``(c)`` read
 "copyright"; every run of characters other than letters and digits becomes one blank; equivalent spellings become
 one spelling; blanks at both ends go. Built from DataFrame functions alone.
 
@@ -13,12 +14,15 @@ two named are left out, so no names clash.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that begins with a copyright sign or word (after blanks or comment marks), and has a year or a sign.
-COPYRIGHT_LINE = "(?m)^[ \\t*#/;-]*(?:copyright[ \\t]+(?:\\(c\\)|©|[0-9]{4})|\\(c\\)[ \\t]*[0-9]{4}|©)[^\\n]*$"
+#: A line that begins with a copyright sign or word (after blanks or comment marks), and has a year or a sign; a line that
+#: reserves all rights.
+COPYRIGHT_LINE = "^[ \\t*#/;-]*(?:(?:copyright[ \\t]+(?:\\(c\\)|©|[0-9]{4})|\\(c\\)[ \\t]*[0-9]{4}|©)[^\\n]*|all rights reserved[^\\n\\p{L}\\p{N}]*)$"
 COPYRIGHT_SIGN = "©|\\(c\\)"
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 #: Spellings read as equal, the left one as the right one; words stand between single blanks.
@@ -37,6 +41,7 @@ SPELLINGS = (
     ("centre", "center"),
     ("colour", "color"),
     ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
     ("favour", "favor"),
     ("favourite", "favorite"),
     ("fulfil", "fulfill"),
@@ -48,6 +53,7 @@ SPELLINGS = (
     ("labelling", "labeling"),
     ("labour", "labor"),
     ("licence", "license"),
+    ("licences", "licenses"),
     ("maximise", "maximize"),
     ("modelled", "modeled"),
     ("modelling", "modeling"),
@@ -55,6 +61,7 @@ SPELLINGS = (
     ("offence", "offense"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
+    ("organisations", "organizations"),
     ("organise", "organize"),
     ("per cent", "percent"),
     ("practise", "practice"),
@@ -75,7 +82,7 @@ ANY_SPELLING = " (?:" + "|".join(old for old, _ in SPELLINGS) + ") "
 def canonical(text: Column) -> Column:
     """The canonical form of a text column. The spellings are rewritten only in texts that hold one of them."""
     form = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    form = F.regexp_replace(form, COPYRIGHT_LINE, "")
+    form = F.regexp_replace(form, f"(?dm){COPYRIGHT_LINE}", "")  # d: lines end at \\n alone
     form = F.regexp_replace(form, COPYRIGHT_SIGN, " copyright ")
     form = F.concat(F.lit(" "), F.regexp_replace(form, NOT_WORD, " "), F.lit(" "))
     return form
@@ -97,61 +104,47 @@ def with_digest(rows: DataFrame, text_col: str, to: str = "digest") -> DataFrame
     return spelled.withColumn(to, F.when(F.col("__form") != "", F.sha2("__form", 256))).drop("__form")
 
 
-#: Short public licence texts and the usual one-line notices, by SPDX identifier.
-_AS_IS = (
-    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
-    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
-    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
-    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-)
-_ISC_TAIL = (
-    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
-    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
-    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
-    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
-    "THIS SOFTWARE."
+#: Whole licence texts, one file each: the SPDX identifier, ``__`` and a word where an identifier has several texts.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Title lines that stand above a text that has none of its own, or don't.
+TITLES = (
+    ("0BSD", "BSD Zero Clause License"),
+    ("0BSD", "Zero-Clause BSD"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "The BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "The BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("ISC", "The ISC License"),
+    ("ISC", "ISC License (ISC)"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Unlicense", "The Unlicense"),
+    ("Zlib", "zlib License"),
+    ("Zlib", "The zlib/libpng License"),
 )
-KNOWN_TEXTS = (
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC_TAIL),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_TAIL,
-    ),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
-        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so, subject to the following conditions:\n"
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-        "Software.\n" + _AS_IS,
-    ),
-    (
-        "Zlib",
-        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
-        "for any damages arising from the use of this software.\n"
-        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
-        "and redistribute it freely, subject to the following restrictions:\n"
-        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If "
-        "you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
-        "required.\n"
-        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
-        "software.\n"
-        "3. This notice may not be removed or altered from any source distribution.",
-    ),
+
+#: Usual one-line notices, for texts that are nothing else.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
 )
 
 
-def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN_TEXTS) -> DataFrame:
+def known_texts(folder: Path = TEXTS) -> list[tuple[str, str]]:
+    """(license_id, text) of the files of a folder, with and without the usual titles, and of the notices."""
+    plain = [(f.stem.partition("__")[0], f.read_text(encoding="utf-8")) for f in sorted(folder.glob("*.txt"))]
+    return plain + [(name, f"{title}\n\n{text}") for name, text in plain for of, title in TITLES if of == name] + list(NOTICES)
+
+
+def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_id, text) of the known licences; a caller may bring a table of its own."""
-    return spark.createDataFrame(list(texts), "license_id string, text string")
+    return spark.createDataFrame(known_texts() if texts is None else texts, "license_id string, text string")
 
 
 def find_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +162,7 @@ def find_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
 def canonical_sql(text: str) -> str:
     """DuckDB SQL of the trimmed canonical form."""
     form = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-    form = f"regexp_replace({form}, '{COPYRIGHT_LINE}', '', 'g')"
+    form = f"regexp_replace({form}, '(?m){COPYRIGHT_LINE}', '', 'g')"
     form = f"regexp_replace({form}, '{COPYRIGHT_SIGN}', ' copyright ', 'g')"
     form = f"' ' || regexp_replace({form}, '{NOT_WORD}', ' ', 'g') || ' '"
     for old, new in SPELLINGS:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -79,13 +80,34 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def _plain_form(text: str) -> str:
+    """The canonical form of a known licence, word by word: the SQL's own way to it."""
+    lines = []
+    for line in text.translate(str.maketrans(licenses.UPPER, licenses.LOWER)).split("\n"):
+        bare = line.lstrip(" \t*#/;-")
+        word, _, rest = bare.partition("copyright")
+        owned = not word and (rest[:1] in " \t" and rest.lstrip(" \t")[:3] == "(c)" or rest.lstrip(" \t")[:1] == "©" or rest[:1] in " \t" and rest.lstrip(" \t")[:4].isdigit() and len(rest.lstrip(" \t")) >= 4)
+        owned = owned or bare.startswith("©") or bare.startswith("(c)") and len(bare[3:].lstrip(" \t")) >= 4 and bare[3:].lstrip(" \t")[:4].isdigit()
+        while bare and not bare[-1].isalnum():
+            bare = bare[:-1]
+        if not owned and bare != "all rights reserved":
+            lines.append(line)
+    words = "".join(c if c.isalnum() else " " for c in "\n".join(lines).replace("(c)", " copyright ").replace("©", " copyright ")).split()
+    form = f" {' '.join(words)} "
+    for old, new in licenses.SPELLINGS:
+        while f" {old} " in form:
+            form = form.replace(f" {old} ", f" {new} ")
+    return form.strip()
+
+
 def _op9_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN_TEXTS)
+    digests = sorted({(hashlib.sha256(_plain_form(text).encode()).hexdigest(), name) for name, text in licenses.known_texts()})
+    values = ", ".join(f"('{digest}', '{name}')" for digest, name in digests)
     return f"""
-WITH known AS (SELECT min(license_id) AS license_id, {licenses.canonical_sql('text')} AS form FROM (VALUES {values}) v(license_id, text) GROUP BY 2),
-forms AS (SELECT doc_id, {licenses.canonical_sql('text')} AS form FROM documents)
-SELECT f.doc_id, CASE WHEN f.form <> '' THEN sha256(f.form) END AS digest, k.license_id
-FROM forms f LEFT JOIN known k ON f.form = k.form AND f.form <> ''
+WITH known AS (SELECT digest, min(license_id) AS license_id FROM (VALUES {values}) v(digest, license_id) GROUP BY digest),
+forms AS (SELECT doc_id, {licenses.canonical_sql('text')} AS form FROM documents),
+digests AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM forms)
+SELECT d.doc_id, d.digest, k.license_id FROM digests d LEFT JOIN known k ON d.digest = k.digest
 """
 
 
