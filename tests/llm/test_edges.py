@@ -93,7 +93,7 @@ def test_licenses(spark, docs, empty):
     assert licenses.find_licenses(docs, known).count() == len(ROWS)
     assert licenses.find_licenses(empty, known).count() == 0
     assert {r["license_id"] for r in licenses.find_licenses(docs, known.where("false")).collect()} == {None}
-    mit = next(t for n, t in licenses.KNOWN_TEXTS if n == "MIT")
+    mit = next(t for n, t in licenses.known_texts() if n == "MIT")
     changed = "Copyright (c) 2020 Some One\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ;")
     assert licenses.find_licenses(make(spark, [(1, changed, "a")]), known).first()["license_id"] == "MIT"
 
