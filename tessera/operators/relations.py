@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vocab
+from tessera.session import cut, path_exists
 
 #: Pairs that one sentence gives at most; pairs of types that make no relation count too.
 SENTENCE_PAIRS = 40
@@ -27,21 +28,40 @@ def ordered_pairs(items: Column, most: int | None = SENTENCE_PAIRS) -> Column:
     return F.slice(pairs, 1, most) if most else pairs
 
 
+def sentence_groups(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The sentences of each chunk with the mentions that overlap them; a mention across a border stands in both.
+
+    Columns of ``chunks`` but start_char, end_char and text, with ``sentence`` and ``mentions`` (in order of place). A chunk
+    has a bounded number of mentions, so they are gathered by chunk and no interval is joined.
+    """
+    item = F.struct("start_char", "end_char", "mention_id", "entity_id", "entity_type", "confidence", "surface")
+    gathered = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_list(item)).alias("__all"))
+    rest = [c for c in chunks.columns if c not in ("start_char", "end_char", "text", "__all")]
+    rows = chunks.join(gathered, "chunk_id").select(*rest, F.col("start_char").alias("__base"), "__all", F.explode(T.sentences(F.col("text"))).alias("__s"))
+    here = F.filter("__all", lambda m: (m["end_char"] > F.col("__base") + F.col("__s.start")) & (m["start_char"] < F.col("__base") + F.col("__s.end")))
+    return rows.select(*rest, F.col("__s.sentence").alias("sentence"), here.alias("mentions")).where(F.size("mentions") > 1)
+
+
+def distinct_mentions(mentions: Column) -> Column:
+    """One mention an entity: in the place of its first, with the values of its last."""
+    first = F.filter(mentions, lambda m, i: ~F.exists(F.slice(mentions, 1, i), lambda e: e["entity_id"] == m["entity_id"]))
+    return F.transform(first, lambda m: F.element_at(F.filter(mentions, lambda e: e["entity_id"] == m["entity_id"]), -1))
+
+
 def cooccurrence(rows: DataFrame, mentions: str = "mentions", most: int = SENTENCE_PAIRS) -> DataFrame:
     """Relations of the mentions that stand together in a row's sentence.
 
     ``rows``: any columns and ``mentions``, an array of structs with entity_id, entity_type and confidence, in order.
-    A mention of an entity that the sentence has already named is dropped. Two non-locations interact; a
-    non-location is located in a location.
+    Of an entity that a sentence names again the last mention counts, in the place of the first. Two characters
+    interact; whatever is no location is located in a location; other pairs give nothing, but count for ``most``.
     """
-    first = F.filter(F.col(mentions), lambda m, i: ~F.exists(F.slice(F.col(mentions), 1, i), lambda e: e["entity_id"] == m["entity_id"]))
     rest = [c for c in rows.columns if c != mentions]
     # a column of its own: the pairs refer to it at every item
-    pairs = rows.select(*rest, first.alias("__first")).select(*rest, F.explode(ordered_pairs(F.col("__first"), most)).alias("p"))
+    pairs = rows.select(*rest, distinct_mentions(F.col(mentions)).alias("__first")).select(*rest, F.explode(ordered_pairs(F.col("__first"), most)).alias("p"))
     a, b = F.col("p.a"), F.col("p.b")
     place_a, place_b = a["entity_type"] == "Location", b["entity_type"] == "Location"
     located = place_a != place_b
-    return pairs.where(~(place_a & place_b)).select(
+    return pairs.where(located | (a["entity_type"] == "Character") & (b["entity_type"] == "Character")).select(
         *rest,
         F.when(place_a, b["entity_id"]).otherwise(a["entity_id"]).alias("source_entity_id"),
         F.when(located, "LOCATED_IN").otherwise("INTERACTS_WITH").alias("predicate"),
@@ -51,6 +71,12 @@ def cooccurrence(rows: DataFrame, mentions: str = "mentions", most: int = SENTEN
     )
 
 
+def mention_relations(chunks: DataFrame, mentions: DataFrame, most: int = SENTENCE_PAIRS) -> DataFrame:
+    """Co-occurrence relations of chunks and their mentions, with the sentence as evidence."""
+    found = cooccurrence(sentence_groups(chunks.select("chunk_id", "doc_id", "source", "start_char", "text"), mentions), most=most)
+    return found.select("source_entity_id", "predicate", "target_entity_id", "doc_id", "chunk_id", "source", "confidence", T.compact(F.col("sentence")).alias("evidence_text"), "rel_type")
+
+
 def semantic_relations(chunks: DataFrame, mentions: str = "mentions", between_only: bool = False, patterns: tuple = vocab.SEMANTIC_PATTERNS) -> DataFrame:
     """Relations whose keywords stand between two mentions or, unless ``between_only``, anywhere in their chunk.
 
@@ -136,6 +162,35 @@ def cached(keys: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[D
     return keys.join(cache, key), keys.join(cache.select(key), key, "left_anti")
 
 
+def model_answers(chunks: DataFrame, mentions: DataFrame, provider, cache: str | None = None) -> DataFrame:
+    """(chunk_id, response): what a model says to the entity table and the text of each chunk that has mentions.
+
+    ``provider`` has ``name`` and ``answer(prompts) -> answers``; it is sent to the workers and called once a batch.
+    Answers are kept below the folder ``cache`` by a digest of model and prompt: what is there is never asked again.
+    """
+    table_ = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity_id", "surface", "entity_type"))), lambda e: F.struct(e["entity_id"].alias("entity_id"), e["surface"].alias("name"), e["entity_type"].alias("type"))))
+    asked = entity_table(mentions).groupBy("chunk_id").agg(table_.alias("table")).join(chunks.select("chunk_id", "text"), "chunk_id")
+    prompt = F.concat(F.lit("Entities: "), F.col("table"), F.lit("\nPredicates: " + ", ".join(vocab.LLM_PREDICATES) + "\nText: "), F.col("text"))
+    keyed = asked.select("chunk_id", prompt.alias("prompt")).withColumn("cache_key", F.sha1(F.concat_ws(T.UNIT, F.lit(provider.name), "prompt").cast("binary")))
+
+    def ask(batches):
+        for pdf in batches:
+            yield pdf[["cache_key"]].assign(response=provider.answer(pdf["prompt"].tolist()))
+
+    answer = lambda rows: rows.select("cache_key", "prompt").dropDuplicates(["cache_key"]).mapInPandas(ask, "cache_key string, response string")
+    if cache is None:
+        return keyed.join(cut(answer(keyed), "model-answers"), "cache_key").select("chunk_id", "response")
+    spark = chunks.sparkSession
+    known = spark.read.schema("cache_key string, response string")
+    if path_exists(spark, cache):
+        keyed = cut(keyed, "model-prompts")
+        _, missing = cached(keyed, known.parquet(cache))
+        answer(missing).write.mode("append").parquet(cache)
+    else:
+        answer(keyed).write.parquet(cache)
+    return keyed.join(known.parquet(cache), "cache_key").select("chunk_id", "response")
+
+
 def derive_events(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(event entities, their edges): one event for each relation of the event predicates, with its participants."""
     evidence = F.coalesce("evidence_text", F.lit(""))

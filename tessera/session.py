@@ -94,6 +94,31 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*(F.col(c) if simple(c) else F.to_json(F.struct(c)) for c in df.columns))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file through the Hadoop file system of its path; an old one is replaced."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(text.encode("utf-8"))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file through the Hadoop file system of its path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` as a URI with the scheme that Spark resolves it by, so that other readers find the same place."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
