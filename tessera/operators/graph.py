@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.session import cut
+from tessera.session import cut, drop_cut
 
 #: Rounds of an iterative operator between two writes of its state.
 CUT_EVERY = 5
@@ -35,60 +35,100 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     """(entity_id, pagerank) on the undirected multigraph, without redistribution of dangling mass.
 
     Out-degrees count neighbours that are no nodes, which get nothing. On convergence the iterate before the last
-    is the result; with ``tolerance`` None exactly ``iterations`` steps are made. Links are dealt by sender once and
-    each step is one aggregation.
+    is the result; with ``tolerance`` None exactly ``iterations`` steps are made. Links are dealt by sender once; a step is
+    one join and one aggregation. A link of weight 0 from each node to itself brings its ranks so far along, so that
+    ``CUT_EVERY`` steps are one job, and the change in each of them is a sum over what that job has written.
     """
-    spark = nodes.sparkSession
-    ids = cut(nodes.select("entity_id").distinct(), "pagerank-nodes")
+    ids = cut(nodes.select("entity_id").distinct(), "pagerank-nodes", few=True)
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
-    both = cut(undirected(edges), "pagerank-edges")
-    out = both.groupBy("u").agg(F.count(F.lit(1)).alias("out"))
-    links = cut(both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).join(out, "u").join(ids.withColumnRenamed("entity_id", "v"), "v", "left_semi").select("u", "v", (F.col("k") / F.col("out")).alias("w")), "pagerank-links")
-    now = cut(ids.withColumn("pagerank", F.lit(1.0 / n)), "pagerank")
-    for i in range(iterations):
-        gained = links.join(now, F.col("u") == F.col("entity_id")).groupBy(F.col("v").alias("entity_id")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
-        new = ids.join(gained, "entity_id", "left").select("entity_id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
-        if tolerance is not None or i % CUT_EVERY == CUT_EVERY - 1:
-            new = cut(new, "pagerank")
+    both = cut(undirected(edges).groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "pagerank-edges", few=True)
+    out = both.groupBy("u").agg(F.sum("k").alias("out"))
+    sent = both.join(out, "u").join(ids.withColumnRenamed("entity_id", "v"), "v", "left_semi").select("u", "v", (F.col("k") / F.col("out")).alias("w"), F.lit(False).alias("own"))
+    links = cut(sent.unionByName(ids.select(F.col("entity_id").alias("u"), F.col("entity_id").alias("v"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))), "pagerank-links", few=True)
+    drop_cut(both)
+    now, held = ids.withColumn("pagerank", F.lit(1.0 / n)), None
+    for begin in range(0, iterations, CUT_EVERY):
+        steps = min(CUT_EVERY, iterations - begin)
+        state = now.select("entity_id", F.array("pagerank").alias("h"))
+        for _ in range(steps):
+            got = links.join(state, F.col("u") == F.col("entity_id")).select(F.col("v").alias("to"), (F.element_at("h", -1) * F.col("w")).alias("got"), F.when(F.col("own"), F.col("h")).alias("h"))
+            rank = F.lit((1 - damping) / n) + damping * F.col("got")
+            state = got.groupBy("to").agg(F.sum("got").alias("got"), F.max("h").alias("h")).select(F.col("to").alias("entity_id"), F.concat("h", F.array(rank)).alias("h"))
+        state = cut(state, "pagerank", few=True)
+        if held is not None:
+            drop_cut(held)
+        held = state
         if tolerance is not None:
-            moved = new.join(now.withColumnRenamed("pagerank", "was"), "entity_id").agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0]
-            if moved < tolerance:
-                return now
-        now = new
-    return spark.createDataFrame([], now.schema).unionByName(now)
+            moved = state.agg(*(F.sum(F.abs(F.get("h", F.lit(k)) - F.get("h", F.lit(k - 1)))).alias(f"m{k}") for k in range(1, steps + 1))).first()
+            settled = next((k for k in range(1, steps + 1) if moved[k - 1] is not None and moved[k - 1] < tolerance), None)
+            if settled is not None:
+                return state.select("entity_id", F.get("h", F.lit(settled - 1)).alias("pagerank"))
+        now = state.select("entity_id", F.get("h", F.lit(steps)).alias("pagerank"))
+    return now
 
 
-def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(community, size, members) of components with more than one node; members sorted."""
+#: Names that a row shows of a group that may be of any size.
+SHOWN = 10
+
+
+def _first(rows: DataFrame, key: str, value: str, shown: int) -> DataFrame:
+    """(key, first): the ``shown`` smallest values of each key, sorted; a group is cut before it is gathered."""
+    order = Window.partitionBy(key).orderBy(value)
+    near = rows.select(key, value).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= shown)
+    return near.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("first"))
+
+
+def community_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community) of every node in a component of more than one node."""
     ids = cut(nodes.select("entity_id").distinct(), "community-nodes")
     inner = edges.join(ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
-    found = connected_components(inner, "source_entity_id", "target_entity_id")
-    return found.groupBy(F.col("component").alias("community")).agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("node")).alias("members")).where("size > 1")
+    found = connected_components(inner.where("source_entity_id <> target_entity_id"), "source_entity_id", "target_entity_id")
+    return found.select("node", F.col("component").alias("community"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(community, size, members): components of more than one node with their first ``shown`` members.
+
+    All members are the rows of :func:`community_members`; a giant component is never one row.
+    """
+    found = cut(community_members(nodes, edges), "communities", few=True)
+    sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(_first(found, "community", "node", shown), "community").select("community", "size", F.col("first").alias("members"))
+
 
+def top_communities(found: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` largest communities; equals by id."""
+    return found.orderBy(F.desc("size"), "community").limit(n)
 
-def love_triangles(edges: DataFrame) -> DataFrame:
-    """(target, suitors, first three) of nodes that are loved at least twice."""
-    loved = edges.where("predicate = 'LOVES'").groupBy(F.col("target_entity_id").alias("target")).agg(F.count(F.lit(1)).alias("suitors"), F.slice(F.array_sort(F.collect_set("source_entity_id")), 1, 3).alias("first_suitors"))
-    return loved.where("suitors >= 2")
 
+def love_triangles(edges: DataFrame, shown: int = 3) -> DataFrame:
+    """(target, suitors, first_suitors) of nodes that are loved at least twice; repeats count, but show once."""
+    loved = edges.where("predicate = 'LOVES'").select(F.col("target_entity_id").alias("target"), F.col("source_entity_id").alias("suitor"))
+    counts = loved.groupBy("target").agg(F.count(F.lit(1)).alias("suitors")).where("suitors >= 2")
+    return counts.join(_first(loved.distinct(), "target", "suitor", shown), "target").select("target", "suitors", F.col("first").alias("first_suitors"))
 
-def deaths(edges: DataFrame) -> DataFrame:
-    return edges.where("predicate = 'KILLS'").groupBy(F.col("target_entity_id").alias("target")).agg(F.array_sort(F.collect_set("source_entity_id")).alias("killers"))
 
+def deaths(edges: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(target, killers, first_killers) of nodes that are killed: distinct killers, and the first of them."""
+    killed = edges.where("predicate = 'KILLS'").select(F.col("target_entity_id").alias("target"), F.col("source_entity_id").alias("killer")).distinct()
+    counts = killed.groupBy("target").agg(F.count(F.lit(1)).alias("killers"))
+    return counts.join(_first(killed, "target", "killer", shown), "target").select("target", "killers", F.col("first").alias("first_killers"))
 
-def lineages(edges: DataFrame, most: int = 64) -> DataFrame:
+
+def lineages(edges: DataFrame) -> DataFrame:
     """(leaf, depth, chain from the root) for every child that is no parent; a cycle ends where it would repeat.
 
-    Of several parents the largest counts. One join a generation; chains that have ended leave the loop.
+    Of several parents the largest counts. One join a generation, as many as the longest chain has; chains that have
+    ended leave the loop.
     """
     parent = cut(edges.where("predicate = 'DESCENDS_FROM' AND source_entity_id <> target_entity_id").groupBy(F.col("source_entity_id").alias("child")).agg(F.max("target_entity_id").alias("parent")), "parents")
     leaves = parent.join(parent.select(F.col("parent").alias("child")).distinct(), "child", "left_anti")
     walk, done = leaves.select(F.col("child").alias("leaf"), F.array("parent", "child").alias("chain")), None
-    for _ in range(most):
+    while True:
         step = walk.join(parent, F.get("chain", F.lit(0)) == F.col("child"), "left").withColumn("on", F.col("parent").isNotNull() & ~F.array_contains("chain", F.col("parent")))
-        step = cut(step, "lineage")
+        step = cut(step, "lineage", few=True)
         ended = step.where("NOT on").select("leaf", "chain")
         done = ended if done is None else done.unionByName(ended)
         walk = step.where("on").select("leaf", F.concat(F.array("parent"), "chain").alias("chain"))
@@ -97,6 +137,19 @@ def lineages(edges: DataFrame, most: int = 64) -> DataFrame:
     return done.select("leaf", F.size("chain").alias("depth"), "chain")
 
 
+def top_lineages(chains: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` deepest lineages; equals by leaf."""
+    return chains.orderBy(F.desc("depth"), "leaf").limit(n)
+
+
+def patterns(edges: DataFrame, n: int = 50) -> DataFrame:
+    """(kind, target, size) of love triangles, deaths and the ten deepest lineages, in that order, the first ``n``."""
+    loved = love_triangles(edges).select(F.lit(1).alias("place"), F.lit("love_triangle").alias("kind"), "target", F.col("suitors").alias("size"))
+    killed = deaths(edges).select(F.lit(2), F.lit("death"), "target", "killers")
+    family = top_lineages(lineages(edges)).select(F.lit(3), F.lit("family_lineage"), "leaf", F.col("depth").cast("bigint"))
+    return loved.union(killed).union(family).orderBy("place", F.desc("size"), "target").limit(n).select("kind", "target", "size")
+
+
 def top(rows: DataFrame, score: str, n: int, id_col: str = "entity_id") -> DataFrame:
     """The ``n`` rows of highest score; equals by id."""
     return rows.orderBy(F.desc(score), id_col).limit(n)
