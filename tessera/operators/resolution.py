@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -20,16 +21,27 @@ def scope_key(scope: str, source: Column, doc_id: Column) -> Column:
     return {"global": F.lit(""), "per_source": source, "per_doc": doc_id}[scope].cast("string")
 
 
+def _lexical_key(mentions: DataFrame, scope: str, min_length: int) -> DataFrame:
+    """``mentions`` with norm, scope_id and new_id: the resolved id is a function of the row."""
+    form = T.normalize_mention(F.col("surface"))
+    form = F.when(F.length(form) < min_length, F.concat(F.lit("__short__:"), form)).otherwise(form)
+    keyed = mentions.withColumn("norm", form).withColumn("scope_id", scope_key(scope, F.col("source"), F.col("doc_id")))
+    return keyed.withColumn("new_id", T.stable_id("ent", F.lit("resolved"), F.col("entity_type"), F.col("norm"), F.col("scope_id")))
+
+
+def assign_lexical(mentions: DataFrame, scope: str = "per_source", min_length: int = 2) -> DataFrame:
+    """``mentions`` with the ids that :func:`resolve_lexical` gives them: a projection, where a join would move them all."""
+    keyed = _lexical_key(mentions, scope, min_length)
+    return keyed.select(*(F.col("new_id").alias(c) if c == "entity_id" else c for c in mentions.columns))
+
+
 def resolve_lexical(mentions: DataFrame, scope: str = "per_source", min_length: int = 2) -> tuple[DataFrame, DataFrame]:
     """(entities, old id -> new id) of mentions with equal type, normal form and scope.
 
     The name is the most frequent surface, among equals the one whose first member id is smallest; aliases are the
     other surfaces. Counts by surface are made before anything is gathered, so a group holds surfaces, not mentions.
     """
-    form = T.normalize_mention(F.col("surface"))
-    form = F.when(F.length(form) < min_length, F.concat(F.lit("__short__:"), form)).otherwise(form)
-    keyed = mentions.withColumn("norm", form).withColumn("scope_id", scope_key(scope, F.col("source"), F.col("doc_id")))
-    keyed = keyed.withColumn("new_id", T.stable_id("ent", F.lit("resolved"), F.col("entity_type"), F.col("norm"), F.col("scope_id")))
+    keyed = _lexical_key(mentions, scope, min_length)
     surfaces = keyed.groupBy("new_id", "entity_type", "norm", "scope_id", "surface").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "first_id", "surface")))
     named = surfaces.groupBy("new_id", "entity_type", "norm", "scope_id").agg(ranked.alias("r"), F.sum("n").alias("mention_count"))
@@ -42,9 +54,21 @@ def resolve_lexical(mentions: DataFrame, scope: str = "per_source", min_length:
     return entities, keyed.select(F.col("entity_id").alias("old_id"), "new_id").distinct()
 
 
-def members(mapping: DataFrame) -> DataFrame:
-    """(entity_id, member_entity_ids): the old ids of each entity, sorted."""
-    return mapping.groupBy(F.col("new_id").alias("entity_id")).agg(F.array_sort(F.collect_set("old_id")).alias("member_entity_ids"))
+#: Ids that a row shows of a group that may be of any size; all of them are the rows of the mapping.
+SHOWN = 100
+
+
+def first_ids(rows: DataFrame, key: str, value: str, most: int = SHOWN) -> DataFrame:
+    """(key, first): the ``most`` smallest values of each key, sorted; a group is cut before it is gathered."""
+    order = Window.partitionBy(key).orderBy(value)
+    near = rows.select(key, value).distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    return near.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("first"))
+
+
+def members(mapping: DataFrame, most: int = SHOWN) -> DataFrame:
+    """(entity_id, n_members, member_entity_ids): how many old ids an entity has, and the first ``most`` of them."""
+    sizes = mapping.select("new_id", "old_id").distinct().groupBy("new_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return sizes.join(first_ids(mapping, "new_id", "old_id", most), "new_id").select(F.col("new_id").alias("entity_id"), "n_members", F.col("first").alias("member_entity_ids"))
 
 
 def remap(rows: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
@@ -62,20 +86,24 @@ def first_document(mentions: DataFrame) -> DataFrame:
 def merge_clusters(entities: DataFrame, clusters: DataFrame, mentions: DataFrame, reference_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """(merged entities, old id -> new id). ``clusters``: (entity_id, cluster).
 
-    The entity with most mentions gives name, type and source (among equals the smallest id); the others' names are
-    aliases. A cluster of one keeps its id. ``reference_ids`` makes ids of source and name alone, which may collide;
-    by default type and cluster take part.
+    The entity with most mentions gives name, type and source (among equals the smallest id); the others' distinct
+    names are aliases. A cluster of one keeps its id. ``reference_ids`` makes ids of source and name alone, which may
+    collide; by default type and cluster take part. ``merged`` counts the entities of a cluster and ``merged_from``
+    shows the first of them; all of them are rows of the mapping, so a large cluster is never gathered.
     """
     counts = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     rows = entities.join(clusters, "entity_id").join(counts, "entity_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = F.min_by(F.struct("entity_id", "entity_type", "canonical_name", "source"), F.struct((-F.col("n")).alias("m"), F.col("entity_id").alias("e")))
-    grouped = rows.groupBy("cluster").agg(best.alias("b"), F.collect_set("canonical_name").alias("names"), F.flatten(F.collect_set("aliases")).alias("more"), F.array_sort(F.collect_set("entity_id")).alias("merged_from"), F.sum("n").alias("mention_count"))
+    grouped = rows.groupBy("cluster").agg(best.alias("b"), F.count(F.lit(1)).alias("merged"), F.sum("n").alias("mention_count"))
+    every = rows.select("cluster", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name IS NOT NULL").distinct()
+    names = every.groupBy("cluster").agg(F.collect_set("name").alias("names"))
     parts = [F.lit("merged"), F.col("b.source"), F.col("b.canonical_name")] + ([] if reference_ids else [F.col("b.entity_type"), F.col("cluster")])
-    new_id = F.when(F.size("merged_from") == 1, F.col("b.entity_id")).otherwise(T.stable_id("ent", *parts))
+    new_id = F.when(F.col("merged") == 1, F.col("b.entity_id")).otherwise(T.stable_id("ent", *parts))
     named = grouped.withColumn("new_id", new_id)
-    aliases = F.array_sort(F.array_remove(F.array_distinct(F.concat("names", "more")), F.col("b.canonical_name")))
-    merged = named.select(F.col("new_id").alias("entity_id"), "b.entity_type", "b.canonical_name", "b.source", aliases.alias("aliases"), "mention_count", "merged_from")
-    return merged, named.select(F.explode("merged_from").alias("old_id"), "new_id")
+    shown = named.join(names, "cluster", "left").join(first_ids(rows, "cluster", "entity_id"), "cluster")
+    aliases = F.array_sort(F.array_remove(F.coalesce("names", F.array().cast("array<string>")), F.col("b.canonical_name")))
+    merged = shown.select(F.col("new_id").alias("entity_id"), "b.entity_type", "b.canonical_name", "b.source", aliases.alias("aliases"), "mention_count", "merged", F.col("first").alias("merged_from"))
+    return merged, clusters.join(named.select("cluster", "new_id"), "cluster").select(F.col("entity_id").alias("old_id"), "new_id")
 
 
 def resolve_by_name(entities: DataFrame, mentions: DataFrame, scope: str = "per_source", by_type: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -107,19 +135,32 @@ class HashedNames:
         return out
 
 
+class EmbeddingFailed(RuntimeError):
+    """The embedding provider gave a vector for no name at all."""
+
+
 def embed_names(entities: DataFrame, provider=None) -> DataFrame:
-    """``entities`` with ``embedding``; each distinct name is embedded once, failures are zero vectors."""
+    """``entities`` with ``embedding``; each distinct name is embedded once.
+
+    A failed call gives zero vectors, which are like nothing. Failures are counted and logged, and where every name
+    has failed :class:`EmbeddingFailed` is raised: a provider that is down must not look like names that don't match.
+    """
     provider = provider or HashedNames()
 
-    @F.pandas_udf("array<float>")
-    def embed(names: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<embedding:array<float>,failed:boolean>")
+    def embed(names: pd.Series) -> pd.DataFrame:
         try:
-            return pd.Series(list(provider.embed(names.fillna("").tolist())))
-        except Exception:  # noqa: BLE001  a failed call is a zero vector by contract
-            return pd.Series([np.zeros(provider.dim, np.float32)] * len(names))
+            return pd.DataFrame({"embedding": [np.asarray(v, np.float32) for v in provider.embed(names.fillna("").tolist())], "failed": False})
+        except Exception:  # noqa: BLE001  a failed call is a zero vector by contract, and is counted
+            return pd.DataFrame({"embedding": [np.zeros(provider.dim, np.float32)] * len(names), "failed": True})
 
-    vectors = entities.select("canonical_name").distinct().withColumn("embedding", embed("canonical_name"))
-    return entities.join(vectors, "canonical_name")
+    vectors = cut(entities.select("canonical_name").distinct().select("canonical_name", embed("canonical_name").alias("v")), "name-vectors")
+    failed, total = vectors.agg(F.count_if("v.failed"), F.count(F.lit(1))).first()
+    if failed:
+        logging.getLogger(__name__).warning("%d of %d names have no embedding", failed, total)
+        if failed == total:
+            raise EmbeddingFailed(f"no embedding for any of {total} names")
+    return entities.join(vectors.select("canonical_name", "v.embedding"), "canonical_name")
 
 
 #: Vectors of one side of a block of the similarity join.
@@ -201,49 +242,113 @@ def resolve_embedding(entities: DataFrame, mentions: DataFrame, merge: float = 0
     return merged, mapping, edges
 
 
-#: Entities of one block that average linkage takes; it needs all their distances at once.
-LINKAGE_BLOCK = 2000
+#: Share of the equal normal form in the similarity of two names; the rest is the cosine of their embeddings.
+LEXICAL_SHARE = 0.4
+
 
+def average_linkage(forms: list[str], vectors: np.ndarray, weights: list[int], threshold: float, share: float = LEXICAL_SHARE) -> list[int]:
+    """Cluster numbers by average linkage on share * (equal form) + (1 - share) * cosine, down to ``threshold``.
 
-def average_linkage(names: list[str], vectors: np.ndarray, threshold: float, lexical_weight: float = 0.4) -> list[int]:
-    """Cluster numbers by average linkage on 0.4 * lexical + 0.6 * cosine similarity, down to ``threshold``."""
-    from difflib import SequenceMatcher
+    Item i stands for ``weights[i]`` equal entities. The average over all pairs of two clusters is the product of the
+    sums of their unit vectors, and for the forms of their counts, over the number of pairs: clusters are sums, and no
+    matrix of similarities is held, so a block may be of any size that its vectors fit. A merge makes no average
+    higher than the higher of the two it joins, so the best partner of another cluster is looked for anew only where
+    it was one of the two.
+    """
+    n = len(forms)
+    unit = np.divide(vectors, norm := np.linalg.norm(vectors, axis=1, keepdims=True), out=np.zeros_like(vectors, dtype=np.float64), where=norm > 0)
+    size = np.array(weights, np.float64)
+    sums = unit * size[:, None]
+    counts: list[dict[str, float]] = [{f: float(w)} for f, w in zip(forms, weights, strict=True)]
+    holders: dict[str, dict[int, float]] = {}
+    for i, f in enumerate(forms):
+        holders.setdefault(f, {})[i] = float(weights[i])
+    label, alive = np.arange(n), np.ones(n, bool)
+
+    def row(i: int) -> np.ndarray:
+        same = np.zeros(n)
+        for f, c in counts[i].items():
+            for k, d in holders[f].items():
+                same[k] += c * d
+        sim = (share * same + (1 - share) * (sums @ sums[i])) / (size * size[i])
+        sim[~alive] = -np.inf
+        sim[i] = -np.inf
+        return sim
+
+    best, partner = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+    def look(i: int) -> None:
+        sim = row(i)
+        partner[i] = int(np.argmax(sim))
+        best[i] = sim[partner[i]]
 
-    n = len(names)
-    unit = np.divide(vectors, norm := np.linalg.norm(vectors, axis=1, keepdims=True), out=np.zeros_like(vectors), where=norm > 0)
-    sim = (1 - lexical_weight) * (unit @ unit.T)
     for i in range(n):
-        for j in range(i + 1, n):
-            sim[i, j] = sim[j, i] = sim[i, j] + lexical_weight * SequenceMatcher(None, names[i], names[j]).ratio()
-    np.fill_diagonal(sim, -np.inf)
-    size, label, alive = np.ones(n), list(range(n)), np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = sorted(np.unravel_index(np.argmax(np.where(alive[:, None] & alive[None, :], sim, -np.inf)), sim.shape))
-        if sim[i, j] < threshold:
+        look(i)
+    while n > 1:
+        i = int(np.argmax(best))
+        if best[i] < threshold:
             break
-        sim[i] = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
-        sim[:, i] = sim[i]
-        sim[i, i] = -np.inf
+        i, j = sorted((i, int(partner[i])))
+        sums[i] += sums[j]
         size[i] += size[j]
-        alive[j] = False
-        label = [i if x == j else x for x in label]
-    return label
-
-
-def resolve_hybrid(entities: DataFrame, mentions: DataFrame, threshold: float = 0.85, provider=None) -> tuple[DataFrame, DataFrame]:
-    """Average linkage within (source, type, first letter of the normal form): blocks the quadratic step stays in."""
-    vectors = embed_names(entities, provider).withColumn("norm", T.normalize_mention(F.col("canonical_name")))
-    key = ["source", "entity_type", "letter"]
-    rows = vectors.select("entity_id", "norm", "embedding", "source", "entity_type", F.substring("norm", 1, 1).alias("letter"))
+        for f, c in counts[j].items():
+            counts[i][f] = counts[i].get(f, 0.0) + c
+            del holders[f][j]
+            holders[f][i] = counts[i][f]
+        alive[j], best[j] = False, -np.inf
+        label[label == label[j]] = label[i]
+        for k in np.flatnonzero(alive & ((partner == i) | (partner == j))):
+            look(int(k))
+        look(i)
+    return label.tolist()
+
+
+def hybrid_pairs(vectors: DataFrame, threshold: float, share: float = LEXICAL_SHARE) -> DataFrame:
+    """(i, j, similarity) of names of one scope with share * (equal form) + (1 - share) * cosine of at least ``threshold``.
+
+    ``vectors``: id, scope, norm, embedding. Names of one form need a lower cosine, and for others the whole cosine may
+    not be enough: then only names of one form are compared at all.
+    """
+    one_form = vectors.withColumn("scope", F.concat_ws(T.UNIT, "scope", "norm"))
+    pairs = similar_pairs(one_form, (threshold - share) / (1 - share)).withColumn("similarity", share + (1 - share) * F.col("similarity"))
+    if threshold / (1 - share) <= 1 + 1e-9:
+        others = similar_pairs(vectors, threshold / (1 - share) - 1e-9).join(vectors.select(F.col("id").alias("i"), F.col("norm").alias("a")), "i").join(vectors.select(F.col("id").alias("j"), F.col("norm").alias("b")), "j")
+        pairs = pairs.unionByName(others.where("a <> b").select("i", "j", ((1 - share) * F.col("similarity")).alias("similarity")))
+    return pairs.where(F.col("similarity") >= threshold)
+
+
+def resolve_hybrid(
+    entities: DataFrame, mentions: DataFrame, threshold: float = 0.85, candidate: float = 0.70, provider=None, share: float = LEXICAL_SHARE, by_type: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, mapping, candidate edges between the new ids) by average linkage of names within a source.
+
+    Equal names are one item with a weight. Two clusters whose average reaches the threshold have a pair that reaches
+    it, so no cluster goes beyond a component of such pairs: components are linked one by one, with the same result as
+    all names at once. With ``by_type`` entities of different types stay apart.
+    """
+    scope = F.concat_ws(T.UNIT, "source", "entity_type") if by_type else F.col("source")
+    placed = embed_names(entities.withColumn("scope", scope), provider).withColumn("norm", T.normalize_mention(F.col("canonical_name")))
+    placed = placed.withColumn("id", T.stable_id("name", F.col("scope"), F.col("canonical_name")))
+    named = cut(placed.groupBy("id", "scope", "norm").agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("weight")), "hybrid-names")
+    near = cut(hybrid_pairs(named, min(candidate, threshold), share), "hybrid-pairs")
+    parts = connected_components(near.where(F.col("similarity") >= threshold), "i", "j")
+    items = named.join(parts.withColumnRenamed("node", "id"), "id")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > LINKAGE_BLOCK:
-            raise ValueError(f"a block of {len(pdf)} entities is too large for average linkage; use resolve_embedding")
-        pdf = pdf.sort_values("entity_id", ignore_index=True)
-        label = average_linkage(pdf["norm"].tolist(), np.array(pdf["embedding"].tolist(), np.float64), threshold)
-        return pd.DataFrame({"entity_id": pdf["entity_id"], "cluster": [pdf["entity_id"][x] for x in label]})
-
-    return merge_clusters(entities, rows.groupBy(*key).applyInPandas(link, "entity_id string, cluster string"), mentions)
+        pdf = pdf.sort_values("id", ignore_index=True)
+        label = average_linkage(pdf["norm"].tolist(), np.array(pdf["embedding"].tolist(), np.float64), pdf["weight"].tolist(), threshold, share)
+        return pd.DataFrame({"id": pdf["id"], "cluster": [pdf["id"][x] for x in label]})
+
+    linked = items.select("id", "norm", "embedding", "weight", "component").groupBy("component").applyInPandas(link, "id string, cluster string")
+    # a name beyond all components is a cluster of its own, and so are equal names: their similarity is 1
+    clusters = placed.select("entity_id", "id").join(linked, "id", "left").select("entity_id", F.coalesce("cluster", "id").alias("cluster"))
+    clusters = cut(clusters, "hybrid-clusters")
+    merged, mapping = merge_clusters(entities, clusters, mentions)
+    ids = placed.select("id", "entity_id").join(mapping.withColumnRenamed("old_id", "entity_id"), "entity_id").select("id", "new_id").distinct()
+    maybe = near.where((F.col("similarity") >= candidate) & (F.col("similarity") < threshold))
+    maybe = maybe.join(ids.select(F.col("id").alias("i"), F.col("new_id").alias("a")), "i").join(ids.select(F.col("id").alias("j"), F.col("new_id").alias("b")), "j")
+    edges = candidate_edges(maybe.where("a <> b").groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.max("similarity").alias("similarity")), 2)
+    return merged, mapping, edges
 
 
 def ground(entities: DataFrame, mentions: DataFrame, fiction: str, history: str) -> DataFrame:
