@@ -104,12 +104,14 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
 
     ``group`` 1 takes a group that ends where the match ends.
     """
-    whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    columns = [F.split(text, pattern, -1).alias("gap"), whole.alias("whole")]
+    zipped = F.arrays_zip(*columns, *([F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part")] if group else []))
+    part = "part" if group else "whole"
 
     def spans(steps: Column) -> Column:
         ends = running_sums(F.transform(steps, lambda z: F.length(z["gap"]) + F.length(z["whole"])))
-        return F.zip_with(steps, ends, lambda z, end: F.struct((end - F.length(z["part"])).alias("start"), end.alias("end"), z["part"].alias("token")))
+        return F.zip_with(steps, ends, lambda z, end: F.struct((end - F.length(z[part])).alias("start"), end.alias("end"), z[part].alias("token")))
 
     return let(F.filter(zipped, lambda z: z["whole"].isNotNull()), spans)
 
@@ -133,6 +135,34 @@ def chunks(tokens: Column, target: int = 250, overlap: int = 40) -> Column:
     return F.when(n > 0, window).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+def word_chunks(text: Column, target: int = 250, overlap: int = 40) -> Column:
+    """:func:`chunks` of the words of a text, without a place for every word.
+
+    Chunks begin every ``target - overlap`` words: lengths are summed by such steps, and only the sums of steps are run up.
+    """
+    if target <= 0 or not 0 <= overlap < target:
+        raise ValueError("chunking needs target > 0 and 0 <= overlap < target")
+    step = target - overlap
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+
+    def place(lengths: Column) -> Column:
+        # (length of the gap before a word, of both): a text of n words has n of them
+        whole = F.transform(lengths, lambda z: z["gap"] + z["word"])
+        last = F.greatest(F.lit(0), F.ceil((F.size(lengths) - target) / F.lit(step)).cast("int"))
+        begins = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
+
+        def windows(w: Column) -> Column:
+            sums = F.transform(begins, lambda b: total(F.slice(w, b + 1, F.lit(step))))
+            spans = lambda upto: F.zip_with(begins, upto, lambda b, end: F.struct((end - total(F.slice(w, b + 1, F.lit(step))) + F.get(lengths, b)["gap"]).alias("start"), (end - total(F.slice(w, b + 1, F.lit(step))) + total(F.slice(w, b + 1, F.lit(target)))).alias("end")))
+            return let(running_sums(sums), spans)
+
+        return let(whole, windows)
+
+    zipped = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
+    lengths = F.transform(F.filter(zipped, lambda z: z["word"].isNotNull()), lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["word"]).alias("word")))
+    return let(lengths, lambda ls: F.when(F.size(ls) > 0, place(ls)).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+
+
 def names(text: Column) -> Column:
     """Surfaces of single capitalised words that are no stopwords, in order."""
     found = F.regexp_extract_all(text, F.lit(CAPITAL_RUN), F.lit(1))
@@ -221,6 +251,7 @@ def answer_tokens(text: Column) -> Column:
     form = normalize_answer(text)
     words = F.filter(F.split(form, "\\s+"), lambda w: w != "")
     runs = F.regexp_extract_all(form, F.lit("[a-z0-9]+"), F.lit(0))
+    # fixed value: the parts of a CamelCase word
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Z][a-z]+|[A-Z]+(?![a-z])|[0-9]+"), F.lit(0))
     camel = F.filter(F.transform(parts, normalize_answer), lambda w: w != "")
     return F.when(F.size(words) != 1, words).when(F.size(runs) > 1, runs).when(F.size(parts) > 0, camel).otherwise(words)

@@ -55,7 +55,10 @@ STOPWORDS = (
     "era", "este", "fost", "sunt", "fi", "avea", "face", "fiind",
 )
 #: The shorter list of the second extractor.
-STOPWORDS_SHORT = STOPWORDS[:18]
+STOPWORDS_SHORT = (
+    "într-o", "într-un", "de", "la", "pe", "cu", "din", "în", "pentru",
+    "și", "sau", "dar", "dacă", "când", "unde", "cum", "ce", "care",
+)
 #: Words that are no names, compared as written.
 STOPWORDS_TITLE = ("Erau", "Nu", "Cât", "Apoi", "Ș-apoi", "Într-una", "Draga", "Povești")
 #: Names that are junk entities.

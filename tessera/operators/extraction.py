@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,23 @@ def normalize_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", T.normalize_text(F.col("text"))).withColumn("spans", F.transform("spans", fix))
 
 
-def chunk_documents(docs: DataFrame, target: int = 250, overlap: int = 40) -> DataFrame:
-    """(chunk_id, doc_id, source, start_char, end_char, text) of every chunk; documents without words have none."""
-    tokens = docs.select("doc_id", "source", "text", T.match_spans(F.col("text"), T.WORD).alias("tokens"))
-    spans = tokens.select("doc_id", "source", "text", F.explode(T.chunks(F.col("tokens"), target, overlap)).alias("c"))
+def chunk_documents(docs: DataFrame, target: int = 250, overlap: int = 40, tokenizer=None) -> DataFrame:
+    """(chunk_id, doc_id, source, start_char, end_char, text) of every chunk; documents without words have none.
+
+    Tokens are words, or those of ``tokenizer``: a provider with ``offsets(texts)``, a list of (start, end) in code points for
+    each text, which is sent to the workers and called once a batch.
+    """
+    if tokenizer is None:
+        places = T.word_chunks(F.col("text"), target, overlap)
+    else:
+
+        @F.pandas_udf("array<struct<start:int,end:int>>")
+        def offsets(text: pd.Series) -> pd.Series:
+            return pd.Series([[{"start": a, "end": b} for a, b in spans] for spans in tokenizer.offsets(text.fillna("").tolist())])
+
+        docs = docs.select("doc_id", "source", "text", offsets("text").alias("__tokens"))
+        places = T.chunks(F.col("__tokens"), target, overlap)
+    spans = docs.select("doc_id", "source", "text", F.explode(places).alias("c"))
     return spans.select(
         T.stable_id("chunk", F.col("doc_id"), F.col("c.start"), F.col("c.end")).alias("chunk_id"),
         "doc_id", "source", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), T.span_text(F.col("text"), F.col("c.start"), F.col("c.end")).alias("text"),
@@ -65,6 +79,38 @@ def regex_mentions(chunks: DataFrame, fictional_source: str, confidence: float =
     return _with_ids(rows.withColumn("entity_type", kind).withColumn("confidence", F.lit(0.6 if advanced else confidence)))
 
 
+def model_mentions(chunks: DataFrame, provider, fictional_source: str) -> DataFrame:
+    """Mentions that a model finds. ``provider.find(texts)`` gives, for each text, dicts of word, label, score, start and end.
+
+    Where a model leaves start and end out, the word is looked up behind the one before it, then in the whole text, and
+    dropped if it isn't there. Model labels are mapped; characters stand in the fictional source only.
+    """
+    schema = "chunk_id string, doc_id string, source string, surface string, start_char int, end_char int, label string, confidence double"
+
+    def find(batches):
+        for pdf in batches:
+            rows = []
+            for chunk, found in zip(pdf.itertuples(index=False), provider.find(pdf["text"].tolist()), strict=True):
+                behind = 0
+                for item in found:
+                    surface = str(item.get("word") or "").strip()
+                    begin, end = item.get("start"), item.get("end")
+                    if begin is None or end is None:
+                        begin = chunk.text.find(surface, behind)
+                        begin = chunk.text.find(surface) if begin < 0 else begin
+                        end = begin + len(surface)
+                        behind = end if begin >= 0 else behind
+                    if surface and begin >= 0:
+                        rows.append((chunk.chunk_id, chunk.doc_id, chunk.source, surface, chunk.start_char + int(begin), chunk.start_char + int(end), str(item.get("label") or "").upper(), float(item.get("score", 0.5))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    found = chunks.select("chunk_id", "doc_id", "source", "start_char", "text").mapInPandas(find, schema)
+    fictional = F.col("source") == fictional_source
+    kind = label_type(F.col("label"), vocab.MODEL_LABELS, "")
+    kind = F.when(kind == "", F.when(fictional, "Character").otherwise("Person")).when((kind == "Character") & ~fictional, "Person").otherwise(kind)
+    return _with_ids(found.withColumn("entity_type", kind).drop("label"))
+
+
 def label_type(label: Column, mapping: dict[str, str], default: str) -> Column:
     known = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
     return F.coalesce(known[F.upper(label)], F.lit(default))
@@ -80,11 +126,26 @@ def span_mentions(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return _with_ids(rows.where(F.col("surface") != "").withColumn("confidence", F.lit(0.99)))
 
 
-def extract_mentions(docs: DataFrame, chunks: DataFrame, gold_source: str, fictional_source: str) -> DataFrame:
-    """Gold spans for documents of the gold source that have some, the regular expression for all others."""
+def extract_mentions(docs: DataFrame, chunks: DataFrame, gold_source: str, fictional_source: str, engine: str = "regex", provider=None) -> DataFrame:
+    """Gold spans for documents of the gold source that have some, ``engine`` for all others.
+
+    Engines: ``regex``; ``model`` (of ``provider``); ``ensemble``, both merged; ``advanced``, the second expression's and the
+    first's mentions by vote.
+    """
     gold = docs.where((F.col("source") == gold_source) & (F.size("spans") > 0))
     spanned = span_mentions(chunks.join(gold.select("doc_id"), "doc_id", "left_semi"), gold)
-    return spanned.unionByName(regex_mentions(chunks.join(gold.select("doc_id"), "doc_id", "left_anti"), fictional_source))
+    rest = chunks.join(gold.select("doc_id"), "doc_id", "left_anti")
+    if engine == "regex":
+        found = regex_mentions(rest, fictional_source)
+    elif engine == "model":
+        found = model_mentions(rest, provider, fictional_source)
+    elif engine == "ensemble":
+        found = merge_mentions(regex_mentions(rest, fictional_source), model_mentions(rest, provider, fictional_source))
+    elif engine == "advanced":
+        found = vote_overlaps(regex_mentions(rest, fictional_source).unionByName(regex_mentions(rest, fictional_source, advanced=True))).drop("merged_from")
+    else:
+        raise ValueError(f"unknown engine {engine!r}")
+    return spanned.unionByName(found)
 
 
 def merge_mentions(first: DataFrame, second: DataFrame) -> DataFrame:
