@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.session import cut
 
-PATHS, FALLBACK_PATHS = 8, 4
+#: Paths of a question and, where it has none, edges; triples that a sample keeps.
+PATHS, FALLBACK_PATHS, SAMPLE_TRIPLES = 8, 4, 50
 
 
 def flatten_graph(rows: DataFrame, graph: str = "graph", most: int = 2000, id_col: str = "question_id") -> DataFrame:
@@ -29,21 +31,32 @@ def shortest_paths(triples: DataFrame, ends: DataFrame, hops: int = 4) -> DataFr
     """(question_id, start, goal, path): the first shortest path that breadth-first search finds in insertion order.
 
     ``ends``: question_id, start, goal. Each hop is one join and keeps one path for every node reached, the one whose
-    edges were inserted first along the way; a start that is its goal has no path of two nodes and is left out.
+    edges were inserted first along the way; a start that is its goal has no path of two nodes and is left out. Ends
+    that have met leave the search, which stops when none is left.
     """
     steps = cut(adjacency(triples).groupBy("question_id", "u", "v").agg(F.min("at").alias("at")), "steps")
     walk = ends.where("start <> goal").select("question_id", "start", "goal", F.array("start").alias("path"), F.array().cast("array<bigint>").alias("key"))
     found = None
     key = ["question_id", "start", "goal"]
-    for _ in range(hops):
+    for hop in range(hops):
         nxt = walk.withColumn("u", F.element_at("path", -1)).join(steps, ["question_id", "u"]).where(~F.array_contains("path", F.col("v")))
         nxt = nxt.select(*key, F.concat("path", F.array("v")).alias("path"), F.concat("key", F.array(F.col("at").cast("bigint"))).alias("key"), "v")
         # of the paths to one node the first in order of insertion is the one that breadth-first search keeps
         nxt = cut(nxt.groupBy(*key, "v").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")), "paths")
         hit = nxt.where("v = goal").select(*key, "path")
         found = hit if found is None else found.unionByName(hit)
-        walk = nxt.where("v <> goal").drop("v")
-    return found.withColumn("n", F.size("path")).groupBy(*key).agg(F.min_by("path", "n").alias("path"))
+        if hop < hops - 1:
+            walk = nxt.join(hit.select(*key), key, "left_anti").drop("v")
+            if walk.isEmpty():
+                break
+    return found
+
+
+def capped_paths(paths: DataFrame, ends: DataFrame, most: int = PATHS) -> DataFrame:
+    """(question_id, path): the first ``most`` paths of a question in the order of its ends (question_id, start, goal, rank)."""
+    order = Window.partitionBy("question_id").orderBy("rank", "start", "goal")
+    ranked = paths.join(ends, ["question_id", "start", "goal"]).withColumn("__n", F.row_number().over(order))
+    return ranked.where(F.col("__n") <= most).select("question_id", "path")
 
 
 def simple_paths(triples: DataFrame, ends: DataFrame, hops: int = 3) -> DataFrame:
@@ -75,15 +88,46 @@ def fallback_paths(triples: DataFrame, seeds: DataFrame, most: int = FALLBACK_PA
 
 
 def answer_value(answers: Column) -> Column:
-    """Answers without blanks."""
-    return F.filter(answers, lambda a: F.trim(F.coalesce(a, F.lit(""))) != "")
+    """Answers without blanks, as a sample keeps them: one answer as it is, several as a JSON list."""
+    kept = F.filter(answers, lambda a: F.trim(F.coalesce(a, F.lit(""))) != "")
+    return F.when(F.size(kept) == 1, F.get(kept, F.lit(0))).otherwise(F.coalesce(F.to_json(kept), F.lit("")))
+
+
+def joined_answers(answers: Column) -> Column:
+    """Answers that are not blank, with bars between them: what a generator is taught to write."""
+    return F.array_join(F.filter(answers, lambda a: F.trim(F.coalesce(a, F.lit(""))) != ""), " | ")
 
 
 def direct_paths(questions: DataFrame, most: int = 2) -> DataFrame:
-    """(question_id, path): [question entity, answer entity] of the first of each."""
+    """(question_id, path): [question entity, answer entity] of the first ``most`` of each."""
     return question_ends(questions, most).select("question_id", F.array("start", "goal").alias("path"))
 
 
+def subgraph_samples(questions: DataFrame, most: int = 2, shown: int = SAMPLE_TRIPLES) -> DataFrame:
+    """(question_id, paths, answer, graph_size, triples) of questions with a graph, by direct paths.
+
+    Without a pair of entities the path goes from the first head to the last tail. ``triples`` are the first ``shown``.
+    """
+    triples = flatten_graph(questions.where(F.size("graph") > 0))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "s", "p", "o")))
+    graphs = triples.groupBy("question_id").agg(ordered.alias("t"))
+    direct = direct_paths(questions, most).groupBy("question_id").agg(F.array_sort(F.collect_set("path")).alias("direct"))
+    rows = questions.where(F.size("graph") > 0).select("question_id", "answer").join(graphs, "question_id", "left").join(direct, "question_id", "left")
+    n = F.coalesce(F.size("t"), F.lit(0))
+    ends = F.when(n > 0, F.array(F.array(F.col("t")[0]["s"], F.element_at("t", -1)["o"]))).otherwise(F.array().cast("array<array<string>>"))
+    size = F.when(F.col("t").isNull(), 0).otherwise(n)
+    kept = F.transform(F.slice(F.coalesce("t", F.array().cast("array<struct<idx:int,s:string,p:string,o:string>>")), 1, shown), lambda x: F.array(x["s"], x["p"], x["o"]))
+    return rows.select("question_id", F.coalesce("direct", ends).alias("paths"), F.coalesce(F.get("answer", F.lit(0)), F.lit("")).alias("answer"), size.alias("graph_size"), kept.alias("triples"))
+
+
+def url_samples(rows: DataFrame, most: int = 3) -> DataFrame:
+    """(question, paths, answer, topic_entity) of rows (question, url, answers): from the URL's topic to the first answers."""
+    topic = T.url_slug(F.col("url"))
+    good = rows.where((F.coalesce("question", F.lit("")) != "") & (F.size("answers") > 0)).withColumn("topic_entity", topic).where("topic_entity <> ''")
+    paths = F.transform(F.slice("answers", 1, most), lambda a: F.array(F.col("topic_entity"), T.entity_slug(a)))
+    return good.select("question", paths.alias("paths"), F.get("answers", F.lit(0)).alias("answer"), "topic_entity")
+
+
 def parse_paths(parses: DataFrame) -> DataFrame:
     """(question_id, path): topic, relation chain, answer. ``parses``: question_id, topic, chain, answers (structs of argument, text)."""
     entity = lambda a: F.when(F.coalesce(a["argument"], F.lit("")) != "", a["argument"]).when(F.coalesce(a["text"], F.lit("")) != "", F.replace(F.lower(a["text"]), F.lit(" "), F.lit("_")))
@@ -91,6 +135,7 @@ def parse_paths(parses: DataFrame) -> DataFrame:
     return parses.where((F.coalesce("topic", F.lit("")) != "") & (F.size("answers") > 0)).select("question_id", F.explode(ends).alias("a"), "topic", "chain").select("question_id", F.concat(F.array("topic"), F.coalesce("chain", F.array().cast("array<string>")), F.array("a")).alias("path"))
 
 
+#: The templates of synthetic questions are the three below.
 def template_question(triples: DataFrame) -> DataFrame:
     """(s, p, o, question) from one of three templates, chosen by hash of the triple."""
     clean = lambda c: F.replace(F.replace(c, F.lit("/m/"), F.lit("")), F.lit("_"), F.lit(" "))
@@ -154,10 +199,47 @@ def coverage(questions: DataFrame, known: DataFrame) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("total"), found.alias("found"), F.when(F.count(F.lit(1)) > 0, found * 100.0 / F.count(F.lit(1))).otherwise(0.0).alias("coverage"))
 
 
+def _gumbel(seed: int) -> Column:
+    """Seeded Gumbel noise of a fact, by hash: the same whatever the order of rows."""
+    u = (F.pmod(F.xxhash64("question_id", "fact_idx", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    return -F.log(-F.log(u))
+
+
 def gumbel_select(scores: DataFrame, temperature: float = 1.0, seed: int | None = None, threshold: float = 0.5) -> DataFrame:
     """``scores`` (question_id, fact_idx, logit) with ``selected``: the sigmoid of the logit, with seeded hash noise if asked, above ``threshold``."""
     logit = F.col("logit")
     if seed is not None:
-        u = (F.pmod(F.xxhash64("question_id", "fact_idx", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-        logit = (logit - F.log(-F.log(u))) / temperature
+        logit = (logit + _gumbel(seed)) / temperature
     return scores.withColumn("selected", 1 / (1 + F.exp(-logit)) > threshold)
+
+
+def gumbel_softmax(scores: DataFrame, temperature: float = 0.5, seed: int | None = None) -> DataFrame:
+    """``scores`` (question_id, fact_idx, logit) with ``weight``: the categorical form, a softmax over a question's facts."""
+    noisy = (F.col("logit") + (_gumbel(seed) if seed is not None else F.lit(0.0))) / temperature
+    rows = scores.withColumn("__z", noisy)
+    most = rows.groupBy("question_id").agg(F.max("__z").alias("__most"))
+    shifted = rows.join(most, "question_id").withColumn("__e", F.exp(F.col("__z") - F.col("__most")))
+    total = shifted.groupBy("question_id").agg(F.sum("__e").alias("__total"))
+    return shifted.join(total, "question_id").select(*scores.columns, (F.col("__e") / F.col("__total")).alias("weight"))
+
+
+def training_selection(facts: DataFrame, cap: int = 100, temperature: float = 1.0, seed: int | None = None) -> DataFrame:
+    """The facts (question_id, fact_idx, prob) that a training step sees.
+
+    The logit of the probability, with seeded noise if asked, above 0, among the ``cap`` most probable; where none is
+    left, the most probable fact.
+    """
+    odds = F.log(F.col("prob") + 1e-8) - F.log(1 - F.col("prob") + 1e-8)
+    drawn = gumbel_select(facts.withColumn("logit", odds), temperature, seed)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("prob"), "fact_idx"))
+    near = drawn.withColumn("__rank", rank).where(F.col("__rank") <= cap)
+    # the last resort is known from the first ``cap`` rows of a question alone
+    some = F.max("selected").over(Window.partitionBy("question_id"))
+    return near.withColumn("__some", some).where("selected OR (NOT __some AND __rank = 1)").select(*facts.columns)
+
+
+def fact_probability(head: Column, relation: Column, tail: Column, weights: list[float], bias: float = 0.0) -> Column:
+    """The fact scorer with given weights: the logistic of a dot product with head, relation and tail, one after another."""
+    w = F.array(*(F.lit(float(x)) for x in weights))
+    dot = F.aggregate(F.zip_with(F.concat(head, relation, tail), w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return 1 / (1 + F.exp(-(dot + bias)))

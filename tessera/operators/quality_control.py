@@ -91,6 +91,7 @@ def grounding_rate(entities_by_source: DataFrame, edges: DataFrame, source: str)
 
 
 def audit_sample(relations: DataFrame, n: int, seed: int, predicates: tuple[str, ...] = ()) -> DataFrame:
-    """``n`` relations in a seeded order that doesn't depend on partitions."""
+    """``n`` relations in the order of an MD5 of seed and columns (by name): it doesn't depend on partitions."""
     rows = relations.where(F.col("predicate").isin(*predicates)) if predicates else relations
-    return rows.orderBy(F.xxhash64(*(F.col(c) for c in sorted(rows.columns)), F.lit(seed))).limit(n)
+    order = F.md5(F.concat_ws("\t", F.lit(str(seed)), *(F.col(c).cast("string") for c in sorted(rows.columns))).cast("binary"))
+    return rows.orderBy(order).limit(n)
