@@ -22,7 +22,8 @@ R.parts = dict(knowledge.R.parts)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return knowledge.entities(spark, sf_dir)[0].select("entity_id"), knowledge.edges(spark, sf_dir)
+    read = knowledge.parsed(spark, sf_dir)
+    return knowledge.entities(spark, sf_dir, read)[0].select("entity_id"), knowledge.edges(spark, sf_dir, read)
 
 
 R.cte("both_ways", "SELECT source_entity_id AS u, target_entity_id AS v FROM edges UNION ALL SELECT target_entity_id, source_entity_id FROM edges")
@@ -56,6 +57,22 @@ def _(spark, sf_dir):
     return graph.top(ranks, "pagerank", 20).select("entity_id")
 
 
+#: The iteration of PageRank until the ranks move by less than the tolerance; the result is the iterate before the last.
+R.cte(
+    "ranking",
+    """SELECT 0 AS step, entity_id, 1.0::DOUBLE / (SELECT count(*) FROM entities) AS r, 1e9::DOUBLE AS moved FROM entities
+UNION ALL
+SELECT step, entity_id, r, sum(abs(r - was)) OVER () AS moved FROM (
+  SELECT n.step + 1 AS step, n.entity_id, 0.15::DOUBLE / (SELECT count(*) FROM entities) + 0.85::DOUBLE * coalesce(g, 0) AS r, n.r AS was FROM ranking n
+  LEFT JOIN (SELECT l.v, sum(p.r * l.w) AS g FROM links l JOIN ranking p ON p.entity_id = l.u GROUP BY l.v) ON v = n.entity_id WHERE n.moved >= 1e-6 AND n.step < 100)""",
+)
+
+
+@R.query("ga2_converged_pagerank", "SELECT entity_id, round(r, 8) AS pagerank FROM ranking WHERE step = (SELECT CASE WHEN min(moved) < 1e-6 THEN max(step) - 1 ELSE max(step) END FROM ranking)")
+def _(spark, sf_dir):
+    return graph.pagerank(*_graph(spark, sf_dir)).select("entity_id", F.round("pagerank", 8).alias("pagerank"))
+
+
 R.cte("reach", "SELECT DISTINCT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u")
 
 
@@ -64,9 +81,22 @@ def _(spark, sf_dir):
     return connected_components(knowledge.edges(spark, sf_dir), "source_entity_id", "target_entity_id")
 
 
-@R.query("ga3_communities", "SELECT component AS community, count(*) AS size FROM (SELECT u, least(u, min(v)) AS component FROM reach GROUP BY u) GROUP BY component HAVING count(*) > 1")
+R.cte("classes", "SELECT u AS node, least(u, min(v)) AS component FROM reach WHERE u IN (SELECT entity_id FROM entities) GROUP BY u")
+
+
+@R.query("ga3_communities", "SELECT component AS community, count(*) AS size, array_to_string(list_slice(list_sort(list(node)), 1, 10), '|') AS members FROM classes GROUP BY component HAVING count(*) > 1")
+def _(spark, sf_dir):
+    return graph.communities(*_graph(spark, sf_dir)).select("community", "size", F.array_join("members", "|").alias("members"))
+
+
+@R.query("ga3_community_members", "SELECT node, component AS community FROM classes WHERE component IN (SELECT component FROM classes GROUP BY component HAVING count(*) > 1)")
+def _(spark, sf_dir):
+    return graph.community_members(*_graph(spark, sf_dir))
+
+
+@R.query("tk03_top_communities", "SELECT component AS community, count(*) AS size FROM classes GROUP BY component HAVING count(*) > 1 ORDER BY size DESC, community LIMIT 10")
 def _(spark, sf_dir):
-    return graph.communities(*_graph(spark, sf_dir)).select("community", F.col("size"))
+    return graph.top_communities(graph.communities(*_graph(spark, sf_dir))).select("community", "size")
 
 
 R.cte("deeds", "SELECT o_custkey AS source_entity_id, l_suppkey AS target_entity_id, CASE l_returnflag WHEN 'A' THEN 'LOVES' WHEN 'R' THEN 'KILLS' ELSE 'OWNS' END AS predicate FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
@@ -83,9 +113,9 @@ def _(spark, sf_dir):
     return graph.love_triangles(_deeds(spark, sf_dir)).select("target", "suitors", F.array_join(F.transform("first_suitors", lambda x: x.cast("string")), "|").alias("first_suitors"))
 
 
-@R.query("ga5_deaths", "SELECT target_entity_id AS target, count(DISTINCT source_entity_id) AS killers FROM deeds WHERE predicate = 'KILLS' GROUP BY 1")
+@R.query("ga5_deaths", "SELECT target_entity_id AS target, count(DISTINCT source_entity_id) AS killers, array_to_string(list_slice(list_sort(list(DISTINCT source_entity_id)), 1, 10), '|') AS first_killers FROM deeds WHERE predicate = 'KILLS' GROUP BY 1")
 def _(spark, sf_dir):
-    return graph.deaths(_deeds(spark, sf_dir)).select("target", F.size("killers").cast("bigint").alias("killers"))
+    return graph.deaths(_deeds(spark, sf_dir)).select("target", "killers", F.array_join(F.transform("first_killers", lambda x: x.cast("string")), "|").alias("first_killers"))
 
 
 R.cte("family", "SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey >= 2")
@@ -94,15 +124,29 @@ R.cte("ancestry", "SELECT child AS leaf, child AS here, 1 AS depth FROM family W
 
 @R.query("ga6_lineages", "SELECT leaf, max(depth) AS depth, min(here) AS root FROM ancestry GROUP BY leaf")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey >= 2").select(F.col("p_partkey").alias("source_entity_id"), F.lit("DESCENDS_FROM").alias("predicate"), F.expr("p_partkey div 2").alias("target_entity_id"))
-    return graph.lineages(rows).select("leaf", F.col("depth").cast("int").alias("depth"), F.get("chain", F.lit(0)).alias("root"))
+    return graph.lineages(_family(spark, sf_dir)).select("leaf", F.col("depth").cast("int").alias("depth"), F.get("chain", F.lit(0)).alias("root"))
 
 
-@R.query("ga7_patterns", "SELECT target, pattern FROM (SELECT DISTINCT target_entity_id AS target, predicate AS pattern FROM deeds WHERE predicate IN ('LOVES', 'KILLS')) ORDER BY target, pattern LIMIT 50")
+def _family(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_partkey >= 2").select(F.col("p_partkey").alias("source_entity_id"), F.expr("p_partkey div 2").alias("target_entity_id"), F.lit("DESCENDS_FROM").alias("predicate"))
+
+
+R.cte("lines", "SELECT leaf, max(depth) AS depth FROM ancestry GROUP BY leaf")
+
+
+@R.query("tk03_top_lineages", "SELECT leaf, depth FROM lines ORDER BY depth DESC, leaf LIMIT 10")
+def _(spark, sf_dir):
+    return graph.top_lineages(graph.lineages(_family(spark, sf_dir))).select("leaf", F.col("depth").cast("int").alias("depth"))
+
+
+@R.query(
+    "ga7_patterns",
+    """SELECT kind, target, size FROM (SELECT 1 AS place, 'love_triangle' AS kind, target_entity_id AS target, count(*) AS size FROM deeds WHERE predicate = 'LOVES' GROUP BY target_entity_id HAVING count(*) >= 2
+UNION ALL SELECT 2, 'death', target_entity_id, count(DISTINCT source_entity_id) FROM deeds WHERE predicate = 'KILLS' GROUP BY target_entity_id
+UNION ALL SELECT 3, 'family_lineage', leaf, depth FROM (SELECT leaf, depth FROM lines ORDER BY depth DESC, leaf LIMIT 10)) ORDER BY place, size DESC, target LIMIT 50""",
+)
 def _(spark, sf_dir):
-    deeds = _deeds(spark, sf_dir)
-    loved = graph.love_triangles(deeds).select("target", F.lit("LOVES").alias("pattern"))
-    return loved.unionByName(graph.deaths(deeds).select("target", F.lit("KILLS").alias("pattern"))).orderBy("target", "pattern").limit(50)
+    return graph.patterns(_deeds(spark, sf_dir).unionByName(_family(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- embeddings
@@ -162,15 +206,23 @@ def _(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir):
-    found, mapping = knowledge.entities(spark, sf_dir)
+    read = knowledge.parsed(spark, sf_dir)
+    found, _ = knowledge.entities(spark, sf_dir, read)
     rows = found.select("entity_id", "entity_type", "canonical_name", "aliases", F.col("scope_id").alias("source"))
-    return rows, resolution.remap(knowledge.mentions(spark, sf_dir), mapping, "entity_id")
+    return rows, knowledge.resolved_mentions(spark, sf_dir, read)
 
 
 @R.query("er3_er9_resolve_embedding")
 def _(spark, sf_dir):
     merged, _, _ = resolution.resolve_embedding(*_resolved(spark, sf_dir), merge=0.9, candidate=0.8)
-    return merged.select("entity_id", "entity_type", "canonical_name", F.size("merged_from").alias("merged"), "mention_count")
+    return merged.select("entity_id", "entity_type", "canonical_name", "merged", "mention_count")
+
+
+@R.query("er5_hybrid", "SELECT entity_type, source, norm, count(*) AS merged, CAST(sum(mention_count) AS BIGINT) AS mention_count FROM entities GROUP BY ALL")
+def _(spark, sf_dir):
+    rows, m = _resolved(spark, sf_dir)
+    merged, _, _ = resolution.resolve_hybrid(rows, m)
+    return merged.select("entity_type", "source", T.normalize_mention(F.col("canonical_name")).alias("norm"), "merged", "mention_count")
 
 
 @R.query("er6_merge", f"SELECT cluster, count(*) AS merged, min(id) AS name FROM (SELECT id, least(id, coalesce(min(v), id)) AS cluster FROM vectors LEFT JOIN near_reach ON u = id GROUP BY id) GROUP BY cluster")
@@ -180,7 +232,7 @@ def _(spark, sf_dir):
     pairs = resolution.similar_pairs(v, MERGE)
     merged, _ = resolution.merge_clusters(rows.withColumn("entity_id", F.col("entity_id").cast("string")), resolution.clusters_of(rows.select("entity_id"), pairs).withColumns({"entity_id": F.col("entity_id").cast("string"), "cluster": F.col("cluster").cast("string")}), spark.createDataFrame([], "entity_id string"))
     first = F.array_min(F.transform("merged_from", lambda x: x.cast("bigint")))
-    return merged.select(first.alias("cluster"), F.size("merged_from").cast("bigint").alias("merged"), first.alias("name"))
+    return merged.select(first.alias("cluster"), "merged", first.alias("name"))
 
 
 # ---------------------------------------------------------------- question answering: one order is one question
@@ -370,9 +422,49 @@ def _(spark, sf_dir):
     return mining.direct_paths(rows).select("question_id", F.array_join("path", "|").alias("path"))
 
 
-@R.query("tk10_sample_triples")
+@R.query("tk10_sample_triples", "SELECT question_id, idx, s, p, o FROM triples ORDER BY md5(concat_ws(chr(9), '13', idx, o, p, question_id, s)) LIMIT 1000")
+def _(spark, sf_dir):
+    return quality_control.audit_sample(_triples(spark, sf_dir), 1000, 13).select("question_id", F.col("idx").cast("bigint").alias("idx"), "s", "p", "o")
+
+
+def _questions(spark, sf_dir):
+    """One question an order: its triples, the order as entity, and its suppliers as answers."""
+    t = _triples(spark, sf_dir).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "s", "p", "o"))), lambda x: F.array(x["s"], x["p"], x["o"])).alias("graph"), F.array_sort(F.collect_set(F.when(F.col("p") == "made_by", F.col("o")))).alias("answer"))
+    none = F.array().cast("array<string>")
+    order = F.array(F.concat(F.lit("o"), F.col("question_id").cast("string")))
+    return t.select("question_id", "graph", F.when(F.col("question_id") % 3 == 0, none).otherwise(order).alias("q_entity"), none.alias("a_entity"), "answer")
+
+
+R.cte("suppliers", "SELECT question_id, list_sort(list(DISTINCT o)) AS answer FROM triples WHERE p = 'made_by' GROUP BY question_id")
+R.cte("counted", "SELECT question_id, count(*) AS n, arg_min(s, idx) AS head, arg_max(o, idx) AS tail, list(s || ' ' || p || ' ' || o ORDER BY idx) AS all_triples FROM triples GROUP BY question_id")
+
+
+@R.query(
+    "hm06_tk07_subgraph_samples",
+    """SELECT question_id, CASE WHEN question_id % 3 = 0 THEN head || '>' || tail ELSE array_to_string(list_sort(list_transform(list_slice(answer, 1, 2), lambda a: 'o' || question_id || '>' || a)), '|') END AS paths, answer[1] AS answer, n AS graph_size, array_to_string(list_slice(all_triples, 1, 50), '|') AS triples
+FROM counted JOIN suppliers USING (question_id)""",
+)
 def _(spark, sf_dir):
-    return quality_control.audit_sample(_triples(spark, sf_dir), 1000, 13)
+    found = mining.subgraph_samples(_questions(spark, sf_dir))
+    line = lambda c, mark: F.array_join(F.transform(c, lambda x: F.array_join(x, mark)), "|")
+    return found.select("question_id", F.array_join(F.array_sort(F.transform("paths", lambda x: F.array_join(x, ">"))), "|").alias("paths"), "answer", F.col("graph_size").cast("bigint").alias("graph_size"), line("triples", " ").alias("triples"))
+
+
+@R.query("hm03_capped_paths", "SELECT e.question_id, start || '|' || arg_min(middle, (i, j)) || '|' || goal AS path FROM routes e GROUP BY e.question_id, start, goal")
+def _(spark, sf_dir):
+    ends = _ends(spark, sf_dir).withColumn("rank", F.lit(0))
+    return mining.capped_paths(mining.shortest_paths(_triples(spark, sf_dir), ends.drop("rank")), ends).select("question_id", F.array_join("path", "|").alias("path"))
+
+
+@R.query("hm05_answers", "SELECT question_id, CASE WHEN len(answer) = 1 THEN answer[1] ELSE '[' || array_to_string(list_transform(answer, lambda a: '\"' || a || '\"'), ',') || ']' END AS answer, array_to_string(answer, ' | ') AS joined FROM suppliers")
+def _(spark, sf_dir):
+    return _questions(spark, sf_dir).select("question_id", mining.answer_value(F.col("answer")).alias("answer"), mining.joined_answers(F.col("answer")).alias("joined"))
+
+
+@R.query("hm07_url_samples", "SELECT page_id, topic || '>' || translate(lower(url), ' -', '__') AS path, topic AS topic_entity FROM (SELECT page_id, url, regexp_extract(url, '([^/]+)/?$', 1) AS topic FROM pages) WHERE topic <> ''")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("question"), "url", F.array("url").alias("answers"))
+    return mining.url_samples(rows).select(F.col("question").cast("bigint").alias("page_id"), F.array_join(F.get("paths", F.lit(0)), ">").alias("path"), "topic_entity")
 
 
 @R.query("me6_retrieval", "SELECT question_id, round(CASE WHEN c > 0 THEN h / c ELSE 0 END, 9) AS precision, round(CASE WHEN r > 0 THEN h / r ELSE 0 END, 9) AS recall, h > 0 AS any_relevant FROM (SELECT question_id, count(*) FILTER (WHERE prob >= 0.5) AS c, count(*) FILTER (WHERE label = 1) AS r, count(*) FILTER (WHERE label = 1 AND prob >= 0.5) AS h FROM facts GROUP BY question_id)")
@@ -406,6 +498,24 @@ def _(spark, sf_dir):
     return mining.gumbel_select(_facts(spark, sf_dir).withColumn("logit", F.col("prob") - 0.5)).select("question_id", "fact_idx", "selected")
 
 
+@R.query("tk11_training_selection", "SELECT question_id, fact_idx FROM (SELECT *, count(*) FILTER (WHERE prob > 0.5 AND rank <= 3) OVER (PARTITION BY question_id) AS passed FROM ranked) WHERE rank <= 3 AND (prob > 0.5 OR (passed = 0 AND rank = 1))")
+def _(spark, sf_dir):
+    return mining.training_selection(_facts(spark, sf_dir), cap=3).select("question_id", "fact_idx")
+
+
+@R.query("hm15_softmax", "SELECT question_id, fact_idx, round(exp((prob - 0.5) / 0.5) / sum(exp((prob - 0.5) / 0.5)) OVER (PARTITION BY question_id), 9) AS weight FROM facts")
+def _(spark, sf_dir):
+    return mining.gumbel_softmax(_facts(spark, sf_dir).withColumn("logit", F.col("prob") - 0.5)).select("question_id", "fact_idx", F.round("weight", 9).alias("weight"))
+
+
+@R.query("ml_fact_scores", "SELECT a.id, round(1 / (1 + exp(-(list_dot_product(a.e, list_transform(a.e, lambda x: 0.1::DOUBLE)) - list_dot_product(b.e, list_transform(b.e, lambda x: 0.2::DOUBLE)) + list_dot_product(a.e, list_transform(a.e, lambda x: 0.05::DOUBLE)) + 0.25))), 6) AS prob FROM vectors a JOIN vectors b ON b.id = a.id + 1")
+def _(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    nxt = v.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("other"))
+    weights = [0.1] * 64 + [-0.2] * 64 + [0.05] * 64
+    return v.join(nxt, "id").select("id", F.round(mining.fact_probability(F.col("embedding"), F.col("other"), F.col("embedding"), weights, 0.25), 6).alias("prob"))
+
+
 @R.query("tk11_gumbel_selection")
 def _(spark, sf_dir):
     return mining.gumbel_select(_facts(spark, sf_dir).withColumn("logit", F.col("prob") - 0.5), seed=11).select("question_id", "fact_idx", "selected")

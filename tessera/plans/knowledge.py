@@ -14,7 +14,7 @@ from tessera.functions import text as T
 from tessera.functions import vocab
 from tessera.operators import extraction, graph, quality_control, relations, resolution
 from tessera.plans.registry import Registry
-from tessera.session import spread, table
+from tessera.session import cut, spread, table
 from tessera.sources import writers
 
 R = Registry()
@@ -65,9 +65,14 @@ def sentence_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "sent", "sentence", F.transform(T.names(F.col("sentence")), mention).alias("mentions"))
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`sentence_mentions`, written once for a query that reads them more than once."""
+    return cut(sentence_mentions(spark, sf_dir), "sentence-mentions")
+
+
+def mentions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Raw mentions, one entity each: doc_id, source, sent, pos, surface, entity_type, norm, mention_id, entity_id."""
-    rows = sentence_mentions(spark, sf_dir).select("doc_id", "source", "sent", F.posexplode("mentions").alias("pos", "m"))
+    rows = (sentence_mentions(spark, sf_dir) if rows is None else rows).select("doc_id", "source", "sent", F.posexplode("mentions").alias("pos", "m"))
     rows = rows.select("doc_id", "source", "sent", "pos", F.col("m.surface").alias("surface"), F.col("m.entity_type").alias("entity_type"), T.normalize_mention(F.col("m.surface")).alias("norm"), F.col("m.confidence").alias("confidence"))
     mention_id = T.stable_id("m", F.col("doc_id"), F.col("sent"), F.col("pos"), F.col("surface"))
     return rows.withColumn("mention_id", mention_id).withColumn("entity_id", T.stable_id("ent", F.lit("mention"), F.col("mention_id")))
@@ -95,9 +100,14 @@ SELECT doc_id, source, sent, pos, sentence, surface, CASE WHEN length(surface) %
 )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolved_mentions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Mentions with resolved ids; the id is a function of the mention, so nothing is joined."""
+    return resolution.assign_lexical(mentions(spark, sf_dir, rows))
+
+
+def edges(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Co-occurrence relations between resolved entities; one aggregation has not yet happened, so rows repeat."""
-    found = relations.cooccurrence(sentence_mentions(spark, sf_dir))
+    found = relations.cooccurrence(sentence_mentions(spark, sf_dir) if rows is None else rows)
     return found.select("doc_id", "source", F.col("sent").alias("chunk_id"), "source_entity_id", "predicate", "target_entity_id", "confidence", T.compact(F.col("sentence")).alias("evidence_text"), "rel_type")
 
 
@@ -114,12 +124,12 @@ R.cte(
     "edges",
     """SELECT doc_id, source, sent AS chunk_id, sentence, CASE WHEN a_type = 'Location' THEN b_id ELSE a_id END AS source_entity_id,
   CASE WHEN (a_type = 'Location') <> (b_type = 'Location') THEN 'LOCATED_IN' ELSE 'INTERACTS_WITH' END AS predicate,
-  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence FROM pairs WHERE NOT (a_type = 'Location' AND b_type = 'Location')""",
+  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence FROM pairs WHERE (a_type = 'Location') <> (b_type = 'Location') OR (a_type = 'Character' AND b_type = 'Character')""",
 )
 
 
-def entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return resolution.resolve_lexical(mentions(spark, sf_dir), "per_source", 2)
+def entities(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return resolution.resolve_lexical(mentions(spark, sf_dir, rows), "per_source", 2)
 
 
 R.cte(
@@ -223,14 +233,17 @@ def _(spark, sf_dir):
     return extraction.bio_spans(labelled_tokens(spark, sf_dir)).select("doc_id", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"), "label")
 
 
-@R.query("txt09_detokenize", "SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha FROM (SELECT doc_id, string_agg(tok, ' ' ORDER BY i) AS t FROM tokens WHERE tok NOT IN ('.', ',', ';', ':', '!', '?', ')', ']', '}', '»', '”') GROUP BY doc_id)")
+_BEFORE, _AFTER = _sql_list(vocab.NO_SPACE_BEFORE), _sql_list(vocab.NO_SPACE_AFTER)
+
+
+@R.query(
+    "txt09_detokenize",
+    f"""SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha FROM (SELECT doc_id, string_agg(CASE WHEN prev IS NULL OR tok IN ({_BEFORE}) OR right(prev, 1) IN ({_AFTER}) THEN tok ELSE ' ' || tok END, '' ORDER BY i) AS t
+FROM (SELECT *, lag(tok) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM tokens) GROUP BY doc_id)""",
+)
 def _(spark, sf_dir):
-    tokens = F.filter(F.transform(T.match_spans(F.col("text"), T.WORD), lambda x: x["token"]), lambda t: ~t.isin(*vocab.NO_SPACE_BEFORE))
-    rows = documents(spark, sf_dir).select("doc_id", tokens.alias("t")).where(F.size("t") > 0)
-    spaced = F.transform("t", lambda t: F.regexp_replace(t, "[(\\[{«„“]$", ""))
-    plain = rows.select("doc_id", "t", F.forall(F.arrays_zip(F.col("t").alias("a"), spaced.alias("b")), lambda z: z["a"] == z["b"]).alias("plain"))
-    text = F.when(F.col("plain"), T.detokenize(F.col("t"))["text"]).otherwise(F.array_join("t", " "))
-    return plain.select("doc_id", text.alias("x")).select("doc_id", F.length("x").cast("bigint").alias("n_chars"), F.sha2(F.col("x").cast("binary"), 256).alias("sha"))
+    rows = documents(spark, sf_dir).select("doc_id", F.transform(T.match_spans(F.col("text"), T.WORD), lambda x: x["token"]).alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", T.detokenize(F.col("t"))["text"].alias("x")).select("doc_id", F.length("x").cast("bigint").alias("n_chars"), F.sha2(F.col("x").cast("binary"), 256).alias("sha"))
 
 
 @R.query(
@@ -249,43 +262,71 @@ def _(spark, sf_dir):
     return mentions(spark, sf_dir).select("doc_id", F.col("sent").cast("bigint").alias("sent"), F.col("pos").cast("bigint").alias("pos"), "surface", "norm", "entity_type", "mention_id", "entity_id")
 
 
-@R.query("txt12_reference_profile")
+R.cte("chunk_texts", "SELECT c.chunk_id, c.doc_id, c.source, c.start_char, substr(d.text, c.start_char + 1, c.end_char - c.start_char) AS text FROM chunks c JOIN docs d USING (doc_id)")
+#: The same text with one ASCII character for each: name letters as A and a, other letters, marks and digits as _, white
+#: space as a blank, whatever else as #. On it a regular expression with ASCII classes finds what the Unicode one finds.
+_ASCII = "regexp_replace(regexp_replace(regexp_replace(translate(text, 'ĂÂÎȘȚăâîșț', 'AAAAAaaaaa'), '[\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', ' ', 'g'), '[^\\x00-\\x7F\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]', '#', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+_ASCII_NAME = "\\b[A-Z][A-Za-z\\-'']+(?:\\s+[A-Z][A-Za-z\\-'']+){0,3}\\b"
+R.cte(
+    "runs",
+    f"""SELECT chunk_id, doc_id, source, start_char + upto - n AS start_char, start_char + upto AS end_char, substr(text, upto - n + 1, n) AS surface FROM (
+SELECT chunk_id, doc_id, source, start_char, text, length(list_extract(m, k)) AS n, CAST(sum(length(list_extract(g, k)) + length(list_extract(m, k))) OVER (PARTITION BY chunk_id ORDER BY k) AS BIGINT) AS upto FROM (
+SELECT *, unnest(generate_series(1, len(m))) AS k FROM (SELECT *, string_split_regex(a, '{_ASCII_NAME}') AS g, regexp_extract_all(a, '{_ASCII_NAME}') AS m FROM (SELECT *, {_ASCII} AS a FROM chunk_texts))))""",
+)
+R.cte("first_list", f"SELECT * FROM runs WHERE length(surface) >= 2 AND lower(surface) NOT IN ({_sql_list(vocab.STOPWORDS)}) AND surface NOT IN ({_sql_list(vocab.STOPWORDS_TITLE)})")
+R.cte("second_list", f"SELECT * FROM runs WHERE length(surface) >= 2 AND lower(surface) NOT IN ({_sql_list(vocab.STOPWORDS_SHORT)})")
+_FICTION = "CASE WHEN source = 'narrative' THEN 'Character' ELSE 'Person' END"
+
+
+@R.query("txt12_reference_profile", f"SELECT doc_id, chunk_id, start_char, end_char, surface, {_FICTION} AS entity_type, {_sid('m', 'doc_id', 'chunk_id', 'start_char', 'end_char', 'surface')} AS mention_id FROM first_list")
 def _(spark, sf_dir):
-    return extraction.regex_mentions(chunks(spark, sf_dir), "narrative").select("doc_id", "chunk_id", "start_char", "end_char", "surface", "entity_type", "mention_id")
+    return extraction.regex_mentions(chunks(spark, sf_dir), "narrative").select("doc_id", "chunk_id", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"), "surface", "entity_type", "mention_id")
 
 
-R.cte("wide", "SELECT c.chunk_id, m.doc_id, m.surface, m.start_char, m.end_char FROM chunks c JOIN (SELECT doc_id, surface, s + a AS start_char, s + a + length(surface) AS end_char FROM (SELECT n.doc_id, n.surface, q.start_char AS s, strpos(n.sentence, n.surface) - 1 AS a FROM names n JOIN sents q ON n.doc_id = q.doc_id AND n.sent = q.sent WHERE n.pos = 0)) m ON c.doc_id = m.doc_id AND m.start_char >= c.start_char AND m.end_char <= c.end_char")
+R.cte(
+    "placed",
+    f"""SELECT doc_id, w AS surface, start_char + spot - 1 AS start_char, start_char + spot - 1 + length(w) AS end_char FROM (
+SELECT doc_id, start_char, spot, regexp_extract(substr(sentence, spot), '^[A-ZĂÂÎȘȚ][\\p{{L}}\\p{{N}}_\'\'\\-]*') AS w FROM (SELECT *, unnest(generate_series(1, length(sentence))) AS spot FROM sents)
+WHERE regexp_matches(substr(sentence, spot, 1), '[A-ZĂÂÎȘȚ]') AND (spot = 1 OR NOT regexp_matches(substr(sentence, spot - 1, 1), '[\\p{{L}}\\p{{N}}_\'\'\\-]')))
+WHERE regexp_matches(w, '{_sql(T.CAPITAL_WORD)}') AND length(w) >= 2 AND lower(w) NOT IN ({_sql_list(vocab.STOPWORDS)}) AND w NOT IN ({_sql_list(vocab.STOPWORDS_TITLE)})""",
+)
+R.cte("wide", "SELECT c.chunk_id, m.doc_id, m.surface, m.start_char, m.end_char FROM chunks c JOIN placed m ON c.doc_id = m.doc_id AND m.start_char >= c.start_char AND m.end_char <= c.end_char")
 
 
-def first_names(spark, sf_dir):
-    """The first name of each sentence with its place, in the chunks that hold it: an interval join."""
-    rows = sentences(spark, sf_dir).withColumn("surface", F.get(T.names(F.col("sentence")), F.lit(0))).where("surface IS NOT NULL")
-    at = F.col("start_char") + F.instr("sentence", F.col("surface")) - 1
-    rows = rows.select("doc_id", "surface", at.alias("a"), (at + F.length("surface")).alias("b"))
+def placed_names(spark, sf_dir):
+    """Every name of every sentence with its place, in the chunks that hold it: an interval join on the document."""
+    found = F.filter(T.match_spans(F.col("sentence"), T.CAPITAL_RUN, 1), lambda m: m["token"].rlike(T.CAPITAL_WORD) & T.is_name(m["token"]))
+    rows = sentences(spark, sf_dir).select("doc_id", F.col("start_char").alias("base"), F.explode(found).alias("m"))
+    rows = rows.select("doc_id", F.col("m.token").alias("surface"), (F.col("base") + F.col("m.start")).alias("a"), (F.col("base") + F.col("m.end")).alias("b"))
     c = chunks(spark, sf_dir).select("chunk_id", "doc_id", F.col("start_char").alias("x"), F.col("end_char").alias("y"), "source")
     return c.join(rows, "doc_id").where((F.col("a") >= F.col("x")) & (F.col("b") <= F.col("y"))).select("chunk_id", "doc_id", "source", "surface", F.col("a").alias("start_char"), F.col("b").alias("end_char"))
 
 
 @R.query("jn03_mention_in_chunk", "SELECT chunk_id, doc_id, surface, start_char, end_char FROM wide")
 def _(spark, sf_dir):
-    return first_names(spark, sf_dir).select("chunk_id", "doc_id", "surface", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"))
+    return placed_names(spark, sf_dir).select("chunk_id", "doc_id", "surface", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"))
 
 
 @R.query("txt14_merge_mentions", f"SELECT doc_id, start_char, end_char, {_norm_sql('surface')} AS norm, CAST(0.5 AS DOUBLE) AS confidence FROM wide GROUP BY ALL")
 def _(spark, sf_dir):
-    rows = first_names(spark, sf_dir).withColumn("confidence", F.lit(0.5)).withColumn("mention_id", F.col("chunk_id"))
+    rows = placed_names(spark, sf_dir).withColumn("confidence", F.lit(0.5)).withColumn("mention_id", F.col("chunk_id"))
     merged = extraction.merge_mentions(rows, rows.withColumn("confidence", F.lit(0.4)))
     return merged.select("doc_id", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"), T.normalize_mention(F.col("surface")).alias("norm"), "confidence")
 
 
-@R.query("txt16_overlap_vote")
+# the two lists differ in stop words alone, so a run of overlaps is one place, from one list or both
+@R.query(
+    "txt16_overlap_vote",
+    f"SELECT b.doc_id, b.chunk_id, b.start_char, b.end_char, b.surface, {_FICTION.replace('source', 'b.source')} AS entity_type, CASE WHEN a.chunk_id IS NULL THEN 0.6 ELSE 0.55 END::DOUBLE AS confidence, CASE WHEN a.chunk_id IS NULL THEN 1 ELSE 2 END::BIGINT AS merged_from FROM second_list b LEFT JOIN first_list a ON a.chunk_id = b.chunk_id AND a.start_char = b.start_char",
+)
 def _(spark, sf_dir):
     c = chunks(spark, sf_dir)
     both = extraction.regex_mentions(c, "narrative").unionByName(extraction.regex_mentions(c, "narrative", advanced=True))
-    return extraction.vote_overlaps(both).select("doc_id", "chunk_id", "start_char", "end_char", "surface", "entity_type", F.round("confidence", 6).alias("confidence"), "merged_from")
+    voted = extraction.vote_overlaps(both)
+    return voted.select("doc_id", "chunk_id", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"), "surface", "entity_type", F.round("confidence", 6).alias("confidence"), "merged_from")
 
 
-@R.query("txt17_advanced_mentions")
+@R.query("txt17_advanced_mentions", "SELECT doc_id, count(*) AS n FROM second_list GROUP BY doc_id")
 def _(spark, sf_dir):
     return extraction.regex_mentions(chunks(spark, sf_dir), "narrative", advanced=True).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -345,16 +386,22 @@ def _chunk_mentions(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", "doc_id", "source", "start_char", "text", at.alias("mentions"))
 
 
-R.cte("few", "SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) AS k FROM mentions WHERE pos < 3")
-R.cte("few_pairs", "SELECT a.doc_id, a.sent, a.sentence, a.resolved_id AS s, b.resolved_id AS t, a.entity_type AS s_type, b.entity_type AS t_type FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.k < b.k")
+R.cte(
+    "chunk_names",
+    f"""SELECT *, {_sid('ent', "'resolved'", 'entity_type', 'norm', 'source')} AS id FROM (
+SELECT chunk_id, doc_id, source, low, i, w, CASE WHEN length(w) % 5 = 0 THEN 'Location' WHEN source = 'narrative' THEN 'Character' ELSE 'Person' END AS entity_type, {_norm_sql('w')} AS norm
+FROM (SELECT chunk_id, doc_id, source, lower(text) AS low, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(text, '{_sql(T.CAPITAL_RUN)}', 1) AS l FROM chunk_texts))
+WHERE regexp_matches(w, '{_sql(T.CAPITAL_WORD)}') AND length(w) >= 2 AND lower(w) NOT IN ({_sql_list(vocab.STOPWORDS)}) AND w NOT IN ({_sql_list(vocab.STOPWORDS_TITLE)}))""",
+)
+R.cte("chunk_pairs", "SELECT a.chunk_id, a.doc_id, a.low, a.id AS s, b.id AS t, a.entity_type AS s_type, b.entity_type AS t_type FROM chunk_names a JOIN chunk_names b ON a.chunk_id = b.chunk_id AND a.i < b.i")
 
 
 def _pattern_sql() -> str:
     parts = []
     for predicate, words, base, symmetric in PATTERNS:
-        hits = " + ".join(f"CAST(contains(lower(sentence), '{w}') AS INT)" for w in words)
+        hits = " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in words)
         for s, t in (("s", "t"), ("t", "s"))[: 2 if symmetric else 1]:
-            parts.append(f"SELECT doc_id, sent AS chunk_id, {s} AS source_entity_id, '{predicate}' AS predicate, {t} AS target_entity_id, CAST(round(least({base} + 0.05 * ({hits} - 1), 0.95), 6) AS DOUBLE) AS confidence FROM few_pairs WHERE {hits} > 0")
+            parts.append(f"SELECT doc_id, chunk_id, {s} AS source_entity_id, '{predicate}' AS predicate, {t} AS target_entity_id, CAST(round(least({base} + 0.05 * ({hits} - 1), 0.95), 6) AS DOUBLE) AS confidence FROM chunk_pairs WHERE {hits} > 0")
     return " UNION ALL ".join(parts)
 
 
@@ -364,7 +411,7 @@ def _(spark, sf_dir):
     return found.select("doc_id", "chunk_id", "source_entity_id", "predicate", "target_entity_id", F.round("confidence", 6).alias("confidence"))
 
 
-@R.query("rel04_temporal", "SELECT doc_id, sent AS chunk_id, s AS source_entity_id, CASE WHEN contains(lower(sentence), 'hein') THEN 'BEFORE' ELSE 'AFTER' END AS predicate, t AS target_entity_id FROM few_pairs WHERE s_type = 'Location' AND t_type = 'Location' AND (contains(lower(sentence), 'hein') OR contains(lower(sentence), 'andin'))")
+@R.query("rel04_temporal", "SELECT doc_id, chunk_id, s AS source_entity_id, CASE WHEN contains(low, 'hein') THEN 'BEFORE' ELSE 'AFTER' END AS predicate, t AS target_entity_id FROM chunk_pairs WHERE s_type = 'Location' AND t_type = 'Location' AND (contains(low, 'hein') OR contains(low, 'andin'))")
 def _(spark, sf_dir):
     rows = _chunk_mentions(spark, sf_dir)
     events = rows.withColumn("mentions", F.transform("mentions", lambda m: m.withField("entity_type", F.when(m["entity_type"] == "Location", "Event").otherwise(m["entity_type"]))))
@@ -383,10 +430,16 @@ def _(spark, sf_dir):
     return events.select(F.col("entity_id").alias("event_id"), F.col("canonical_name").alias("predicate"), "year")
 
 
-@R.query("rel08_event_edges", "SELECT predicate, sum(n)::BIGINT AS n FROM (SELECT unnest(['PARTICIPATES_IN', 'HAS_PARTICIPANT', 'PARTICIPATES_IN', 'HAS_PARTICIPANT']) AS predicate, 1 AS n FROM edges WHERE predicate = 'INTERACTS_WITH') GROUP BY predicate")
+R.cte("evidenced", f"SELECT e.doc_id, e.chunk_id, e.source_entity_id AS s, e.target_entity_id AS t, {_sid('evt', 'e.doc_id', 'e.chunk_id', 'e.predicate', 'e.source_entity_id', 'e.target_entity_id', _COMPACT)} AS event_id FROM edges e JOIN flat f ON e.doc_id = f.doc_id AND e.chunk_id = f.sent WHERE e.predicate = 'INTERACTS_WITH'")
+
+
+@R.query(
+    "rel08_event_edges",
+    "SELECT doc_id, s AS source_entity_id, 'PARTICIPATES_IN' AS predicate, event_id AS target_entity_id FROM evidenced UNION ALL SELECT doc_id, event_id, 'HAS_PARTICIPANT', s FROM evidenced UNION ALL SELECT doc_id, t, 'PARTICIPATES_IN', event_id FROM evidenced UNION ALL SELECT doc_id, event_id, 'HAS_PARTICIPANT', t FROM evidenced",
+)
 def _(spark, sf_dir):
     _, found = relations.derive_events(edges(spark, sf_dir))
-    return found.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("doc_id", "source_entity_id", "predicate", "target_entity_id")
 
 
 R.cte("located", "SELECT *, sent * 10000 + pos AS start_char FROM mentions")
@@ -431,19 +484,26 @@ def _(spark, sf_dir):
     return resolution.remap(rows, mapping, "source_entity_id", "target_entity_id").select("doc_id", F.col("sent").cast("bigint").alias("sent"), F.col("pos").cast("bigint").alias("pos"), "source_entity_id", "target_entity_id")
 
 
-@R.query("ag08_members", "SELECT resolved_id AS entity_id, count(DISTINCT entity_id) AS n_members, min(entity_id) AS first_member FROM mentions GROUP BY ALL")
+@R.query("ag08_members", "SELECT resolved_id AS entity_id, count(DISTINCT entity_id) AS n_members, array_to_string(list_slice(list_sort(list(DISTINCT entity_id)), 1, 100), '|') AS first_members FROM mentions GROUP BY ALL")
 def _(spark, sf_dir):
     _, mapping = entities(spark, sf_dir)
-    return mapping.groupBy(F.col("new_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n_members"), F.min("old_id").alias("first_member"))
+    return resolution.members(mapping).select("entity_id", "n_members", F.array_join("member_entity_ids", "|").alias("first_members"))
+
+
+@R.query("ag07_surface_counts", "SELECT resolved_id AS entity_id, array_to_string(list_slice(list(surface || ':' || n ORDER BY n DESC, first_id), 1, 5), '|') AS top FROM surfaces GROUP BY resolved_id")
+def _(spark, sf_dir):
+    found, _ = entities(spark, sf_dir)
+    return found.select("entity_id", F.array_join(F.transform("surface_counts_top", lambda x: F.concat(x["surface"], F.lit(":"), x["n"].cast("string"))), "|").alias("top"))
 
 
 @R.query("er02_merge_by_name", "SELECT norm, source, count(*) AS merged, CAST(sum(mention_count) AS BIGINT) AS mention_count, arg_min(canonical_name, (-mention_count, entity_id)) AS canonical_name FROM entities GROUP BY norm, source")
 def _(spark, sf_dir):
-    found, mapping = entities(spark, sf_dir)
-    m = resolution.remap(mentions(spark, sf_dir), mapping, "entity_id").withColumn("start_char", F.col("sent"))
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    m = resolved_mentions(spark, sf_dir, read).withColumn("start_char", F.col("sent"))
     rows = found.select("entity_id", "entity_type", "canonical_name", "aliases", F.col("scope_id").alias("source"))
     merged, _ = resolution.resolve_by_name(rows, m, "per_source", by_type=False)
-    return merged.select(T.normalize_mention(F.col("canonical_name")).alias("norm"), "source", F.size("merged_from").cast("bigint").alias("merged"), "mention_count", "canonical_name")
+    return merged.select(T.normalize_mention(F.col("canonical_name")).alias("norm"), "source", "merged", "mention_count", "canonical_name")
 
 
 @R.query("jn16_lexical_pairs", "SELECT a.entity_id AS i, b.entity_id AS j FROM entities a JOIN entities b ON a.norm = b.norm AND a.entity_id < b.entity_id WHERE a.norm <> ''")
@@ -467,9 +527,9 @@ def _(spark, sf_dir):
 
 
 def _ground(spark, sf_dir):
-    found, mapping = entities(spark, sf_dir)
-    m = resolution.remap(mentions(spark, sf_dir), mapping, "entity_id")
-    return resolution.ground(found, m, "narrative", "historical")
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    return resolution.ground(found, resolved_mentions(spark, sf_dir, read), "narrative", "historical")
 
 
 @R.query("ag03_grounding_rate", "SELECT round(count(DISTINCT CASE WHEN b.entity_id IS NOT NULL THEN a.entity_id END) / count(DISTINCT a.entity_id), 9) AS grounding_rate FROM entities a LEFT JOIN entities b ON b.source = 'historical' AND a.norm = b.norm AND a.norm <> '' AND (a.entity_type = b.entity_type OR (a.entity_type = 'Character' AND b.entity_type = 'Person')) WHERE a.source = 'narrative'")
@@ -508,9 +568,9 @@ FROM edges e LEFT JOIN kept a ON a.entity_id = e.source_entity_id LEFT JOIN kept
 
 
 def _controlled(spark, sf_dir):
-    found, mapping = entities(spark, sf_dir)
-    m = resolution.remap(mentions(spark, sf_dir), mapping, "entity_id")
-    return quality_control.quality_control(found, m, edges(spark, sf_dir))
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    return quality_control.quality_control(found, resolved_mentions(spark, sf_dir, read), edges(spark, sf_dir, read))
 
 
 @R.query("qc2_jn10_kept_mentions", "SELECT m.mention_id FROM mentions m WHERE m.resolved_id IN (SELECT entity_id FROM kept)")
@@ -528,23 +588,30 @@ def _(spark, sf_dir):
     return _controlled(spark, sf_dir)[3]
 
 
-@R.query("qc4_second_pass", "SELECT count(*) AS kept FROM judged WHERE final IS NULL")
+R.cte("first_edges", "SELECT doc_id, chunk_id, s, predicate, t FROM judged WHERE final IS NULL")
+R.cte("second_degree", "SELECT id AS entity_id, count(*) AS degree FROM (SELECT unnest([s, t]) AS id FROM first_edges) GROUP BY id")
+R.cte("second_kept", f"SELECT e.* FROM kept e LEFT JOIN second_degree d USING (entity_id) WHERE NOT (norm = '' OR norm IN ({_sql_list(vocab.JUNK_NAMES)}) OR (length(norm) <= 2 AND coalesce(degree, 0) >= 20) OR (NOT contains(norm, ' ') AND length(norm) <= 6 AND coalesce(degree, 0) >= 5000))")
+
+
+@R.query("qc4_second_pass", "SELECT count(*) AS kept, (SELECT count(*) FROM second_kept) AS kept_entities, (SELECT count(*) FROM kept) - (SELECT count(*) FROM second_kept) AS removed_entities FROM (SELECT DISTINCT * FROM first_edges) WHERE s <> t AND s IN (SELECT entity_id FROM second_kept) AND t IN (SELECT entity_id FROM second_kept)")
 def _(spark, sf_dir):
     e, m, r, _ = _controlled(spark, sf_dir)
-    return quality_control.quality_control(e, m, r)[3].select(F.col("kept_relations").alias("kept"))
+    return quality_control.quality_control(e, m, r)[3].select(F.col("kept_relations").alias("kept"), "kept_entities", "removed_entities")
 
 
 @R.query("qc1_jn11_missing", "SELECT 'mention_entity' AS kind, count(*) AS n FROM mentions WHERE resolved_id NOT IN (SELECT entity_id FROM entities WHERE mention_count > 1) UNION ALL SELECT 'relation_source', count(*) FROM edges WHERE source_entity_id NOT IN (SELECT entity_id FROM entities WHERE mention_count > 1) UNION ALL SELECT 'relation_target', count(*) FROM edges WHERE target_entity_id NOT IN (SELECT entity_id FROM entities WHERE mention_count > 1)")
 def _(spark, sf_dir):
-    found, mapping = entities(spark, sf_dir)
-    m = resolution.remap(mentions(spark, sf_dir), mapping, "entity_id").withColumns({"start_char": F.col("pos"), "end_char": F.col("pos")})
-    missing = quality_control.missing_references(m, found.where("mention_count > 1"), edges(spark, sf_dir))
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    m = resolved_mentions(spark, sf_dir, read).withColumns({"start_char": F.col("pos"), "end_char": F.col("pos")})
+    missing = quality_control.missing_references(m, found.where("mention_count > 1"), edges(spark, sf_dir, read))
     return missing.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("tk09_audit_sample")
+@R.query("tk09_audit_sample", "SELECT doc_id, chunk_id, source_entity_id, target_entity_id FROM clean_edges WHERE predicate = 'INTERACTS_WITH' ORDER BY md5(concat_ws(chr(9), '7', chunk_id, doc_id, predicate, source, source_entity_id, target_entity_id)) LIMIT 50")
 def _(spark, sf_dir):
-    return quality_control.audit_sample(edges(spark, sf_dir), 50, 7, ("INTERACTS_WITH",)).select("doc_id", "chunk_id", "source_entity_id", "target_entity_id")
+    found = quality_control.audit_sample(clean_edges(spark, sf_dir), 50, 7, ("INTERACTS_WITH",))
+    return found.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "source_entity_id", "target_entity_id")
 
 
 # ---------------------------------------------------------------- declarative queries
@@ -552,8 +619,9 @@ def _(spark, sf_dir):
 
 @R.query("cq01_works_and_characters", "SELECT doc_id, array_to_string(list_slice(list_sort(list(DISTINCT e.canonical_name)), 1, 20), '|') AS characters FROM mentions m JOIN entities e ON m.resolved_id = e.entity_id WHERE e.entity_type = 'Character' GROUP BY doc_id")
 def _(spark, sf_dir):
-    found, mapping = entities(spark, sf_dir)
-    rows = resolution.remap(mentions(spark, sf_dir), mapping, "entity_id").select("doc_id", "entity_id").distinct()
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    rows = resolved_mentions(spark, sf_dir, read).select("doc_id", "entity_id").distinct()
     named = rows.join(found.where("entity_type = 'Character'").select("entity_id", "canonical_name"), "entity_id")
     return named.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("canonical_name")), 1, 20), "|").alias("characters"))
 
@@ -627,10 +695,42 @@ def _(spark, sf_dir):
     return m.join(m.agg(F.min("norm").alias("norm")), "norm").select("mention_id", "doc_id", F.col("sent").cast("bigint").alias("sent"))
 
 
-@R.query("snk06_cypher_sections", "SELECT 1 AS section, count(*) AS n FROM docs UNION ALL SELECT 2, count(*) FROM entities UNION ALL SELECT 3, count(*) FROM mentions UNION ALL SELECT 5, count(*) FROM clean_edges")
+def _q(x: str) -> str:
+    """A Cypher string literal in SQL."""
+    return f"coalesce(chr(39) || replace(replace(CAST({x} AS VARCHAR), chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39), 'null')"
+
+
+def _say(section: int, *parts: str) -> str:
+    return f"SELECT {section} AS section, " + " || ".join(p if p.startswith("(") else "'" + p.replace("'", "''") + "'" for p in parts) + " AS line"
+
+
+_v = lambda x: f"({_q(x)})"
+R.cte("work", f"SELECT *, {_sid('work', 'source', 'doc_id')} AS work_id FROM docs")
+R.cte("told", f"SELECT m.*, {_sid('work', 'm.source', 'm.doc_id')} AS work_id FROM mentions m")
+R.cte("corefs", "SELECT doc_id, resolved_id, rep, mention_id FROM (SELECT *, first_value(mention_id) OVER w AS rep, first_value(surface) OVER w AS rep_surface FROM mentions WINDOW w AS (PARTITION BY doc_id, resolved_id ORDER BY pos, mention_id)) WHERE surface <> rep_surface")
+_LINES = " UNION ALL ".join(
+    (
+        _say(1, "MERGE (w:Work {work_id: ", _v("work_id"), "}) SET w.title = null, w.author = null, w.source = ", _v("source"), ";") + " FROM work",
+        _say(2, "MERGE (e:Entity:", "(entity_type)", " {entity_id: ", _v("entity_id"), "}) SET e.entity_type = ", _v("entity_type"), ", e.canonical_name = ", _v("canonical_name"), ", e.aliases = [", f"(array_to_string(list_transform(list_filter(all_surfaces, lambda x: x <> canonical_name), lambda x: {_q('x')}), ', '))", "], e.is_fictional = ",
+             "(CASE entity_type WHEN 'Character' THEN 'true' WHEN 'Person' THEN 'false' ELSE 'null' END)", ", e.source = ", _v("source"), ", e.meta = null;") + " FROM entities",
+        _say(3, "MERGE (m:Mention {mention_id: ", _v("mention_id"), "}) SET m.surface = ", _v("surface"), ", m.start_char = ", "(pos)", ", m.end_char = ", "(pos)", ", m.doc_id = ", "(doc_id)", ", m.chunk_id = null, m.source = ", _v("source"), ", m.entity_type = ", _v("entity_type"), ", m.confidence = 0.5;") + " FROM told",
+        _say(4, "MATCH (w:Work {work_id: ", _v("work_id"), "}), (m:Mention {mention_id: ", _v("mention_id"), "}) MERGE (w)-[:HAS_MENTION]->(m);") + " FROM told",
+        _say(4, "MATCH (m:Mention {mention_id: ", _v("mention_id"), "}), (e:Entity {entity_id: ", _v("resolved_id"), "}) MERGE (m)-[:REFERS_TO]->(e);") + " FROM told",
+        _say(4, "MATCH (w:Work {work_id: ", _v("work_id"), "}), (e:Entity:Character {entity_id: ", _v("resolved_id"), "}) MERGE (w)-[:HAS_CHARACTER]->(e);") + " FROM (SELECT DISTINCT work_id, resolved_id FROM told WHERE entity_type = 'Character')",
+        _say(5, "MATCH (a:Entity {entity_id: ", _v("source_entity_id"), "}), (b:Entity {entity_id: ", _v("target_entity_id"), "}) MERGE (a)-[r:", "(predicate)", " {doc_id: ", _v("doc_id"), ", chunk_id: ", _v("chunk_id"), ", source: ", _v("source"), ", evidence_chunk_id: ", _v("chunk_id"), "}]->(b) SET r.confidence = 0.5, r.evidence_text = ", _v("sentence_text"), ", r.rel_type = 'cooccur_sentence';")
+        + f" FROM (SELECT e.*, {_COMPACT} AS sentence_text FROM clean_edges e JOIN flat f ON e.doc_id = f.doc_id AND e.chunk_id = f.sent)",
+        _say(6, "MATCH (a:Mention {mention_id: ", _v("rep"), "}), (b:Mention {mention_id: ", _v("mention_id"), "}) MERGE (a)-[:COREFERS_WITH {doc_id: ", "(doc_id)", ", entity_id: ", _v("resolved_id"), "}]->(b);") + " FROM corefs",
+    )
+)
+
+
+@R.query("snk06_cypher_lines", _LINES)
 def _(spark, sf_dir):
-    found, mapping = entities(spark, sf_dir)
-    m = resolution.remap(mentions(spark, sf_dir), mapping, "entity_id").withColumns({"start_char": F.col("pos"), "end_char": F.col("pos"), "work_id": T.stable_id("work", F.col("source"), F.col("doc_id"))})
-    works = writers.artifact_documents(documents(spark, sf_dir)).withColumn("title", F.lit(None).cast("string"))
-    script = writers.cypher_script(works, found, m, clean_edges(spark, sf_dir).withColumn("confidence", F.lit(0.5)), relations.coreference(m))
-    return script.where("section IN (1, 2, 3, 5)").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    m = resolved_mentions(spark, sf_dir, read).withColumns({"start_char": F.col("pos"), "end_char": F.col("pos")})
+    flip = F.col("predicate").isin(*vocab.SYMMETRIC_PREDICATES) & (F.col("source_entity_id") > F.col("target_entity_id"))
+    s, t = F.col("source_entity_id"), F.col("target_entity_id")
+    linked = edges(spark, sf_dir, read).where(s != t).withColumns({"source_entity_id": F.when(flip, t).otherwise(s), "target_entity_id": F.when(flip, s).otherwise(t)}).distinct()
+    works = writers.artifact_documents(documents(spark, sf_dir))
+    return writers.cypher_script(works, found.withColumnRenamed("scope_id", "source"), m, linked, relations.coreference(m))
