@@ -115,12 +115,12 @@ def test_similarity_and_linkage(spark):
     assert {(r.i, r.j) for r in resolution.similar_pairs(rows, 0.9).collect()} == want
     near = {(r.i, r.j) for r in resolution.lsh_pairs(rows, 0.9).collect()}
     assert near <= want and len(near) >= 0.9 * len(want)
-    assert len(set(resolution.average_linkage(["ana", "ana ", "ion"], np.array([[1.0, 0], [1, 0.01], [0, 1]]), 0.8))) == 2
+    assert resolution.average_linkage(["ana", "ana", "ion"], np.array([[1.0, 0], [1, 0.01], [0, 1]]), [1, 2, 1], 0.8) == [0, 0, 2]
     entities = entity_rows(spark, [("1", "Person", "Mihai Eminescu"), ("2", "Person", "Mihai Eminescul"), ("3", "Person", "Zoe")])
     mentions = spark.createDataFrame([("1",), ("2",), ("2",)], "entity_id string")
-    for merged, mapping in (resolution.resolve_hybrid(entities, mentions, 0.8), resolution.resolve_embedding(entities, mentions, 0.8, 0.7)[:2]):
-        assert sorted((r.canonical_name, r.mention_count) for r in merged.collect()) == [("Mihai Eminescul", 3), ("Zoe", 0)]
-        assert mapping.count() == 3
+    merged, mapping = resolution.resolve_embedding(entities, mentions, 0.8, 0.7)[:2]
+    assert sorted((r.canonical_name, r.mention_count) for r in merged.collect()) == [("Mihai Eminescul", 3), ("Zoe", 0)]
+    assert mapping.count() == 3
 
 
 def test_pagerank_and_communities(spark):
@@ -131,7 +131,7 @@ def test_pagerank_and_communities(spark):
     assert [(r["size"], r["members"]) for r in graph.communities(nodes, edges).collect()] == [(3, ["A", "B", "C"])]
     assert {r.entity_id: r.degree for r in graph.degree_centrality(nodes, edges).collect()} == {"A": 1, "B": 2, "C": 1, "D": 0}
     assert graph.pagerank(nodes.where("false"), edges).count() == 0
-    report = writers.analytics_report(graph.summary(nodes, edges), graph.communities(nodes, edges), graph.pagerank(nodes, edges))
+    report = writers.analytics_report(graph.summary(nodes, edges), graph.communities(nodes, edges), graph.pagerank(nodes, edges, tolerance=1e-2))
     assert report["node_count"] == 4 and report["community_count"] == 1 and report["communities"][0]["members"] == ["A", "B", "C"]
     assert "node_count: 4" in writers.markdown_report(report)
 
@@ -139,6 +139,7 @@ def test_pagerank_and_communities(spark):
 def test_lineage(spark):
     edges = edge_rows(spark, [("a", "DESCENDS_FROM", "b"), ("b", "DESCENDS_FROM", "c"), ("x", "DESCENDS_FROM", "y"), ("y", "DESCENDS_FROM", "x")])
     assert [(r.chain, r.depth) for r in graph.lineages(edges).collect()] == [(["c", "b", "a"], 3)]
+    assert [r.target for r in graph.patterns(edges).collect()] == ["a"]
 
 
 def test_mining(spark):
