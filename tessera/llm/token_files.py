@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import fresh_path, qualified, small_batches
+from tessera.session import batches_of, fresh_path, qualified
 
 #: By selector: ids in a word, and bits of each. Fixed values of the coding; selector 0 is the escape.
 COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -386,7 +386,6 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     one row a file.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = qualified(spark, folder)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())  # a property of the tokenizer: 2 MB
@@ -409,7 +408,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // FILE_BYTES, MAX_FILES))
     dealt = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
-    found = sorted(dealt.mapInArrow(write, "path string, n_ids bigint, n_docs bigint").collect())
+    # the encoder sees each distinct word of a batch once: a batch is as large as what it encodes together
+    with batches_of(spark, PIECE_BYTES):
+        found = sorted(dealt.mapInArrow(write, "path string, n_ids bigint, n_docs bigint").collect())
     manifest, start = [], 0
     for path, n_ids, n_docs in found:
         manifest.append((path, start, n_ids, n_docs))
