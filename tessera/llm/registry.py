@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, licenses, line_dedup, media, mixing, ngram_jaccard, quality, sharding, token_counts, token_files
+from tessera.llm import clustering, decontamination, licenses, line_dedup, media, mixing, ngram_jaccard, quality, sharding, token_counts, token_files, url_filters, whitening
 from tessera.session import fresh_path, table
 
 #: op10: texts with more tokens are marked.
@@ -116,6 +116,75 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+#: op11: entries become floor(scale * c) + offset; so many components are given.
+WHITENING = {"scale": 1024, "offset": 100_000, "components": 8}
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), **WHITENING)
+
+
+#: op12: (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP12_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+split AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host,
+         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM split
+), fits AS (
+  SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY length(r.host || r.path) DESC NULLS LAST) AS n
+  FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+#: op13: 40 centroids, five rounds, on floor(256 * x) of vectors of 64 components; the first are drawn with salt 2.
+CLUSTERING = {"k": 40, "rounds": 5, "scale": 256, "dim": 64, "salt": "2"}
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), **CLUSTERING)
+
+
+def _op13_sql() -> str:
+    c = CLUSTERING
+    parts = [f"""kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({c['scale']} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {c['dim']} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c['dim']}
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('{c['salt']}:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {c['k']}
+)"""]
+    near = """SELECT vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS m FROM (
+  SELECT k.vec_id, k.v, c.c, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept k CROSS JOIN c{} c
+) GROUP BY vec_id"""
+    for r in range(c["rounds"]):
+        parts.append(f"a{r} AS MATERIALIZED ({near.format(r)})")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN (
+    SELECT c, list(f ORDER BY i) AS v FROM (
+      SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (
+        SELECT m.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, generate_series(1, {c['dim']}) g(i) GROUP BY ALL)
+    ) GROUP BY c
+  ) n ON o.c = n.c)""")
+    last = c["rounds"]
+    return f"""WITH {", ".join(parts)}, last AS ({near.format(last)})
+SELECT vec_id, CAST(m.c AS INT) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM last JOIN c{last} c ON c.c = m.c"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -128,8 +197,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_licenses": op9_licenses,
         "op10_token_counts": op10_token_counts,
+        "op11_whitening": op11_whitening,
+        "op12_url_filters": op12_url_filters,
+        "op13_clustering": op13_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_licenses": _op9_sql()}
+    return {"op2_sharding": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_licenses": _op9_sql(), "op12_url_filters": OP12_SQL, "op13_clustering": _op13_sql()}
