@@ -35,7 +35,7 @@ DEFAULTS = {
     "relations": "heuristic",  # heuristic, semantic, model; model falls back to heuristic where ``fallback``
     "fallback": True,
     "cache": None,
-    "resolution": "lexical",  # lexical, by_name, embedding, hybrid, none
+    "resolution": "lexical",  # lexical, by_name, embedding (all pairs), ann (cells and probes), hybrid, none
     "scope": "per_source",
     "min_norm_length": 2,
     "merge": 0.85,
@@ -108,8 +108,9 @@ def _resolve(config: dict, mentions: DataFrame, entities: DataFrame, provider) -
         return found.join(own, "entity_id"), mapping, None
     if mode == "by_name":
         return *resolution.resolve_by_name(entities, mentions, config["scope"]), None
-    if mode == "embedding":
-        return resolution.resolve_embedding(entities, mentions, config["merge"], config["candidate"], provider)
+    if mode in ("embedding", "ann"):
+        method = "ann" if mode == "ann" else "exact"
+        return resolution.resolve_embedding(entities, mentions, config["merge"], config["candidate"], provider, method, config["scope"])
     if mode == "hybrid":
         return resolution.resolve_hybrid(entities, mentions, config["merge"], config["candidate"], provider)
     raise ValueError(f"unknown resolution {mode!r}")

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import linkage
 from tessera.operators.components import connected_components
+from tessera.operators.neighbours import LEAF, classes, neighbour_pairs
 from tessera.session import cut
 
 
@@ -232,12 +234,39 @@ def clusters_of(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return entities.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("component", "entity_id").alias("cluster"))
 
 
-def resolve_embedding(entities: DataFrame, mentions: DataFrame, merge: float = 0.85, candidate: float = 0.70, provider=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, mapping, candidate edges between the new ids) by cosine of name embeddings within source and type."""
-    vectors = embed_names(entities, provider).withColumn("scope", F.concat_ws(T.UNIT, "source", "entity_type"))
-    pairs = cut(similar_pairs(vectors, candidate, "entity_id"), "pairs")
+def name_pairs(vectors: DataFrame, threshold: float, method: str, neighbours: int = 20, probes: int = 8, leaf: int = LEAF) -> DataFrame:
+    """(i, j, similarity) of ``vectors`` (id, scope, v): all pairs, or with ``ann`` those that cells and probes find."""
+    if method not in ("exact", "ann"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "ann":
+        return neighbour_pairs(vectors, threshold, neighbours, probes, leaf)
+    cells = vectors.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).agg(F.sum((F.col("n") * (F.col("n") + 1) / 2).cast("double"))).first()[0] or 0
+    logging.getLogger(__name__).info("all pairs of names: %.3g products", cells)
+    return similar_pairs(vectors, threshold, vector_col="v")
+
+
+def resolve_embedding(
+    entities: DataFrame, mentions: DataFrame, merge: float = 0.85, candidate: float = 0.70, provider=None, method: str = "exact", scope: str = "per_source", **search
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, mapping, candidate edges between the new ids) by cosine of name embeddings within scope and type.
+
+    Equal vectors of a scope are one item, its copies are tied to the smallest id: a name that a million entities
+    have costs a row a copy and no pair. ``method="ann"`` takes neighbours from cells and probes instead of all pairs;
+    ``search`` are its ``neighbours``, ``probes`` and ``leaf``.
+    """
+    if merge > 1:
+        raise ValueError("merge is a cosine")
+    placed = embed_names(entities, provider)
+    if scope == "per_doc":
+        placed = placed.join(first_document(mentions), "entity_id", "left")
+    key = scope_key(scope, F.col("source"), F.col("doc_id") if scope == "per_doc" else F.lit(""))
+    placed = placed.withColumn("scope", F.concat_ws(T.UNIT, F.coalesce(key, F.lit("")), "entity_type"))
+    rows = cut(classes(placed, "entity_id", "scope", "embedding"), "name-classes")
+    pairs = cut(name_pairs(rows.where("id = rep").select("id", "scope", "v"), candidate, method, **search), "pairs")
     same, maybe = split_band(pairs, merge, candidate)
-    merged, mapping = merge_clusters(entities, clusters_of(entities, same), mentions)
+    # vectors that are zero stand for names without an embedding and are like nothing, not even each other
+    copies = rows.where((F.col("id") != F.col("rep")) & F.exists("v", lambda x: x != 0)).select(F.col("rep").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("similarity"))
+    merged, mapping = merge_clusters(entities, clusters_of(entities, same.unionByName(copies)), mentions)
     edges = remap(candidate_edges(maybe), mapping, "source_entity_id", "target_entity_id").where("source_entity_id <> target_entity_id")
     return merged, mapping, edges
 
@@ -317,29 +346,49 @@ def hybrid_pairs(vectors: DataFrame, threshold: float, share: float = LEXICAL_SH
     return pairs.where(F.col("similarity") >= threshold)
 
 
+#: Items of a component that is linked within one task; larger ones go in rounds of joins.
+LINK_TASK = 1000
+
+
+def link_names(items: DataFrame, pairs: DataFrame, threshold: float, share: float = LEXICAL_SHARE, task: int = LINK_TASK) -> DataFrame:
+    """(id, cluster) by average linkage of ``items`` (id, norm, embedding, weight); an item without partners has no row.
+
+    ``pairs`` (i, j, similarity) are those of :func:`hybrid_pairs`. Two clusters whose average reaches the threshold
+    have a pair that reaches it, so no cluster goes beyond a component of such pairs. Components of up to ``task``
+    items are linked in one task each, many at a time; no larger one is gathered, whatever its size.
+    """
+    near = pairs.where(F.col("similarity") >= threshold)
+    parts = cut(connected_components(near, "i", "j").select(F.col("node").alias("id"), "component"), "linkage-parts", few=True)
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(items.join(parts, "id").join(sizes, "component"), "linkage-items")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        label = average_linkage(pdf["norm"].tolist(), np.array(pdf["embedding"].tolist(), np.float64), pdf["weight"].tolist(), threshold, share)
+        return pd.DataFrame({"id": pdf["id"], "cluster": [pdf["id"][x] for x in label]})
+
+    kind = items.schema["id"].dataType.simpleString()
+    small = placed.where(F.col("n") <= task).select("id", "norm", "embedding", "weight", "component").groupBy("component").applyInPandas(one, f"id {kind}, cluster {kind}")
+    large = placed.where(F.col("n") > task)
+    if large.limit(1).count() == 0:
+        return small
+    rest = linkage.link(large, near.join(large.select(F.col("id").alias("i")), "i", "left_semi"), threshold, share)
+    return small.unionByName(rest)
+
+
 def resolve_hybrid(
-    entities: DataFrame, mentions: DataFrame, threshold: float = 0.85, candidate: float = 0.70, provider=None, share: float = LEXICAL_SHARE, by_type: bool = True
+    entities: DataFrame, mentions: DataFrame, threshold: float = 0.85, candidate: float = 0.70, provider=None, share: float = LEXICAL_SHARE, by_type: bool = True, task: int = LINK_TASK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, mapping, candidate edges between the new ids) by average linkage of names within a source.
 
-    Equal names are one item with a weight. Two clusters whose average reaches the threshold have a pair that reaches
-    it, so no cluster goes beyond a component of such pairs: components are linked one by one, with the same result as
-    all names at once. With ``by_type`` entities of different types stay apart.
+    Equal names are one item with a weight. With ``by_type`` entities of different types stay apart.
     """
     scope = F.concat_ws(T.UNIT, "source", "entity_type") if by_type else F.col("source")
     placed = embed_names(entities.withColumn("scope", scope), provider).withColumn("norm", T.normalize_mention(F.col("canonical_name")))
     placed = placed.withColumn("id", T.stable_id("name", F.col("scope"), F.col("canonical_name")))
     named = cut(placed.groupBy("id", "scope", "norm").agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("weight")), "hybrid-names")
     near = cut(hybrid_pairs(named, min(candidate, threshold), share), "hybrid-pairs")
-    parts = connected_components(near.where(F.col("similarity") >= threshold), "i", "j")
-    items = named.join(parts.withColumnRenamed("node", "id"), "id")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        label = average_linkage(pdf["norm"].tolist(), np.array(pdf["embedding"].tolist(), np.float64), pdf["weight"].tolist(), threshold, share)
-        return pd.DataFrame({"id": pdf["id"], "cluster": [pdf["id"][x] for x in label]})
-
-    linked = items.select("id", "norm", "embedding", "weight", "component").groupBy("component").applyInPandas(link, "id string, cluster string")
+    linked = link_names(named, near, threshold, share, task)
     # a name beyond all components is a cluster of its own, and so are equal names: their similarity is 1
     clusters = placed.select("entity_id", "id").join(linked, "id", "left").select("entity_id", F.coalesce("cluster", "id").alias("cluster"))
     clusters = cut(clusters, "hybrid-clusters")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, metrics, mining, quality_control, resolution
+from tessera.operators import graph, metrics, mining, neighbours, quality_control, resolution
 from tessera.operators.components import connected_components
 from tessera.plans import knowledge
 from tessera.plans.registry import Registry
-from tessera.session import table
+from tessera.session import cut, table
 from tessera.sources import writers
 from tessera.streaming import windows
 
@@ -195,6 +195,43 @@ def _(spark, sf_dir):
     return resolution.lsh_pairs(_vectors(spark, sf_dir), MERGE).select("i", "j", F.round("similarity", 4).alias("similarity"))
 
 
+#: The approximate search on vectors without scopes: cells of about 64, 16 probes, 50 neighbours, at this cosine.
+ANN, ANN_MERGE = {"leaf": 64, "probes": 16, "neighbours": 50}, 0.4
+R.cte("ann_pairs", f"SELECT a.id AS u, b.id AS v FROM vectors a JOIN vectors b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= {ANN_MERGE}")
+R.cte("ann_reach", "SELECT DISTINCT u, v FROM ann_pairs UNION SELECT r.u, n.v FROM ann_reach r JOIN ann_pairs n ON r.v = n.u")
+
+
+def ann_pairs(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).withColumn("scope", F.lit("all"))
+    return neighbours.neighbour_pairs(rows.select("id", "scope", F.col("embedding").alias("v")), ANN_MERGE, **ANN)
+
+
+@R.query("er4_ann_clusters", "SELECT id AS entity_id, least(id, coalesce(min(v), id)) AS cluster FROM vectors LEFT JOIN ann_reach ON u = id GROUP BY id")
+def _(spark, sf_dir):
+    return resolution.clusters_of(_vectors(spark, sf_dir).withColumnRenamed("id", "entity_id"), ann_pairs(spark, sf_dir))
+
+
+#: Average linkage of vectors with their label as form; pairs of different forms need a cosine of 1/3.
+LINKAGE, LINKAGE_SHARE = 0.3, 0.1
+R.cte("link_pairs", f"SELECT a.id AS i, b.id AS j, {LINKAGE_SHARE} * (a.scope = b.scope)::INT + {1 - LINKAGE_SHARE} * list_cosine_similarity(a.e, b.e) AS s FROM vectors a JOIN vectors b ON a.id <> b.id")
+# one merge a step: the pair of clusters with the highest average over all pairs of their items
+R.cte(
+    "link_state",
+    f"""SELECT 0 AS step, id, id AS c FROM vectors
+UNION ALL SELECT t.step + 1, t.id, CASE WHEN t.c = m.q THEN m.p ELSE t.c END FROM link_state t, (
+  SELECT x.c AS p, y.c AS q, avg(s) AS mean FROM link_pairs JOIN link_state x ON x.id = i JOIN link_state y ON y.id = j WHERE x.c < y.c GROUP BY x.c, y.c ORDER BY mean DESC, p, q LIMIT 1) m
+WHERE m.mean >= {LINKAGE}""",
+)
+
+
+@R.query("er5_average_linkage", "SELECT id, arg_max(c, step) AS cluster FROM link_state GROUP BY id")
+def _(spark, sf_dir):
+    items = _vectors(spark, sf_dir).select("id", F.lit("all").alias("scope"), F.col("scope").cast("string").alias("norm"), "embedding", F.lit(1).alias("weight"))
+    pairs = cut(resolution.hybrid_pairs(items, LINKAGE, LINKAGE_SHARE), "pairs")
+    linked = resolution.link_names(items, pairs, LINKAGE, LINKAGE_SHARE, task=20)
+    return items.select("id").join(linked, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
 @R.query("tk06_neighbours", f"SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(s, 9) DESC, j) AS n FROM (SELECT i, j, s FROM sim_pairs UNION ALL SELECT j, i, s FROM sim_pairs) WHERE s >= {CANDIDATE}) WHERE n <= 20")
 def _(spark, sf_dir):
     from pyspark.sql import Window
