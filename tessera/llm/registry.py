@@ -23,11 +23,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    stored = sharding.shard(docs, fresh_path(spark, "shards")).read()
-    return stored.select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-
-
-OP2_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+    store = sharding.shard(docs, fresh_path(spark, "shards"))
+    shards = store.shards()
+    return store.read().select(
+        "doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.lit(len(store.appended)).alias("n_appends"), F.lit(sum(store.appended)).cast("bigint").alias("appended_rows"),
+        F.lit(sum(s["rows"] for s in shards)).cast("bigint").alias("manifest_rows"), F.lit(max((s["merged"] for s in shards), default=0) >= 2).alias("merged_again"),
+    )
+
+
+#: The store's own counts and whether merged shards were merged again stand beside the rows.
+OP2_SQL = f"""SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256, {sharding.ARRIVALS} AS n_appends, count(*) OVER () AS appended_rows,
+count(*) OVER () AS manifest_rows, true AS merged_again FROM documents"""
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
