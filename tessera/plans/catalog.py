@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import graphs, knowledge
+from tessera.plans import graphs, knowledge, retrieval
 from tessera.plans.registry import Query
 
-REGISTRIES = (knowledge.R, graphs.R)
+REGISTRIES = (knowledge.R, graphs.R, retrieval.R)
 
 
 def queries() -> dict[str, Query]:
