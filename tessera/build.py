@@ -48,7 +48,8 @@ DEFAULTS = {
 }
 #: Predicates whose edges count as degree in the report.
 HUB_PREDICATES = ("INTERACTS_WITH", "LOCATED_IN", "PARTICIPATES_IN", "SAME_AS", "BASED_ON")
-RELATION = ("source_entity_id", "predicate", "target_entity_id", "doc_id", "chunk_id", "source", "confidence", "evidence_text", "rel_type")
+RELATION = ("source_entity_id", "predicate", "target_entity_id", "doc_id", "chunk_id", "source", "confidence", "evidence_text", "rel_type", "pos")
+RELATION_KINDS = {"confidence": "double", "pos": "bigint"}
 
 
 class Run:
@@ -79,7 +80,7 @@ def _counts(rows: DataFrame, *columns: str) -> dict[str, int]:
 
 def _relations(found: DataFrame) -> DataFrame:
     """``found`` with the columns of a relation; those it lacks are null."""
-    return found.select(*(F.col(c) if c in found.columns else F.lit(None).cast("double" if c == "confidence" else "string").alias(c) for c in RELATION))
+    return found.select(*(F.col(c) if c in found.columns else F.lit(None).cast(RELATION_KINDS.get(c, "string")).alias(c) for c in RELATION))
 
 
 def _extract_relations(config: dict, chunks: DataFrame, mentions: DataFrame, provider) -> DataFrame:
@@ -132,6 +133,9 @@ def build(spark: SparkSession, config: dict, out: str, resume: bool = False, ext
     fiction, gold = config["fictional_source"] or names[0], config["gold_source"] or names[-1]
     run = Run(spark, out, config, resume)
     docs = run.stage("documents", lambda: extraction.normalize_documents(reduce(DataFrame.unionByName, (readers.read_documents(spark, s["path"], s["name"], s.get("limit")) for s in config["sources"]))))
+    repeated = [r["doc_id"] for r in docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()]
+    if repeated:
+        raise ValueError(f"documents share their ids, such as {repeated}")
     chunks = run.stage("chunks", lambda: extraction.chunk_documents(docs, config["chunk_tokens"], config["chunk_overlap"], tokenizer))
     # the checkpoint set before resolution: each mention is an entity of its own
     raw_mentions = run.stage("mentions_raw", lambda: extraction.extract_mentions(docs, chunks, gold, fiction, config["engine"], extractor))
@@ -174,7 +178,7 @@ def build(spark: SparkSession, config: dict, out: str, resume: bool = False, ext
     grounding = run.stage("grounding", lambda: _relations(resolution.ground(entities, mentions, fiction, gold).withColumns({"doc_id": F.lit(""), "chunk_id": F.lit(""), "source": F.lit("grounding"), "evidence_text": F.lit(None).cast("string")})))
     entities, mentions, edges, last_report = control(2, entities, mentions, kept.unionByName(grounding).unionByName(candidates))
 
-    tables = {"docs": writers.artifact_documents(docs.drop("spans")), "chunks": chunks, "mentions": mentions, "entities": entities, "relations": edges}
+    tables = {"docs": writers.artifact_documents(docs.drop("spans")), "chunks": chunks, "mentions": mentions, "entities": entities, "relations": edges.drop("pos")}
     writers.write_artifacts(tables, f"{run.out}/artifacts")
     hubs = graph.top(quality_control.degrees(edges.where(F.col("predicate").isin(*HUB_PREDICATES))), "degree", 15).collect()
     rate = quality_control.grounding_rate(mentions.select("entity_id", "source"), edges, fiction).first()[0]

@@ -51,6 +51,11 @@ def normalize_mention(surface: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.lower(comma_below(surface))), MENTION_MARKS, " "), "\\s+", " "))
 
 
+def has_text(text: Column) -> Column:
+    """Whether a text is there and holds more than blanks."""
+    return text.isNotNull() & (F.trim(F.regexp_replace(text, "\\s+", " ")) != "")
+
+
 def compact(text: Column, most: int = 240) -> Column:
     """Single blanks; beyond ``most`` characters cut one short of that, with an ellipsis."""
     flat = F.trim(F.regexp_replace(text, "\\s+", " "))

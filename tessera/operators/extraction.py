@@ -13,14 +13,14 @@ from tessera.functions import vocab
 def ingest(raw: DataFrame, source: str) -> DataFrame:
     """Documents of raw rows: those with text; ids made up from position where missing; well-formed spans; text meta.
 
-    ``raw``: text and optionally doc_id, title, spans, meta and ``pos`` (position in the input).
+    ``raw``: text and optionally doc_id, title, spans, meta, ``file`` and ``pos`` (place in the file).
     """
     has = set(raw.columns)
     col = lambda name, kind: F.col(name) if name in has else F.lit(None).cast(kind)
     kind = "array<struct<start_char:int,end_char:int,label:string,surface:string>>"
     spans = F.filter(F.coalesce(col("spans", kind), F.array().cast(kind)), lambda s: s["start_char"].isNotNull() & s["end_char"].isNotNull() & s["label"].isNotNull())
-    doc_id = F.coalesce(F.nullif(col("doc_id", "string").cast("string"), F.lit("")), T.stable_id("doc", F.lit(source), col("pos", "string")))
-    return raw.where(F.col("text").isNotNull() & (F.trim(F.regexp_replace("text", "\\s+", " ")) != "")).select(
+    doc_id = F.coalesce(F.nullif(col("doc_id", "string").cast("string"), F.lit("")), T.stable_id("doc", F.lit(source), *([F.col("file")] if "file" in has else []), col("pos", "string")))
+    return raw.where(T.has_text(F.col("text"))).select(
         doc_id.alias("doc_id"), F.lit(source).alias("source"), col("title", "string").cast("string").alias("title"), T.normalize_text(F.col("text")).alias("text"), spans.alias("spans"), col("meta", "map<string,string>").alias("meta")
     )
 

@@ -55,8 +55,9 @@ def junk(name: Column, degree: Column) -> Column:
 def quality_control(entities: DataFrame, mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(entities, mentions, relations, report of counters). Each edge is removed for its first reason only.
 
-    Order: self loop, missing end, type rule, then repeats of the canonical edge (symmetric ends sorted; the most
-    confident stays).
+    Order: self loop, missing end, type rule, then repeats of the canonical edge (symmetric ends sorted): the first by
+    ``pos``, the place where it was extracted, stays; edges of one place or without one go by all their other columns,
+    so that the same one stays in every run.
     """
     # both are read several times below
     relations = cut(relations, "qc-relations")
@@ -75,7 +76,7 @@ def quality_control(entities: DataFrame, mentions: DataFrame, relations: DataFra
     checked = relations.withColumn("reason", reason).withColumns({"source_entity_id": F.when(flip, F.col("target_entity_id")).otherwise(F.col("source_entity_id")), "target_entity_id": F.when(flip, F.col("source_entity_id")).otherwise(F.col("target_entity_id"))})
     rest = [c for c in relations.columns if not c.startswith("__")]
     key = ["source_entity_id", "predicate", "target_entity_id", "doc_id", "chunk_id"]
-    nth = F.row_number().over(Window.partitionBy(*key, F.col("reason").isNull()).orderBy(F.desc("confidence")))
+    nth = F.row_number().over(Window.partitionBy(*key, F.col("reason").isNull()).orderBy(*([F.col("pos").asc_nulls_last()] if "pos" in rest else []), *(c for c in sorted(rest) if c != "pos")))
     judged = checked.withColumn("reason", F.when(F.col("reason").isNull() & (nth > 1), "duplicate").otherwise(F.col("reason")))
     count = lambda r: F.count_if(F.col("reason") == r)
     report = judged.agg(count("self_loop").alias("removed_self_loops"), count("missing_end").alias("removed_missing_ends"), count("type_violation").alias("removed_type_violations"), count("duplicate").alias("removed_duplicates"), F.count_if(F.col("reason").isNull()).alias("kept_relations"))

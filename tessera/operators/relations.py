@@ -9,6 +9,8 @@ from tessera.functions import text as T
 from tessera.functions import vocab
 from tessera.session import cut, path_exists
 
+#: Places of pairs within one sentence or under one keyword class: the unit of the sentences' places.
+PLACES = 1 << 32
 #: Pairs that one sentence gives at most; pairs of types that make no relation count too.
 SENTENCE_PAIRS = 40
 
@@ -31,15 +33,15 @@ def ordered_pairs(items: Column, most: int | None = SENTENCE_PAIRS) -> Column:
 def sentence_groups(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
     """The sentences of each chunk with the mentions that overlap them; a mention across a border stands in both.
 
-    Columns of ``chunks`` but start_char, end_char and text, with ``sentence`` and ``mentions`` (in order of place). A chunk
+    Columns of ``chunks`` but start_char, end_char and text, with ``sentence``, its number ``sent`` and ``mentions`` (in order of place). A chunk
     has a bounded number of mentions, so they are gathered by chunk and no interval is joined.
     """
     item = F.struct("start_char", "end_char", "mention_id", "entity_id", "entity_type", "confidence", "surface")
     gathered = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_list(item)).alias("__all"))
     rest = [c for c in chunks.columns if c not in ("start_char", "end_char", "text", "__all")]
-    rows = chunks.join(gathered, "chunk_id").select(*rest, F.col("start_char").alias("__base"), "__all", F.explode(T.sentences(F.col("text"))).alias("__s"))
+    rows = chunks.join(gathered, "chunk_id").select(*rest, F.col("start_char").alias("__base"), "__all", F.posexplode(T.sentences(F.col("text"))).alias("sent", "__s"))
     here = F.filter("__all", lambda m: (m["end_char"] > F.col("__base") + F.col("__s.start")) & (m["start_char"] < F.col("__base") + F.col("__s.end")))
-    return rows.select(*rest, F.col("__s.sentence").alias("sentence"), here.alias("mentions")).where(F.size("mentions") > 1)
+    return rows.select(*rest, "sent", F.col("__s.sentence").alias("sentence"), here.alias("mentions")).where(F.size("mentions") > 1)
 
 
 def distinct_mentions(mentions: Column) -> Column:
@@ -54,10 +56,11 @@ def cooccurrence(rows: DataFrame, mentions: str = "mentions", most: int = SENTEN
     ``rows``: any columns and ``mentions``, an array of structs with entity_id, entity_type and confidence, in order.
     Of an entity that a sentence names again the last mention counts, in the place of the first. Two characters
     interact; whatever is no location is located in a location; other pairs give nothing, but count for ``most``.
+    ``pos`` is the place of a pair among those of its sentence, and of a chunk where rows have a ``sent``.
     """
     rest = [c for c in rows.columns if c != mentions]
     # a column of its own: the pairs refer to it at every item
-    pairs = rows.select(*rest, distinct_mentions(F.col(mentions)).alias("__first")).select(*rest, F.explode(ordered_pairs(F.col("__first"), most)).alias("p"))
+    pairs = rows.select(*rest, distinct_mentions(F.col(mentions)).alias("__first")).select(*rest, F.posexplode(ordered_pairs(F.col("__first"), most)).alias("n", "p"))
     a, b = F.col("p.a"), F.col("p.b")
     place_a, place_b = a["entity_type"] == "Location", b["entity_type"] == "Location"
     located = place_a != place_b
@@ -68,13 +71,14 @@ def cooccurrence(rows: DataFrame, mentions: str = "mentions", most: int = SENTEN
         F.when(place_a, a["entity_id"]).otherwise(b["entity_id"]).alias("target_entity_id"),
         F.least(a["confidence"], b["confidence"], F.when(located, 0.55).otherwise(0.60)).alias("confidence"),
         F.lit("cooccur_sentence").alias("rel_type"),
+        ((F.col("sent").cast("bigint") if "sent" in rest else F.lit(0).cast("bigint")) * PLACES + F.col("n")).alias("pos"),
     )
 
 
 def mention_relations(chunks: DataFrame, mentions: DataFrame, most: int = SENTENCE_PAIRS) -> DataFrame:
     """Co-occurrence relations of chunks and their mentions, with the sentence as evidence."""
     found = cooccurrence(sentence_groups(chunks.select("chunk_id", "doc_id", "source", "start_char", "text"), mentions), most=most)
-    return found.select("source_entity_id", "predicate", "target_entity_id", "doc_id", "chunk_id", "source", "confidence", T.compact(F.col("sentence")).alias("evidence_text"), "rel_type")
+    return found.select("source_entity_id", "predicate", "target_entity_id", "doc_id", "chunk_id", "source", "confidence", T.compact(F.col("sentence")).alias("evidence_text"), "rel_type", "pos")
 
 
 def semantic_relations(chunks: DataFrame, mentions: str = "mentions", between_only: bool = False, patterns: tuple = vocab.SEMANTIC_PATTERNS) -> DataFrame:
@@ -85,11 +89,11 @@ def semantic_relations(chunks: DataFrame, mentions: str = "mentions", between_on
     """
     lower = F.lower("text")
     kinds = F.array(*(F.struct(F.lit(p).alias("predicate"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(c).alias("base"), F.lit(s).alias("symmetric")) for p, k, c, s in patterns))
-    pairs = chunks.withColumn("low", lower).withColumn("kind", F.explode(kinds)).select(
-        "chunk_id", "doc_id", "source", "start_char", "text", "low", "kind", F.filter("kind.keywords", lambda k: F.contains(F.col("low"), k)).alias("here"), mentions
+    pairs = chunks.withColumn("low", lower).select("*", F.posexplode(kinds).alias("k", "kind")).select(
+        "chunk_id", "doc_id", "source", "start_char", "text", "low", "k", "kind", F.filter("kind.keywords", lambda k: F.contains(F.col("low"), k)).alias("here"), mentions
     )
     # no keyword in the chunk, none between its mentions
-    pairs = pairs.where(F.size("here") > 0).withColumn("p", F.explode(ordered_pairs(F.col(mentions), None)))
+    pairs = pairs.where(F.size("here") > 0).select("*", F.posexplode(ordered_pairs(F.col(mentions), None)).alias("n", "p"))
     a, b = F.col("p.a"), F.col("p.b")
     lo, hi = F.least(a["end_char"], b["end_char"]), F.greatest(a["start_char"], b["start_char"])
     between = T.span_text(F.col("text"), lo - F.col("start_char"), hi - F.col("start_char"))
@@ -100,6 +104,7 @@ def semantic_relations(chunks: DataFrame, mentions: str = "mentions", between_on
     return out.select(
         F.col("e.s").alias("source_entity_id"), F.col("kind.predicate").alias("predicate"), F.col("e.t").alias("target_entity_id"), "doc_id", "chunk_id", "source",
         F.least(F.col("kind.base") + 0.05 * (F.col("hits") - 1), F.lit(0.95)).alias("confidence"), F.substring("between", 1, 200).alias("evidence_text"), F.lit("semantic_pattern").alias("rel_type"),
+        (F.col("k").cast("bigint") * PLACES + F.col("n")).alias("pos"),
     )
 
 
@@ -108,8 +113,8 @@ def temporal_relations(chunks: DataFrame, mentions: str = "mentions", indicators
     low = F.lower("text")
     kind = F.coalesce(*(F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(name)) for name, words in indicators))
     events = F.filter(mentions, lambda m: m["entity_type"] == "Event")
-    pairs = chunks.withColumn("predicate", kind).where("predicate IS NOT NULL").select("chunk_id", "doc_id", "source", "predicate", F.explode(ordered_pairs(events, None)).alias("p"))
-    return pairs.select(F.col("p.a.entity_id").alias("source_entity_id"), "predicate", F.col("p.b.entity_id").alias("target_entity_id"), "doc_id", "chunk_id", "source", F.lit(0.7).alias("confidence"), F.lit("temporal").alias("rel_type"))
+    pairs = chunks.withColumn("predicate", kind).where("predicate IS NOT NULL").select("chunk_id", "doc_id", "source", "predicate", F.posexplode(ordered_pairs(events, None)).alias("n", "p"))
+    return pairs.select(F.col("p.a.entity_id").alias("source_entity_id"), "predicate", F.col("p.b.entity_id").alias("target_entity_id"), "doc_id", "chunk_id", "source", F.lit(0.7).alias("confidence"), F.lit("temporal").alias("rel_type"), (F.lit(len(vocab.SEMANTIC_PATTERNS)).cast("bigint") * PLACES + F.col("n")).alias("pos"))
 
 
 def type_allows(predicate: Column, source_type: Column, target_type: Column, owns_places: bool = False) -> Column:

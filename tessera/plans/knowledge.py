@@ -108,7 +108,7 @@ def resolved_mentions(spark: SparkSession, sf_dir: str, rows: DataFrame | None =
 def edges(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Co-occurrence relations between resolved entities; one aggregation has not yet happened, so rows repeat."""
     found = relations.cooccurrence(sentence_mentions(spark, sf_dir) if rows is None else rows)
-    return found.select("doc_id", "source", F.col("sent").alias("chunk_id"), "source_entity_id", "predicate", "target_entity_id", "confidence", T.compact(F.col("sentence")).alias("evidence_text"), "rel_type")
+    return found.select("doc_id", "source", F.col("sent").alias("chunk_id"), "source_entity_id", "predicate", "target_entity_id", "confidence", T.compact(F.col("sentence")).alias("evidence_text"), "rel_type", "pos")
 
 
 R.cte(
@@ -124,7 +124,7 @@ R.cte(
     "edges",
     """SELECT doc_id, source, sent AS chunk_id, sentence, CASE WHEN a_type = 'Location' THEN b_id ELSE a_id END AS source_entity_id,
   CASE WHEN (a_type = 'Location') <> (b_type = 'Location') THEN 'LOCATED_IN' ELSE 'INTERACTS_WITH' END AS predicate,
-  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence FROM pairs WHERE (a_type = 'Location') <> (b_type = 'Location') OR (a_type = 'Character' AND b_type = 'Character')""",
+  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence, n FROM pairs WHERE (a_type = 'Location') <> (b_type = 'Location') OR (a_type = 'Character' AND b_type = 'Character')""",
 )
 
 
@@ -560,8 +560,8 @@ R.cte("degree", "SELECT id AS entity_id, count(*) AS degree FROM (SELECT unnest(
 R.cte("kept", f"SELECT e.* FROM entities e LEFT JOIN degree d USING (entity_id) WHERE NOT (norm = '' OR norm IN ({_sql_list(vocab.JUNK_NAMES)}) OR (length(norm) <= 2 AND coalesce(degree, 0) >= 20) OR (NOT contains(norm, ' ') AND length(norm) <= 6 AND coalesce(degree, 0) >= 5000))")
 R.cte(
     "judged",
-    """SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY s, predicate, t, doc_id, chunk_id, reason IS NULL ORDER BY 1) > 1 THEN 'duplicate' ELSE reason END AS final FROM (
-SELECT e.doc_id, e.chunk_id, e.predicate, CASE WHEN predicate = 'INTERACTS_WITH' THEN least(source_entity_id, target_entity_id) ELSE source_entity_id END AS s, CASE WHEN predicate = 'INTERACTS_WITH' THEN greatest(source_entity_id, target_entity_id) ELSE target_entity_id END AS t,
+    """SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY s, predicate, t, doc_id, chunk_id, reason IS NULL ORDER BY sent, n) > 1 THEN 'duplicate' ELSE reason END AS final FROM (
+SELECT e.doc_id, e.chunk_id // 8 AS chunk_id, e.chunk_id AS sent, e.n, e.confidence, e.sentence, e.predicate, CASE WHEN predicate = 'INTERACTS_WITH' THEN least(source_entity_id, target_entity_id) ELSE source_entity_id END AS s, CASE WHEN predicate = 'INTERACTS_WITH' THEN greatest(source_entity_id, target_entity_id) ELSE target_entity_id END AS t,
   CASE WHEN source_entity_id = target_entity_id THEN 'self_loop' WHEN a.entity_id IS NULL OR b.entity_id IS NULL THEN 'missing_end' WHEN predicate = 'LOCATED_IN' AND NOT (a.entity_type <> 'Location' AND b.entity_type = 'Location') THEN 'type_violation' WHEN predicate = 'INTERACTS_WITH' AND (a.entity_type = 'Location' OR b.entity_type = 'Location') THEN 'type_violation' END AS reason
 FROM edges e LEFT JOIN kept a ON a.entity_id = e.source_entity_id LEFT JOIN kept b ON b.entity_id = e.target_entity_id)""",
 )
@@ -570,7 +570,9 @@ FROM edges e LEFT JOIN kept a ON a.entity_id = e.source_entity_id LEFT JOIN kept
 def _controlled(spark, sf_dir):
     read = parsed(spark, sf_dir)
     found, _ = entities(spark, sf_dir, read)
-    return quality_control.quality_control(found, resolved_mentions(spark, sf_dir, read), edges(spark, sf_dir, read))
+    # eight sentences are a chunk here: a pair that meets in more than one of them is a repeat, and the first stays
+    found_edges = edges(spark, sf_dir, read).withColumn("chunk_id", F.expr("chunk_id div 8"))
+    return quality_control.quality_control(found, resolved_mentions(spark, sf_dir, read), found_edges)
 
 
 @R.query("qc2_jn10_kept_mentions", "SELECT m.mention_id FROM mentions m WHERE m.resolved_id IN (SELECT entity_id FROM kept)")
@@ -578,9 +580,9 @@ def _(spark, sf_dir):
     return _controlled(spark, sf_dir)[1].select("mention_id")
 
 
-@R.query("qc3_so2_clean_edges", "SELECT doc_id, chunk_id, s AS source_entity_id, predicate, t AS target_entity_id FROM judged WHERE final IS NULL")
+@R.query("qc3_so2_clean_edges", f"SELECT doc_id, chunk_id, s AS source_entity_id, predicate, t AS target_entity_id, confidence, {_COMPACT} AS evidence_text FROM (SELECT *, trim(regexp_replace(sentence, '\\s+', ' ', 'g')) AS f FROM judged) WHERE final IS NULL")
 def _(spark, sf_dir):
-    return _controlled(spark, sf_dir)[2].select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "source_entity_id", "predicate", "target_entity_id")
+    return _controlled(spark, sf_dir)[2].select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "source_entity_id", "predicate", "target_entity_id", "confidence", "evidence_text")
 
 
 @R.query("ag10_qc_report", "SELECT count(*) FILTER (WHERE final = 'self_loop') AS removed_self_loops, count(*) FILTER (WHERE final = 'missing_end') AS removed_missing_ends, count(*) FILTER (WHERE final = 'type_violation') AS removed_type_violations, count(*) FILTER (WHERE final = 'duplicate') AS removed_duplicates, count(*) FILTER (WHERE final IS NULL) AS kept_relations, (SELECT count(*) FROM entities) - (SELECT count(*) FROM kept) AS removed_entities, (SELECT count(*) FROM kept) AS kept_entities FROM judged")
@@ -731,6 +733,6 @@ def _(spark, sf_dir):
     m = resolved_mentions(spark, sf_dir, read).withColumns({"start_char": F.col("pos"), "end_char": F.col("pos")})
     flip = F.col("predicate").isin(*vocab.SYMMETRIC_PREDICATES) & (F.col("source_entity_id") > F.col("target_entity_id"))
     s, t = F.col("source_entity_id"), F.col("target_entity_id")
-    linked = edges(spark, sf_dir, read).where(s != t).withColumns({"source_entity_id": F.when(flip, t).otherwise(s), "target_entity_id": F.when(flip, s).otherwise(t)}).distinct()
+    linked = edges(spark, sf_dir, read).drop("pos").where(s != t).withColumns({"source_entity_id": F.when(flip, t).otherwise(s), "target_entity_id": F.when(flip, s).otherwise(t)}).distinct()
     works = writers.artifact_documents(documents(spark, sf_dir))
     return writers.cypher_script(works, found.withColumnRenamed("scope_id", "source"), m, linked, relations.coreference(m))

@@ -3,28 +3,71 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import has_text
+from tessera.session import qualified
+
 DOCUMENT = "doc_id string, title string, text string, spans array<struct<start_char:int,end_char:int,label:string,surface:string>>, meta map<string,string>, author string, year int, genre string"
 QUESTION = "question_id string, question string, graph array<array<string>>, q_entity array<string>, a_entity array<string>, answer array<string>"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file with an explicit schema; blank lines are skipped, ``pos`` keeps the order of a file."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("pos"), F.from_json("value", schema).alias("r")).select("pos", "r.*")
+#: What a line is stripped of before it counts as blank.
+BLANKS = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, file, pos) of the lines that aren't blank: ``pos`` counts them from 0 in each file.
+
+    A file is read as blocks in any number of tasks. Lines are counted by block, and the sum of the counts before a
+    block is the place of its first line; a line's rank in its block is what its running id is above the block's
+    smallest. So places depend neither on how files are split nor on other files, and no task has more than a block;
+    the window runs over the blocks of one file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(F.btrim("value", F.lit(BLANKS)) != "").withColumn("row", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = blocks.select("file", "block", (before - F.col("first")).alias("base"))
+    return lines.join(bases, ["file", "block"]).select("value", "file", (F.col("base") + F.col("row")).alias("pos"))
+
+
+def _named_as_given(spark: SparkSession, path: str | list[str], file: Column) -> Column:
+    """A file's path as the caller wrote it where ``path`` is that file, else the whole path without a local scheme."""
+    plain = F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    given = [path] if isinstance(path, str) else path
+    names = {re.sub("^file:/+", "/", qualified(spark, p)): p for p in given}
+    return reduce(lambda other, name: F.when(plain == name, names[name]).otherwise(other), names, plain)
 
 
-def read_documents(spark: SparkSession, path: str, source: str, limit: int | None = None) -> DataFrame:
-    """Documents of a JSON-lines file; author, year and genre go into ``meta``."""
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Rows of JSON-lines files with an explicit schema, with ``file`` and ``pos``, the place among a file's lines; blank lines are skipped."""
+    return numbered_lines(spark, path).select("file", "pos", F.from_json("value", schema).alias("r")).select("file", "pos", "r.*")
+
+
+def _own_id(spark: SparkSession, path: str | list[str]) -> Column:
+    """What stands for a missing id: the place in the file, with the file's name where there are more files than one."""
+    place = F.col("pos").cast("string")
+    return place if len(spark.read.text(path).inputFiles()) == 1 else F.concat_ws(":", _named_as_given(spark, path, F.col("file")), place)
+
+
+def read_documents(spark: SparkSession, path: str | list[str], source: str, limit: int | None = None) -> DataFrame:
+    """Documents of JSON-lines files; author, year and genre go into ``meta``; ``limit`` takes the first by file and line.
+
+    A document without an id gets one of its source, its file's path and its line, so two files never give the same.
+    """
     from tessera.operators.extraction import ingest
 
     rows = read_jsonl(spark, path, DOCUMENT)
+    if limit is not None:
+        rows = rows.where(has_text(F.col("text"))).orderBy("file", "pos").limit(limit)
     extra = F.map_filter(F.create_map(*(x for c in ("author", "year", "genre") for x in (F.lit(c), F.col(c).cast("string")))), lambda k, v: v.isNotNull())
     rows = rows.withColumn("meta", F.map_concat(F.coalesce(F.map_filter("meta", lambda k, v: ~k.isin("author", "year", "genre")), F.create_map().cast("map<string,string>")), extra))
-    return ingest(rows.limit(limit) if limit is not None else rows, source)
+    return ingest(rows.withColumn("file", _named_as_given(spark, path, F.col("file"))), source)
 
 
 def text_field(row_columns: list[str], candidates: tuple[str, ...] = ("text", "content", "paragraph")):
@@ -41,7 +84,7 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question rows; the id falls back to the position."""
     rows = read_jsonl(spark, path, QUESTION)
-    return rows.withColumn("question_id", F.coalesce("question_id", F.col("pos").cast("string")))
+    return rows.withColumn("question_id", F.coalesce(F.col("question_id"), _own_id(spark, path)))
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +92,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 
     Answers may be strings or objects with ``answer``; entities may be a list or one string.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("pos", F.monotonically_increasing_id())
+    lines = numbered_lines(spark, path)
     get = lambda *names: F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in names))
     answers = get("answers", "Answers")
     items = F.from_json(answers, "array<string>")
@@ -57,7 +100,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     entities = get("entities", "TopicEntityMid")
     many = F.coalesce(F.from_json(entities, "array<string>"), F.when(entities.isNotNull(), F.array(entities)))
     empty = F.array().cast("array<string>")
-    return lines.select(F.coalesce(get("id", "ID"), F.col("pos").cast("string")).alias("id"), get("question", "Question").alias("question"), F.coalesce(one, empty).alias("answers"), F.coalesce(many, empty).alias("entities"))
+    return lines.select(F.coalesce(get("id", "ID"), _own_id(spark, path)).alias("id"), get("question", "Question").alias("question"), F.coalesce(one, empty).alias("answers"), F.coalesce(many, empty).alias("entities"))
 
 
 def first_answer(answers):

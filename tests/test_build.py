@@ -225,3 +225,51 @@ def test_recall_of_the_approximate_join(spark):
     exact = {(r["i"], r["j"]) for r in resolution.similar_pairs(graphs._vectors(spark, sf_dir).withColumn("scope", F.lit(0)), graphs.MERGE).collect()}
     found = {(r["i"], r["j"]) for r in resolution.lsh_pairs(graphs._vectors(spark, sf_dir), graphs.MERGE, neighbours=500).collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact), (len(found), len(exact))
+
+
+def test_ids_are_of_file_and_line(spark, tmp_path):
+    """Whatever the splits and the other files: the id of a document is that of its source, path and line."""
+    import hashlib
+
+    from tessera.functions.text import UNIT
+
+    lines = ["" if i % 7 == 3 else '{"text": "Ana a plecat %d."}' % i for i in range(400)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    ident = lambda path, i: "doc_" + hashlib.sha1(UNIT.join(["s", path, str(i)]).encode()).hexdigest()[:16]
+    paths = [str(tmp_path / f"{name}.jsonl") for name in ("a", "b")]
+    n = sum(bool(x) for x in lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            one = readers.read_documents(spark, paths[0], "s")
+            assert (one.rdd.getNumPartitions() > 4) == (split == "1k")
+            assert {r["doc_id"] for r in one.collect()} == {ident(paths[0], i) for i in range(n)}
+            both = [r["doc_id"] for r in readers.read_documents(spark, paths, "s").collect()]
+            assert sorted(both) == sorted(ident(p, i) for p in paths for i in range(n))
+            assert sorted(r["doc_id"] for r in readers.read_documents(spark, str(tmp_path / "*.jsonl"), "s").collect()) == sorted(both)
+            first = readers.read_documents(spark, paths[0], "s", 3).collect()
+            assert {r["doc_id"] for r in first} == {ident(paths[0], i) for i in range(3)}
+            questions = readers.read_questions(spark, str(tmp_path))
+            assert questions.select("question_id").distinct().count() == 2 * n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_repeated_ids_are_refused(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"doc_id": "x", "text": "Ana."}\n{"doc_id": "x", "text": "Ion."}\n')
+    with pytest.raises(ValueError, match="share their ids"):
+        build.build(spark, {"sources": [{"name": "s", "path": str(tmp_path / "a.jsonl")}]}, str(tmp_path / "out"))
+
+
+def test_the_first_of_equal_edges_stays(spark):
+    entities = spark.createDataFrame([("a", "Character", "Ana"), ("b", "Character", "Ion")], "entity_id string, entity_type string, canonical_name string")
+    mentions = spark.createDataFrame([("m", "a", 0, 1)], "mention_id string, entity_id string, start_char int, end_char int")
+    rows = [("a", "INTERACTS_WITH", "b", "d", "c", 0.5, "first", 4), ("b", "INTERACTS_WITH", "a", "d", "c", 0.9, "second", 9), ("a", "INTERACTS_WITH", "b", "d", "c", 0.7, "unplaced", None)]
+    edges = spark.createDataFrame(rows, "source_entity_id string, predicate string, target_entity_id string, doc_id string, chunk_id string, confidence double, evidence_text string, pos bigint")
+    kept = quality_control.quality_control(entities, mentions, edges.repartition(3))[2].collect()
+    assert [(r["confidence"], r["evidence_text"]) for r in kept] == [(0.5, "first")]
+    # without places the same one stays in every run
+    left = {quality_control.quality_control(entities, mentions, edges.drop("pos").repartition(n))[2].first()["evidence_text"] for n in (1, 2, 5)}
+    assert len(left) == 1
