@@ -116,10 +116,26 @@ def label_type(label: Column, mapping: dict[str, str], default: str) -> Column:
     return F.coalesce(known[F.upper(label)], F.lit(default))
 
 
+#: Characters of one bin of the interval join; above the usual length of a chunk, so that most chunks stand in one bin.
+BIN = 8192
+
+
+def _bins(start: Column, end: Column) -> Column:
+    """The bins that an interval touches; an empty one touches that of its place."""
+    return F.sequence(F.floor(start / BIN), F.floor(F.greatest(start, end - 1) / BIN))
+
+
 def span_mentions(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Gold spans clipped to each chunk they overlap; an interval join on the document."""
+    """Gold spans clipped to each chunk they overlap: an interval join by document and bins of characters.
+
+    A span and a chunk meet in every bin they share and count in the first, so each pair is made once and a long
+    document with many spans is many keys.
+    """
     spans = docs.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start_char").alias("a"), F.col("s.end_char").alias("b"), F.col("s.label").alias("label"))
-    joined = chunks.join(spans, "doc_id").where((F.col("b") > F.col("start_char")) & (F.col("a") < F.col("end_char")))
+    left = chunks.withColumn("bin", F.explode(_bins(F.col("start_char"), F.col("end_char"))))
+    right = spans.where("b >= a").withColumn("bin", F.explode(_bins(F.col("a"), F.col("b"))))
+    first = F.col("bin") == F.floor(F.greatest("a", "start_char") / BIN)
+    joined = left.join(right, ["doc_id", "bin"]).where(first & (F.col("b") > F.col("start_char")) & (F.col("a") < F.col("end_char")))
     begin, end = F.greatest("a", "start_char"), F.least("b", "end_char")
     raw = F.substring(F.col("text"), begin - F.col("start_char") + 1, end - begin)
     rows = joined.select("chunk_id", "doc_id", "source", begin.alias("start_char"), end.alias("end_char"), F.trim(F.regexp_replace(raw, "^\\s+|\\s+$", "")).alias("surface"), label_type(F.col("label"), vocab.GOLD_LABELS, "Person").alias("entity_type"))

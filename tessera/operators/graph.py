@@ -117,24 +117,68 @@ def deaths(edges: DataFrame, shown: int = SHOWN) -> DataFrame:
     return counts.join(_first(killed, "target", "killer", shown), "target").select("target", "killers", F.col("first").alias("first_killers"))
 
 
+def _pointers(parent: DataFrame) -> list[DataFrame]:
+    """(child, up) tables: ``up`` is the ancestor 1, 2, 4, … generations above; rows end where a chain does.
+
+    The last table is empty, or, where there are cycles, reaches beyond all nodes that are left: its ``up`` are the nodes
+    on cycles.
+    """
+    tables = [cut(parent.select("child", F.col("parent").alias("up")), "pointers", few=True)]
+    alive = n = tables[0].count()
+    # a node with an ancestor more generations above than there are children runs into a cycle
+    while alive and 1 << (len(tables) - 1) <= n:
+        below = tables[-1]
+        above = below.select(F.col("child").alias("up"), F.col("up").alias("far"))
+        tables.append(cut(below.join(above, "up").select("child", F.col("far").alias("up")), "pointers", few=True))
+        alive = tables[-1].count()
+    return tables
+
+
+def _ends(parent: DataFrame) -> DataFrame:
+    """(child, end, dist) of an acyclic parent table: the last ancestor and its distance, doubled until nothing moves."""
+    now = cut(parent.select("child", F.col("parent").alias("end"), F.lit(1).cast("bigint").alias("dist")), "chain-ends", few=True)
+    while not now.join(now.select(F.col("child").alias("end")), "end", "left_semi").isEmpty():
+        further = now.select(F.col("child").alias("end"), F.col("end").alias("far"), F.col("dist").alias("more"))
+        was, now = now, cut(now.join(further, "end", "left").select("child", F.coalesce("far", "end").alias("end"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")), "chain-ends", few=True)
+        drop_cut(was)
+    return now
+
+
+def _cycle_sizes(on_cycle: DataFrame, parent: DataFrame) -> DataFrame:
+    """(node, len) of the nodes on cycles: a cycle is named by its smallest node, found over doubled steps."""
+    now = cut(on_cycle.join(parent.withColumnRenamed("child", "node"), "node").select("node", F.col("parent").alias("up"), F.least("node", "parent").alias("name")), "cycles", few=True)
+    n, reach = now.count(), 1
+    while reach < n:
+        ahead = now.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("name").alias("other"))
+        was, now = now, cut(now.join(ahead, "up").select("node", F.col("far").alias("up"), F.least("name", "other").alias("name")), "cycles", few=True)
+        drop_cut(was)
+        reach *= 2
+    return now.join(now.groupBy("name").agg(F.count(F.lit(1)).alias("len")), "name").select("node", "len")
+
+
 def lineages(edges: DataFrame) -> DataFrame:
     """(leaf, depth, chain from the root) for every child that is no parent; a cycle ends where it would repeat.
 
-    Of several parents the largest counts. One join a generation, as many as the longest chain has; chains that have
-    ended leave the loop.
+    Of several parents the largest counts. Ancestors are found by doubling: tables of the ancestor 1, 2, 4, …
+    generations above, as many as the logarithm of the longest chain; from the farthest table down each leaf's
+    ancestors double, each found once, and chains are gathered at the end, at the size they have in the result.
     """
-    parent = cut(edges.where("predicate = 'DESCENDS_FROM' AND source_entity_id <> target_entity_id").groupBy(F.col("source_entity_id").alias("child")).agg(F.max("target_entity_id").alias("parent")), "parents")
-    leaves = parent.join(parent.select(F.col("parent").alias("child")).distinct(), "child", "left_anti")
-    walk, done = leaves.select(F.col("child").alias("leaf"), F.array("parent", "child").alias("chain")), None
-    while True:
-        step = walk.join(parent, F.get("chain", F.lit(0)) == F.col("child"), "left").withColumn("on", F.col("parent").isNotNull() & ~F.array_contains("chain", F.col("parent")))
-        step = cut(step, "lineage", few=True)
-        ended = step.where("NOT on").select("leaf", "chain")
-        done = ended if done is None else done.unionByName(ended)
-        walk = step.where("on").select("leaf", F.concat(F.array("parent"), "chain").alias("chain"))
-        if walk.isEmpty():
-            break
-    return done.select("leaf", F.size("chain").alias("depth"), "chain")
+    parent = cut(edges.where("predicate = 'DESCENDS_FROM' AND source_entity_id <> target_entity_id").groupBy(F.col("source_entity_id").alias("child")).agg(F.max("target_entity_id").alias("parent")), "parents", few=True)
+    tables = _pointers(parent)
+    on_cycle = cut(tables[-1].select(F.col("up").alias("node")).distinct(), "on-cycle", few=True)
+    open_ = parent.join(on_cycle.select(F.col("node").alias("child")), "child", "left_anti")
+    ends = _ends(open_)
+    leaves = parent.join(parent.select(F.col("parent").alias("child")).distinct(), "child", "left_anti").select("child")
+    need = leaves.join(ends, "child").join(_cycle_sizes(on_cycle, parent).withColumnRenamed("node", "end"), "end", "left")
+    # a chain that runs into a cycle goes once around it
+    walk = need.select(F.col("child").alias("leaf"), F.col("child").alias("node"), F.lit(0).cast("bigint").alias("up_by"), (F.col("dist") + F.coalesce(F.col("len") - 1, F.lit(0))).alias("need"))
+    for k in range(len(tables) - 1, -1, -1):
+        jump = F.lit(1 << k).cast("bigint")
+        far = walk.where(F.col("up_by") + jump <= F.col("need")).join(tables[k].withColumnRenamed("child", "node"), "node").select("leaf", F.col("up").alias("node"), (F.col("up_by") + jump).alias("up_by"), "need")
+        walk = cut(walk.unionByName(far), "ancestors", few=True)
+    drop_cut(*tables, ends, on_cycle)
+    chain = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up_by")).alias("o"), "node"))), lambda x: x["node"])
+    return walk.groupBy("leaf").agg(chain.alias("chain")).select("leaf", F.size("chain").alias("depth"), "chain")
 
 
 def top_lineages(chains: DataFrame, n: int = 10) -> DataFrame:

@@ -210,9 +210,26 @@ def lsh_pairs(vectors: DataFrame, threshold: float, tables: int = 12, seed: int
     return near.withColumn("n", F.row_number().over(top)).where(F.col("n") <= neighbours).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "similarity").groupBy("i", "j").agg(F.max("similarity").alias("similarity"))
 
 
+def lexical_classes(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes: norm, first, n, pairs; members: entity_id, norm) of entities with one normal form.
+
+    A class stands for all pairs of its members and says how many they are; a form that a hundred thousand entities
+    have is one row here, and their rows as members.
+    """
+    members = entities.select("entity_id", T.normalize_mention(F.col("canonical_name")).alias("norm")).where("norm <> ''")
+    classes = members.groupBy("norm").agg(F.min("entity_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return classes.withColumn("pairs", F.expr("n * (n - 1) div 2")), members
+
+
+def lexical_stars(entities: DataFrame) -> DataFrame:
+    """(i, j, similarity 1) that ties each member of a class to its first: the components of all pairs by one row a member."""
+    classes, members = lexical_classes(entities)
+    return members.join(classes.where("n > 1").select("norm", "first"), "norm").where("entity_id <> first").select(F.col("first").alias("i"), F.col("entity_id").alias("j"), F.lit(1.0).alias("similarity"))
+
+
 def lexical_pairs(entities: DataFrame) -> DataFrame:
-    """(i, j, similarity 1) of entities with one normal form; a plain equi-join."""
-    rows = entities.select("entity_id", T.normalize_mention(F.col("canonical_name")).alias("norm")).where("norm <> ''")
+    """(i, j, similarity 1) of all pairs of entities with one normal form, written out; :func:`lexical_classes` counts them."""
+    _, rows = lexical_classes(entities)
     return rows.alias("a").join(rows.alias("b"), (F.col("a.norm") == F.col("b.norm")) & (F.col("a.entity_id") < F.col("b.entity_id"))).select(F.col("a.entity_id").alias("i"), F.col("b.entity_id").alias("j"), F.lit(1.0).alias("similarity"))
 
 
@@ -400,16 +417,44 @@ def resolve_hybrid(
     return merged, mapping, edges
 
 
-def ground(entities: DataFrame, mentions: DataFrame, fiction: str, history: str) -> DataFrame:
-    """SAME_AS (one type) and BASED_ON (character on person) edges from entities of one corpus to the other's."""
-    seen = mentions.select("entity_id", "source").distinct()
+def _sides(entities: DataFrame, mentions: DataFrame, fiction: str, history: str) -> DataFrame:
+    """(entity_id, entity_type, norm, in_fiction, in_history) of the entities that one of the corpora mentions."""
     norm = F.coalesce("norm", T.normalize_mention(F.col("canonical_name"))) if "norm" in entities.columns else T.normalize_mention(F.col("canonical_name"))
     base = entities.select("entity_id", "entity_type", norm.alias("norm")).where("norm <> ''")
-    a, b = (base.join(seen.where(F.col("source") == s), "entity_id", "left_semi") for s in (fiction, history))
-    b = b.select(F.col("entity_id").alias("target_entity_id"), F.col("entity_type").alias("target_type"), F.col("norm").alias("target_norm"))
+    seen = mentions.groupBy("entity_id").agg(F.max(F.col("source") == fiction).alias("in_fiction"), F.max(F.col("source") == history).alias("in_history"))
+    return base.join(seen.where("in_fiction OR in_history"), "entity_id")
+
+
+def _grounds(type_a: Column, type_b: Column) -> Column:
+    """The predicate that grounds an entity of one type on one of another, or null."""
+    return F.when(type_a == type_b, "SAME_AS").when((type_a == "Character") & (type_b == "Person"), "BASED_ON")
+
+
+def grounding_classes(entities: DataFrame, mentions: DataFrame, fiction: str, history: str) -> tuple[DataFrame, DataFrame]:
+    """(classes: norm, predicate, source_type, target_type, sources, targets, links; members as :func:`_sides`).
+
+    One class row stands for all SAME_AS or BASED_ON edges between the entities of a form and two types; ``links`` is
+    their number, without those of an entity to itself. Classes are counted before they meet, so no pair of entities
+    is made.
+    """
+    members = _sides(entities, mentions, fiction, history)
+    kinds = members.groupBy("norm", "entity_type").agg(F.count_if("in_fiction").alias("sources"), F.count_if("in_history").alias("targets"), F.count_if(F.col("in_fiction") & F.col("in_history")).alias("both"))
+    a = kinds.where("sources > 0").select("norm", F.col("entity_type").alias("source_type"), "sources", "both")
+    b = kinds.where("targets > 0").select("norm", F.col("entity_type").alias("target_type"), "targets")
+    predicate = _grounds(F.col("source_type"), F.col("target_type"))
+    links = F.col("sources") * F.col("targets") - F.when(F.col("source_type") == F.col("target_type"), F.col("both")).otherwise(0)
+    found = a.join(b, "norm").select("norm", predicate.alias("predicate"), "source_type", "target_type", "sources", "targets", links.alias("links"))
+    return found.where("predicate IS NOT NULL AND links > 0"), members
+
+
+def ground(entities: DataFrame, mentions: DataFrame, fiction: str, history: str) -> DataFrame:
+    """SAME_AS (one type) and BASED_ON (character on person) edges from entities of one corpus to the other's, written out."""
+    base = _sides(entities, mentions, fiction, history)
+    a = base.where("in_fiction").select("entity_id", "entity_type", "norm")
+    b = base.where("in_history").select(F.col("entity_id").alias("target_entity_id"), F.col("entity_type").alias("target_type"), F.col("norm").alias("target_norm"))
     pairs = a.join(b, F.col("norm") == F.col("target_norm")).where("entity_id <> target_entity_id")
-    same, based = F.col("entity_type") == F.col("target_type"), (F.col("entity_type") == "Character") & (F.col("target_type") == "Person")
-    return pairs.where(same | based).select(
-        F.col("entity_id").alias("source_entity_id"), F.when(same, "SAME_AS").otherwise("BASED_ON").alias("predicate"), "target_entity_id",
+    same = F.col("entity_type") == F.col("target_type")
+    return pairs.withColumn("predicate", _grounds(F.col("entity_type"), F.col("target_type"))).where("predicate IS NOT NULL").select(
+        F.col("entity_id").alias("source_entity_id"), "predicate", "target_entity_id",
         F.when(same, 0.95).otherwise(0.85).alias("confidence"), F.when(same, "exact_norm_same_type").otherwise("exact_norm_character_person").alias("rel_type"),
     )

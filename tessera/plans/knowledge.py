@@ -512,6 +512,14 @@ def _(spark, sf_dir):
     return resolution.lexical_pairs(found).select("i", "j")
 
 
+@R.query("jn16_lexical_classes", "SELECT norm, n, n * (n - 1) // 2 AS pairs, tied FROM (SELECT norm, count(*) AS n, count(*) - 1 AS tied FROM entities WHERE norm <> '' GROUP BY norm)")
+def _(spark, sf_dir):
+    found, _ = entities(spark, sf_dir, parsed(spark, sf_dir))
+    classes, members = resolution.lexical_classes(found)
+    stars = resolution.lexical_stars(found).groupBy("i").agg(F.count(F.lit(1)).alias("tied"))
+    return classes.join(stars, F.col("first") == F.col("i"), "left").select("norm", "n", "pairs", F.coalesce("tied", F.lit(0)).cast("bigint").alias("tied"))
+
+
 @R.query("jn22_first_document", "SELECT resolved_id AS entity_id, arg_min(doc_id, (doc_id, start_char, mention_id)) AS doc_id FROM located GROUP BY resolved_id")
 def _(spark, sf_dir):
     resolved = T.stable_id("ent", F.lit("resolved"), F.col("entity_type"), F.col("norm"), F.col("source"))
@@ -526,6 +534,13 @@ def _(spark, sf_dir):
     return _ground(spark, sf_dir).select("source_entity_id", "predicate", "target_entity_id")
 
 
+@R.query("jn13_jn14_grounding_classes", "SELECT a.norm, CASE WHEN a.entity_type = b.entity_type THEN 'SAME_AS' ELSE 'BASED_ON' END AS predicate, a.entity_type AS source_type, b.entity_type AS target_type, count(*) AS links FROM entities a JOIN entities b ON a.norm = b.norm AND a.entity_id <> b.entity_id WHERE a.norm <> '' AND a.source = 'narrative' AND b.source = 'historical' AND (a.entity_type = b.entity_type OR (a.entity_type = 'Character' AND b.entity_type = 'Person')) GROUP BY ALL")
+def _(spark, sf_dir):
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    return resolution.grounding_classes(found, resolved_mentions(spark, sf_dir, read), "narrative", "historical")[0].select("norm", "predicate", "source_type", "target_type", "links")
+
+
 def _ground(spark, sf_dir):
     read = parsed(spark, sf_dir)
     found, _ = entities(spark, sf_dir, read)
