@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import cut
+from tessera.session import cut, drop_cut
 
 #: Paths of a question and, where it has none, edges; triples that a sample keeps.
 PATHS, FALLBACK_PATHS, SAMPLE_TRIPLES = 8, 4, 50
@@ -27,28 +27,66 @@ def adjacency(triples: DataFrame) -> DataFrame:
     return triples.select("question_id", F.inline(ends))
 
 
+ENDS = ["question_id", "start", "goal"]
+
+
+def _meet_in_the_middle(ends: DataFrame, hops: int, grow, join, settle: bool) -> DataFrame:
+    """Paths of 1 to ``hops`` edges of ``ends``, of parts from both ends: (question_id, start, goal, path).
+
+    ``grow(part, forward)`` makes the parts of one side longer by an edge, ``join(heads, tails)`` puts parts that meet
+    in a node together. Each round grows the side that has fewer parts, so a hub is walked through only where
+    the other end is no nearer; ends of which one side has no parts left are dropped, and with ``settle`` those that
+    have met too. Ends have a number here; parts are (pair, question_id, node, far, path, key), ``far`` the other end,
+    a state of the shared folder each.
+    """
+    pairs = cut(ends.where("start <> goal").select(*ENDS, F.monotonically_increasing_id().alias("pair")), "path-ends", few=True)
+    part = lambda node, far: pairs.select("pair", "question_id", F.col(node).alias("node"), F.col(far).alias("far"), F.array(node).alias("path"), F.array().cast("array<bigint>").alias("key"))
+    sides, sizes, states, found = {True: part("start", "goal"), False: part("goal", "start")}, {True: 0, False: 0}, [], None
+    open_ = pairs.count()
+    for hop in range(1, hops + 1):
+        forward = sizes[True] <= sizes[False]
+        # after the first growth of either side a pair that it has lost is lost for good
+        grows = sides[forward] if hop == 1 else sides[forward].join(sides[not forward].select("pair").distinct(), "pair", "left_semi")
+        grown = cut(grow(grows, forward), "path-parts", few=True)
+        states.append(grown)
+        sides[forward], sizes[forward] = grown, grown.count()
+        hit = cut(join(sides[True], sides[False]).select("pair", "path"), "paths", few=True)
+        found = hit if found is None else found.unionByName(hit)
+        if settle:
+            open_ -= hit.count()
+            sides = {side: rows.join(hit.select("pair"), "pair", "left_anti") for side, rows in sides.items()}
+        if not sizes[forward] or not open_:
+            break
+    drop_cut(*states)
+    return found.join(pairs, "pair").select(*ENDS, "path")
+
+
 def shortest_paths(triples: DataFrame, ends: DataFrame, hops: int = 4) -> DataFrame:
     """(question_id, start, goal, path): the first shortest path that breadth-first search finds in insertion order.
 
-    ``ends``: question_id, start, goal. Each hop is one join and keeps one path for every node reached, the one whose
-    edges were inserted first along the way; a start that is its goal has no path of two nodes and is left out. Ends
-    that have met leave the search, which stops when none is left.
+    ``ends``: question_id, start, goal. The search goes from both ends: each round is one join and keeps one part for
+    every node reached, the one whose edges were inserted first along the way; where parts meet, the first of
+    the joined paths is the one that breadth-first search keeps. A start that is its goal has no path of two nodes and is left out.
     """
-    steps = cut(adjacency(triples).groupBy("question_id", "u", "v").agg(F.min("at").alias("at")), "steps")
-    walk = ends.where("start <> goal").select("question_id", "start", "goal", F.array("start").alias("path"), F.array().cast("array<bigint>").alias("key"))
-    found = None
-    key = ["question_id", "start", "goal"]
-    for hop in range(hops):
-        nxt = walk.withColumn("u", F.element_at("path", -1)).join(steps, ["question_id", "u"]).where(~F.array_contains("path", F.col("v")))
-        nxt = nxt.select(*key, F.concat("path", F.array("v")).alias("path"), F.concat("key", F.array(F.col("at").cast("bigint"))).alias("key"), "v")
-        # of the paths to one node the first in order of insertion is the one that breadth-first search keeps
-        nxt = cut(nxt.groupBy(*key, "v").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")), "paths")
-        hit = nxt.where("v = goal").select(*key, "path")
-        found = hit if found is None else found.unionByName(hit)
-        if hop < hops - 1:
-            walk = nxt.join(hit.select(*key), key, "left_anti").drop("v")
-            if walk.isEmpty():
-                break
+    steps = cut(adjacency(triples).select("question_id", "u", "v", F.col("at").cast("bigint").alias("at")), "steps")
+
+    def grow(part: DataFrame, forward: bool) -> DataFrame:
+        here, there = ("u", "v") if forward else ("v", "u")
+        met = part.join(steps.withColumnRenamed(here, "node"), ["question_id", "node"]).where(~F.array_contains("path", F.col(there)))
+        path = F.concat("path", F.array(there)) if forward else F.concat(F.array(there), F.col("path"))
+        key = F.concat("key", F.array("at")) if forward else F.concat(F.array("at"), F.col("key"))
+        longer = met.select("pair", "question_id", F.col(there).alias("node"), "far", F.struct(key.alias("key"), path.alias("path")).alias("best"))
+        # parallel edges and ways to one node: the first in order of insertion
+        best = longer.groupBy("pair", "node").agg(F.min("best").alias("best"), F.first("question_id").alias("question_id"), F.first("far").alias("far"))
+        return best.select("pair", "question_id", "node", "far", "best.path", "best.key")
+
+    def join(heads: DataFrame, tails: DataFrame) -> DataFrame:
+        rest = tails.select("pair", "node", F.slice("path", 2, 1000).alias("rest"), F.col("key").alias("more"))
+        both = heads.join(rest, ["pair", "node"]).select("pair", F.struct(F.concat("key", "more").alias("key"), F.concat("path", "rest").alias("path")).alias("best"))
+        return both.groupBy("pair").agg(F.min("best").alias("best")).select("pair", "best.path")
+
+    found = _meet_in_the_middle(ends.select(*ENDS).distinct(), hops, grow, join, settle=True)
+    drop_cut(steps)
     return found
 
 
@@ -60,15 +98,26 @@ def capped_paths(paths: DataFrame, ends: DataFrame, most: int = PATHS) -> DataFr
 
 
 def simple_paths(triples: DataFrame, ends: DataFrame, hops: int = 3) -> DataFrame:
-    """(question_id, start, goal, path) of all directed paths without repeated nodes; parallel edges repeat a path."""
+    """(question_id, start, goal, path) of all directed paths without repeated nodes; parallel edges repeat a path.
+
+    Walks start from both ends and are joined where they meet, each path at one place of it alone.
+    """
     steps = triples.select("question_id", F.col("s").alias("u"), F.col("o").alias("v"))
-    walk, found = ends.where("start <> goal").select("question_id", "start", "goal", F.array("start").alias("path")), None
-    for _ in range(hops):
-        walk = walk.withColumn("u", F.element_at("path", -1)).join(steps, ["question_id", "u"]).where(~F.array_contains("path", F.col("v"))).select("question_id", "start", "goal", F.concat("path", F.array("v")).alias("path"))
-        hit = walk.where(F.element_at("path", -1) == F.col("goal"))
-        found = hit if found is None else found.unionByName(hit)
-        walk = walk.where(F.element_at("path", -1) != F.col("goal"))
-    return found
+
+    def grow(part: DataFrame, forward: bool) -> DataFrame:
+        here, there = ("u", "v") if forward else ("v", "u")
+        # a walk that has come to the other end is a whole path and was found before
+        on = part.where(F.col("node") != F.col("far"))
+        met = on.join(steps.withColumnRenamed(here, "node"), ["question_id", "node"]).where(~F.array_contains("path", F.col(there)))
+        path = F.concat("path", F.array(there)) if forward else F.concat(F.array(there), F.col("path"))
+        return met.select("pair", "question_id", F.col(there).alias("node"), "far", path.alias("path"), "key")
+
+    def join(heads: DataFrame, tails: DataFrame) -> DataFrame:
+        rest = tails.select("pair", "node", F.slice("path", 2, 1000).alias("rest"))
+        both = heads.join(rest, ["pair", "node"]).select("pair", F.concat("path", "rest").alias("path"))
+        return both.where(F.size(F.array_distinct("path")) == F.size("path"))
+
+    return _meet_in_the_middle(ends, hops, grow, join, settle=False)
 
 
 def question_ends(questions: DataFrame, most: int = 3) -> DataFrame:

@@ -314,6 +314,50 @@ def _(spark, sf_dir):
     return mining.simple_paths(_triples(spark, sf_dir), _ends(spark, sf_dir)).groupBy("question_id", F.array_join("path", "|").alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# ends at all distances: from an order to its part (1) or supplier (2), across orders' parts (3, 4), and to nowhere
+R.cte(
+    "far_ends",
+    """SELECT l_orderkey AS question_id, CASE l_orderkey % 5 WHEN 2 THEN 'p' || arg_min(l_partkey, k) WHEN 3 THEN 's' || arg_min(l_suppkey, k) ELSE 'o' || l_orderkey END AS start,
+CASE l_orderkey % 5 WHEN 0 THEN 'p' || arg_min(l_partkey, k) WHEN 4 THEN 'nowhere' ELSE 's' || arg_max(l_suppkey, k) END AS goal FROM items GROUP BY l_orderkey""",
+)
+R.cte("both_ways", "SELECT question_id, s AS u, o AS v, 2 * idx AS place FROM triples UNION ALL SELECT question_id, o, s, 2 * idx + 1 FROM triples")
+R.cte(
+    "far_walks",
+    """SELECT question_id, start, goal, start AS here, [start] AS path, []::BIGINT[] AS key FROM far_ends WHERE start <> goal
+UNION ALL SELECT w.question_id, start, goal, v, list_append(path, v), list_append(key, place) FROM far_walks w JOIN both_ways b ON b.question_id = w.question_id AND u = here WHERE here <> goal AND len(key) < 4 AND NOT list_contains(path, v)""",
+)
+# suppliers also lead back to the order, so that parts of one order reach each other in three steps
+R.cte("circular", "SELECT question_id, s, o FROM triples UNION ALL SELECT question_id, o, 'o' || question_id FROM triples WHERE p = 'made_by'")
+R.cte(
+    "circular_walks",
+    """SELECT question_id, start, goal, start AS here, [start] AS path FROM (SELECT l_orderkey AS question_id, 'p' || arg_min(l_partkey, k) AS start, 'p' || arg_max(l_partkey, k) AS goal FROM items GROUP BY l_orderkey) WHERE start <> goal
+UNION ALL SELECT w.question_id, start, goal, o, list_append(path, o) FROM circular_walks w JOIN circular c ON c.question_id = w.question_id AND c.s = here WHERE here <> goal AND len(path) < 4 AND NOT list_contains(path, o)""",
+)
+
+
+def _far_ends(spark, sf_dir):
+    t = _triples(spark, sf_dir)
+    parts = t.where("p = 'has_part'").groupBy("question_id").agg(F.min_by("o", "idx").alias("p"))
+    suppliers = t.where("p = 'made_by'").groupBy("question_id").agg(F.min_by("o", "idx").alias("first"), F.max_by("o", "idx").alias("last"))
+    kind, order = F.col("question_id") % 5, F.concat(F.lit("o"), F.col("question_id").cast("string"))
+    start = F.when(kind == 2, F.col("p")).when(kind == 3, F.col("first")).otherwise(order)
+    goal = F.when(kind == 0, F.col("p")).when(kind == 4, "nowhere").otherwise(F.col("last"))
+    return parts.join(suppliers, "question_id").select("question_id", start.alias("start"), goal.alias("goal"))
+
+
+@R.query("hm02_paths_of_all_lengths", "SELECT question_id, array_to_string(arg_min(path, (len(key), key)), '|') AS path FROM far_walks WHERE here = goal GROUP BY question_id")
+def _(spark, sf_dir):
+    return mining.shortest_paths(_triples(spark, sf_dir), _far_ends(spark, sf_dir)).select("question_id", F.array_join("path", "|").alias("path"))
+
+
+@R.query("hm10_circular_paths", "SELECT question_id, array_to_string(path, '|') AS path, count(*) AS n FROM circular_walks WHERE here = goal GROUP BY ALL")
+def _(spark, sf_dir):
+    t = _triples(spark, sf_dir)
+    back = t.where("p = 'made_by'").select("question_id", "idx", F.col("o").alias("s"), F.lit("for").alias("p"), F.concat(F.lit("o"), F.col("question_id").cast("string")).alias("o"))
+    ends = t.where("p = 'has_part'").groupBy("question_id").agg(F.min_by("o", "idx").alias("start"), F.max_by("o", "idx").alias("goal"))
+    return mining.simple_paths(t.unionByName(back), ends).groupBy("question_id", F.array_join("path", "|").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
 R.cte("marked", "SELECT DISTINCT question_id, least(start, middle) AS a, greatest(start, middle) AS b FROM routes UNION SELECT DISTINCT question_id, least(middle, goal), greatest(middle, goal) FROM routes")
 R.cte("labelled_triples", "SELECT t.*, CASE WHEN m.a IS NULL THEN 0 ELSE 1 END AS label FROM triples t LEFT JOIN marked m ON m.question_id = t.question_id AND m.a = least(t.s, t.o) AND m.b = greatest(t.s, t.o)")
 

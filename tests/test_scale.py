@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import extraction, graph, resolution
+from tessera.operators import extraction, graph, mining, resolution
 
 
 def plain_chains(parents):
@@ -79,3 +79,48 @@ def test_a_name_of_many_entities(spark):
     for kind in ("Character", "Person"):
         assert rows["SAME_AS", kind] == (size[kind, "f"], size[kind, "h"], size[kind, "f"] * size[kind, "h"] - both.get(kind, 0))
     assert rows["BASED_ON", "Character"][2] == size["Character", "f"] * size["Person", "h"] and len(rows) == 3
+
+
+def test_paths_through_a_hub(spark):
+    """A start of a thousand neighbours with a thousand each: three hops don't walk a million edges further."""
+    n = 1000
+    out = spark.range(n).select(F.lit("q").alias("question_id"), F.lit("a").alias("s"), F.concat(F.lit("m"), "id").alias("o"))
+    wide = spark.range(n * n).select(F.lit("q").alias("question_id"), F.concat(F.lit("m"), F.col("id") % n).alias("s"), F.concat(F.lit("l"), "id").alias("o"))
+    last = spark.createDataFrame([("q", "l5", "z"), ("q", "l1700", "z"), ("q", "l1700", "z")], "question_id string, s string, o string")
+    triples = out.unionByName(wide).unionByName(last).withColumn("p", F.lit("r")).withColumn("idx", F.monotonically_increasing_id())
+    ends = spark.createDataFrame([("q", "a", "z"), ("q", "a", "gone")], "question_id string, start string, goal string")
+    assert sorted(r["path"] for r in mining.simple_paths(triples, ends).collect()) == [["a", "m5", "l5", "z"], *[["a", "m700", "l1700", "z"]] * 2]
+    assert [r["path"] for r in mining.shortest_paths(triples, ends, 3).collect()] == [["a", "m5", "l5", "z"]]
+
+
+def test_paths_of_random_graphs(spark):
+    rng = random.Random(8)
+    rows, ends = [], []
+    for q in range(60):
+        nodes = [f"n{i}" for i in range(rng.randint(3, 9))]
+        rows += [(q, i, rng.choice(nodes), "r", rng.choice(nodes)) for i in range(rng.randint(2, 12))]
+        ends += [(q, *rng.choices([*nodes, "gone"], k=2)) for _ in range(3)]
+    ends = sorted(set(ends))
+    triples = spark.createDataFrame(rows, "question_id int, idx int, s string, p string, o string")
+    asked = spark.createDataFrame(ends, "question_id int, start string, goal string")
+    simple, shortest = [], []
+    for q, start, goal in ends:
+        mine = [(i, s, o) for k, i, s, _, o in rows if k == q]
+        walks, level = [[start]], []
+        for _ in range(3):
+            walks = [[*w, o] for w in walks for _, s, o in mine if s == w[-1] and o not in w and w[-1] != goal]
+            simple += [(q, start, goal, tuple(w)) for w in walks if w[-1] == goal]
+        at = {}
+        for i, s, o in mine:
+            for u, v, place in ((s, o, 2 * i), (o, s, 2 * i + 1)):
+                at[u, v] = min(place, at.get((u, v), place))
+        level = [((), (start,))]
+        for _ in range(4 if start != goal else 0):
+            level = [((*key, place), (*path, v)) for key, path in level for (u, v), place in at.items() if u == path[-1] and v not in path]
+            if hits := [x for x in level if x[1][-1] == goal]:
+                shortest.append((q, start, goal, min(hits)[1]))
+                break
+    got = sorted((r["question_id"], r["start"], r["goal"], tuple(r["path"])) for r in mining.simple_paths(triples, asked).collect())
+    assert got == sorted(x for x in simple if x[1] != x[2]) and len(got) > 50
+    found = sorted((r["question_id"], r["start"], r["goal"], tuple(r["path"])) for r in mining.shortest_paths(triples, asked).collect())
+    assert found == sorted(shortest) and {len(x[3]) for x in found} >= {2, 3, 4}
