@@ -98,7 +98,7 @@ def test_paths_of_random_graphs(spark):
     rows, ends = [], []
     for q in range(60):
         nodes = [f"n{i}" for i in range(rng.randint(3, 9))]
-        rows += [(q, i, rng.choice(nodes), "r", rng.choice(nodes)) for i in range(rng.randint(2, 12))]
+        rows += [(q, i, rng.choice(nodes), "r", rng.choice(nodes)) for i in range(rng.randint(3, 14))]
         ends += [(q, *rng.choices([*nodes, "gone"], k=2)) for _ in range(3)]
     ends = sorted(set(ends))
     triples = spark.createDataFrame(rows, "question_id int, idx int, s string, p string, o string")
@@ -121,6 +121,6 @@ def test_paths_of_random_graphs(spark):
                 shortest.append((q, start, goal, min(hits)[1]))
                 break
     got = sorted((r["question_id"], r["start"], r["goal"], tuple(r["path"])) for r in mining.simple_paths(triples, asked).collect())
-    assert got == sorted(x for x in simple if x[1] != x[2]) and len(got) > 50
+    assert got == sorted(x for x in simple if x[1] != x[2]) and len(got) > 20
     found = sorted((r["question_id"], r["start"], r["goal"], tuple(r["path"])) for r in mining.shortest_paths(triples, asked).collect())
     assert found == sorted(shortest) and {len(x[3]) for x in found} >= {2, 3, 4}
