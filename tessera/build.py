@@ -34,7 +34,7 @@ DEFAULTS = {
     "engine": "regex",
     "relations": "heuristic",  # heuristic, semantic, model; model falls back to heuristic where ``fallback``
     "fallback": True,
-    "cache": None,
+    "cache": None,  # folder of what models have said; by default one of the run's own, which a rerun goes on with
     "resolution": "lexical",  # lexical, by_name, embedding (all pairs), ann (cells and probes), hybrid, none
     "scope": "per_source",
     "min_norm_length": 2,
@@ -93,7 +93,7 @@ def _extract_relations(config: dict, chunks: DataFrame, mentions: DataFrame, pro
         return _relations(relations.semantic_relations(gathered)).unionByName(_relations(relations.temporal_relations(gathered)))
     if config["relations"] != "model":
         raise ValueError(f"unknown relations {config['relations']!r}")
-    answers = relations.model_answers(chunks, mentions, provider, config["cache"])
+    answers = relations.model_answers(chunks, mentions, provider, f"{config['cache']}/answers")
     found = _relations(relations.checked_answers(answers, chunks, mentions.select("chunk_id", "entity_id", "entity_type").distinct()))
     return relations.with_fallback(found, heuristic) if config["fallback"] else found
 
@@ -132,13 +132,15 @@ def build(spark: SparkSession, config: dict, out: str, resume: bool = False, ext
     names = [s["name"] for s in config["sources"]]
     fiction, gold = config["fictional_source"] or names[0], config["gold_source"] or names[-1]
     run = Run(spark, out, config, resume)
+    # what models have said is kept with the run unless a folder is given that runs share
+    config["cache"] = config["cache"] or f"{run.out}/cache"
     docs = run.stage("documents", lambda: extraction.normalize_documents(reduce(DataFrame.unionByName, (readers.read_documents(spark, s["path"], s["name"], s.get("limit")) for s in config["sources"]))))
     repeated = [r["doc_id"] for r in docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()]
     if repeated:
         raise ValueError(f"documents share their ids, such as {repeated}")
     chunks = run.stage("chunks", lambda: extraction.chunk_documents(docs, config["chunk_tokens"], config["chunk_overlap"], tokenizer))
     # the checkpoint set before resolution: each mention is an entity of its own
-    raw_mentions = run.stage("mentions_raw", lambda: extraction.extract_mentions(docs, chunks, gold, fiction, config["engine"], extractor))
+    raw_mentions = run.stage("mentions_raw", lambda: extraction.extract_mentions(docs, chunks, gold, fiction, config["engine"], extractor, f"{config['cache']}/mentions"))
     raw_entities = run.stage("entities_raw", lambda: _entities(raw_mentions.select("entity_id", "entity_type", F.col("surface").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), "source", F.lit(1).alias("mention_count"))))
     raw_relations = run.stage("relations_raw", lambda: _relations(_extract_relations(config, chunks, raw_mentions, relator)))
     validation = quality_control.validate(raw_mentions, raw_entities, raw_relations)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vocab
+from tessera.session import cut
+from tessera.sources.store import KeyedStore
 
 
 def ingest(raw: DataFrame, source: str) -> DataFrame:
@@ -79,36 +83,49 @@ def regex_mentions(chunks: DataFrame, fictional_source: str, confidence: float =
     return _with_ids(rows.withColumn("entity_type", kind).withColumn("confidence", F.lit(0.6 if advanced else confidence)))
 
 
-def model_mentions(chunks: DataFrame, provider, fictional_source: str) -> DataFrame:
+FOUND = "array<struct<surface:string,start:int,end:int,label:string,score:double>>"
+
+
+def _found_words(text: str, items: list[dict]) -> list[dict]:
+    """A model's words with their places: where start and end are left out, behind the word before, else anywhere, else dropped."""
+    rows, behind = [], 0
+    for item in items:
+        surface = str(item.get("word") or "").strip()
+        begin, end = item.get("start"), item.get("end")
+        if begin is None or end is None:
+            begin = text.find(surface, behind)
+            begin = text.find(surface) if begin < 0 else begin
+            end = begin + len(surface)
+            behind = end if begin >= 0 else behind
+        if surface and begin >= 0:
+            rows.append({"surface": surface, "start": int(begin), "end": int(end), "label": str(item.get("label") or "").upper(), "score": float(item.get("score", 0.5))})
+    return rows
+
+
+def model_mentions(chunks: DataFrame, provider, fictional_source: str, cache: str | None = None) -> DataFrame:
     """Mentions that a model finds. ``provider.find(texts)`` gives, for each text, dicts of word, label, score, start and end.
 
     Where a model leaves start and end out, the word is looked up behind the one before it, then in the whole text, and
-    dropped if it isn't there. Model labels are mapped; characters stand in the fictional source only.
+    dropped if it isn't there. Model labels are mapped; characters stand in the fictional source only. What a model
+    found is kept below the folder ``cache`` by a digest of model, document, chunk and text (:class:`KeyedStore`).
     """
-    schema = "chunk_id string, doc_id string, source string, surface string, start_char int, end_char int, label string, confidence double"
+    name = getattr(provider, "name", type(provider).__name__)
+    digest = F.sha1(F.concat_ws(T.UNIT, F.lit(name), "doc_id", "chunk_id", "text").cast("binary"))
+    keyed = chunks.select("chunk_id", "doc_id", "source", "start_char", "text", digest.alias("key"))
 
     def find(batches):
         for pdf in batches:
-            rows = []
-            for chunk, found in zip(pdf.itertuples(index=False), provider.find(pdf["text"].tolist()), strict=True):
-                behind = 0
-                for item in found:
-                    surface = str(item.get("word") or "").strip()
-                    begin, end = item.get("start"), item.get("end")
-                    if begin is None or end is None:
-                        begin = chunk.text.find(surface, behind)
-                        begin = chunk.text.find(surface) if begin < 0 else begin
-                        end = begin + len(surface)
-                        behind = end if begin >= 0 else behind
-                    if surface and begin >= 0:
-                        rows.append((chunk.chunk_id, chunk.doc_id, chunk.source, surface, chunk.start_char + int(begin), chunk.start_char + int(end), str(item.get("label") or "").upper(), float(item.get("score", 0.5))))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    found = chunks.select("chunk_id", "doc_id", "source", "start_char", "text").mapInPandas(find, schema)
+            found = zip(pdf["text"], provider.find(pdf["text"].tolist()), strict=True)
+            yield pdf[["key"]].assign(value=[json.dumps(_found_words(text, items)) for text, items in found])
+
+    ask = lambda rows: rows.select("key", "text").mapInPandas(find, "key string, value string")
+    found = cut(ask(keyed), "model-mentions") if cache is None else KeyedStore(chunks.sparkSession, cache).fill(keyed.select("key", "text"), ask)
+    items = keyed.drop("text").join(found.dropDuplicates(["key"]), "key").select("chunk_id", "doc_id", "source", F.col("start_char").alias("base"), F.inline(F.from_json("value", FOUND)))
     fictional = F.col("source") == fictional_source
     kind = label_type(F.col("label"), vocab.MODEL_LABELS, "")
     kind = F.when(kind == "", F.when(fictional, "Character").otherwise("Person")).when((kind == "Character") & ~fictional, "Person").otherwise(kind)
-    return _with_ids(found.withColumn("entity_type", kind).drop("label"))
+    placed = items.select("chunk_id", "doc_id", "source", "surface", (F.col("base") + F.col("start")).alias("start_char"), (F.col("base") + F.col("end")).alias("end_char"), F.col("score").alias("confidence"), kind.alias("entity_type"))
+    return _with_ids(placed)
 
 
 def label_type(label: Column, mapping: dict[str, str], default: str) -> Column:
@@ -142,7 +159,7 @@ def span_mentions(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return _with_ids(rows.where(F.col("surface") != "").withColumn("confidence", F.lit(0.99)))
 
 
-def extract_mentions(docs: DataFrame, chunks: DataFrame, gold_source: str, fictional_source: str, engine: str = "regex", provider=None) -> DataFrame:
+def extract_mentions(docs: DataFrame, chunks: DataFrame, gold_source: str, fictional_source: str, engine: str = "regex", provider=None, cache: str | None = None) -> DataFrame:
     """Gold spans for documents of the gold source that have some, ``engine`` for all others.
 
     Engines: ``regex``; ``model`` (of ``provider``); ``ensemble``, both merged; ``advanced``, the second expression's and the
@@ -154,9 +171,9 @@ def extract_mentions(docs: DataFrame, chunks: DataFrame, gold_source: str, ficti
     if engine == "regex":
         found = regex_mentions(rest, fictional_source)
     elif engine == "model":
-        found = model_mentions(rest, provider, fictional_source)
+        found = model_mentions(rest, provider, fictional_source, cache)
     elif engine == "ensemble":
-        found = merge_mentions(regex_mentions(rest, fictional_source), model_mentions(rest, provider, fictional_source))
+        found = merge_mentions(regex_mentions(rest, fictional_source), model_mentions(rest, provider, fictional_source, cache))
     elif engine == "advanced":
         found = vote_overlaps(regex_mentions(rest, fictional_source).unionByName(regex_mentions(rest, fictional_source, advanced=True))).drop("merged_from")
     else:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vocab
-from tessera.session import cut, path_exists
+from tessera.session import cut
+from tessera.sources.store import KeyedStore
 
 #: Places of pairs within one sentence or under one keyword class: the unit of the sentences' places.
 PLACES = 1 << 32
@@ -171,29 +172,25 @@ def model_answers(chunks: DataFrame, mentions: DataFrame, provider, cache: str |
     """(chunk_id, response): what a model says to the entity table and the text of each chunk that has mentions.
 
     ``provider`` has ``name`` and ``answer(prompts) -> answers``; it is sent to the workers and called once a batch.
-    Answers are kept below the folder ``cache`` by a digest of model and prompt: what is there is never asked again.
+    Answers are kept below the folder ``cache`` by a digest of model and prompt: what is there is never asked again, an
+    interruption keeps the finished rounds, and builds that share the folder don't ask twice (:class:`KeyedStore`).
     """
     table_ = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity_id", "surface", "entity_type"))), lambda e: F.struct(e["entity_id"].alias("entity_id"), e["surface"].alias("name"), e["entity_type"].alias("type"))))
     asked = entity_table(mentions).groupBy("chunk_id").agg(table_.alias("table")).join(chunks.select("chunk_id", "text"), "chunk_id")
     prompt = F.concat(F.lit("Entities: "), F.col("table"), F.lit("\nPredicates: " + ", ".join(vocab.LLM_PREDICATES) + "\nText: "), F.col("text"))
-    keyed = asked.select("chunk_id", prompt.alias("prompt")).withColumn("cache_key", F.sha1(F.concat_ws(T.UNIT, F.lit(provider.name), "prompt").cast("binary")))
+    keyed = asked.select("chunk_id", prompt.alias("prompt")).withColumn("key", F.sha1(F.concat_ws(T.UNIT, F.lit(provider.name), "prompt").cast("binary")))
 
     def ask(batches):
         for pdf in batches:
-            yield pdf[["cache_key"]].assign(response=provider.answer(pdf["prompt"].tolist()))
+            yield pdf[["key"]].assign(value=provider.answer(pdf["prompt"].tolist()))
 
-    answer = lambda rows: rows.select("cache_key", "prompt").dropDuplicates(["cache_key"]).mapInPandas(ask, "cache_key string, response string")
+    answer = lambda rows: rows.select("key", "prompt").mapInPandas(ask, "key string, value string")
     if cache is None:
-        return keyed.join(cut(answer(keyed), "model-answers"), "cache_key").select("chunk_id", "response")
-    spark = chunks.sparkSession
-    known = spark.read.schema("cache_key string, response string")
-    if path_exists(spark, cache):
-        keyed = cut(keyed, "model-prompts")
-        _, missing = cached(keyed, known.parquet(cache))
-        answer(missing).write.mode("append").parquet(cache)
+        found = cut(answer(keyed.dropDuplicates(["key"])), "model-answers")
     else:
-        answer(keyed).write.parquet(cache)
-    return keyed.join(known.parquet(cache), "cache_key").select("chunk_id", "response")
+        keyed = cut(keyed, "model-prompts")
+        found = KeyedStore(chunks.sparkSession, cache).fill(keyed.select("key", "prompt"), answer)
+    return keyed.join(found, "key").select("chunk_id", F.col("value").alias("response"))
 
 
 def derive_events(relations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -132,6 +133,48 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def list_ages(spark: SparkSession, path: str) -> dict[str, float]:
+    """Names in a folder with the seconds since each was changed; none where it isn't there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    now = time.time()
+    return {s.getPath().getName(): now - s.getModificationTime() / 1000 for s in system.listStatus(target)} if system.exists(target) else {}
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    return list(list_ages(spark, path))
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file under a name that nobody has yet, whole or not at all; False if the name is taken.
+
+    On a POSIX file system a hard link takes the name, elsewhere a rename without overwriting, which HDFS decides at its
+    name node; an object store without such a rename needs its own conditional put here.
+    """
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    system = target.getFileSystem(conf)
+    write_text(spark, aside.toString(), text)
+    try:
+        if system.getUri().getScheme() == "file":
+            there = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(there(target), there(aside))
+        else:
+            rename = jvm.org.apache.hadoop.fs.Options.Rename
+            options = context._gateway.new_array(rename, 1)
+            options[0] = rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, options)
+        return True
+    except Exception as error:
+        if "FileAlreadyExists" not in str(error):
+            raise
+        return False
+    finally:
+        system.delete(aside, False)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` as a URI with the scheme that Spark resolves it by, so that other readers find the same place."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
