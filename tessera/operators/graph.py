@@ -164,6 +164,8 @@ def lineages(edges: DataFrame) -> DataFrame:
     ancestors double, each found once, and chains are gathered at the end, at the size they have in the result.
     """
     parent = cut(edges.where("predicate = 'DESCENDS_FROM' AND source_entity_id <> target_entity_id").groupBy(F.col("source_entity_id").alias("child")).agg(F.max("target_entity_id").alias("parent")), "parents", few=True)
+    if parent.isEmpty():
+        return parent.select(F.col("child").alias("leaf"), F.lit(0).alias("depth"), F.array("child").alias("chain"))
     tables = _pointers(parent)
     on_cycle = cut(tables[-1].select(F.col("up").alias("node")).distinct(), "on-cycle", few=True)
     open_ = parent.join(on_cycle.select(F.col("node").alias("child")), "child", "left_anti")

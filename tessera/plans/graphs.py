@@ -10,8 +10,9 @@ from tessera.operators import graph, metrics, mining, neighbours, quality_contro
 from tessera.operators.components import connected_components
 from tessera.plans import knowledge
 from tessera.plans.registry import Registry
-from tessera.session import cut, table
+from tessera.session import cut, fresh_path, table
 from tessera.sources import writers
+from tessera.sources.dictionary import Dictionary
 from tessera.streaming import windows
 
 R = Registry()
@@ -320,11 +321,11 @@ R.cte(
     """SELECT l_orderkey AS question_id, CASE l_orderkey % 5 WHEN 2 THEN 'p' || arg_min(l_partkey, k) WHEN 3 THEN 's' || arg_min(l_suppkey, k) ELSE 'o' || l_orderkey END AS start,
 CASE l_orderkey % 5 WHEN 0 THEN 'p' || arg_min(l_partkey, k) WHEN 4 THEN 'nowhere' ELSE 's' || arg_max(l_suppkey, k) END AS goal FROM items GROUP BY l_orderkey""",
 )
-R.cte("both_ways", "SELECT question_id, s AS u, o AS v, 2 * idx AS place FROM triples UNION ALL SELECT question_id, o, s, 2 * idx + 1 FROM triples")
+R.cte("triples_both_ways", "SELECT question_id, s AS u, o AS v, 2 * idx AS place FROM triples UNION ALL SELECT question_id, o, s, 2 * idx + 1 FROM triples")
 R.cte(
     "far_walks",
     """SELECT question_id, start, goal, start AS here, [start] AS path, []::BIGINT[] AS key FROM far_ends WHERE start <> goal
-UNION ALL SELECT w.question_id, start, goal, v, list_append(path, v), list_append(key, place) FROM far_walks w JOIN both_ways b ON b.question_id = w.question_id AND u = here WHERE here <> goal AND len(key) < 4 AND NOT list_contains(path, v)""",
+UNION ALL SELECT w.question_id, start, goal, v, list_append(path, v), list_append(key, place) FROM far_walks w JOIN triples_both_ways b ON b.question_id = w.question_id AND u = here WHERE here <> goal AND len(key) < 4 AND NOT list_contains(path, v)""",
 )
 # suppliers also lead back to the order, so that parts of one order reach each other in three steps
 R.cte("circular", "SELECT question_id, s, o FROM triples UNION ALL SELECT question_id, o, 'o' || question_id FROM triples WHERE p = 'made_by'")
@@ -415,6 +416,15 @@ def _(spark, sf_dir):
     return mining.encode(table(spark, sf_dir, "part").select(F.col("p_name").alias("value"), "p_partkey"), "value", "p_partkey")
 
 
+@R.query("src08_append_dictionary", "SELECT value, row_number() OVER (ORDER BY late, first, value) - 1 AS id FROM (SELECT value, min(late) AS late, min(first) FILTER (WHERE late = l) AS first FROM (SELECT p_name AS value, p_partkey AS first, p_partkey % 2 AS late, min(p_partkey % 2) OVER (PARTITION BY p_name) AS l FROM part) GROUP BY value)")
+def _(spark, sf_dir):
+    # even keys are numbered first, odd ones later: names that are known keep their numbers
+    parts, words = table(spark, sf_dir, "part"), Dictionary(spark, fresh_path(spark, "dictionary"))
+    for late in (0, 1):
+        found = words.extend(parts.where(F.col("p_partkey") % 2 == late), "p_name", "p_partkey")
+    return found
+
+
 @R.query("so07_entity_set", "SELECT DISTINCT e FROM (SELECT s AS e FROM triples UNION ALL SELECT o FROM triples)")
 def _(spark, sf_dir):
     t = _triples(spark, sf_dir)

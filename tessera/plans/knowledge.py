@@ -124,7 +124,7 @@ R.cte(
     "edges",
     """SELECT doc_id, source, sent AS chunk_id, sentence, CASE WHEN a_type = 'Location' THEN b_id ELSE a_id END AS source_entity_id,
   CASE WHEN (a_type = 'Location') <> (b_type = 'Location') THEN 'LOCATED_IN' ELSE 'INTERACTS_WITH' END AS predicate,
-  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence, n FROM pairs WHERE (a_type = 'Location') <> (b_type = 'Location') OR (a_type = 'Character' AND b_type = 'Character')""",
+  CASE WHEN a_type = 'Location' THEN a_id ELSE b_id END AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence, n AS place FROM pairs WHERE (a_type = 'Location') <> (b_type = 'Location') OR (a_type = 'Character' AND b_type = 'Character')""",
 )
 
 
@@ -144,11 +144,11 @@ R.cte("clean_edges", """SELECT DISTINCT doc_id, chunk_id, source, predicate, CAS
   CASE WHEN predicate = 'INTERACTS_WITH' THEN greatest(source_entity_id, target_entity_id) ELSE target_entity_id END AS target_entity_id FROM edges WHERE source_entity_id <> target_entity_id""")
 
 
-def clean_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_edges(spark: SparkSession, sf_dir: str, read: DataFrame | None = None) -> DataFrame:
     """Edges without loops and repeats, symmetric ends in order."""
     flip = F.col("predicate").isin(*vocab.SYMMETRIC_PREDICATES) & (F.col("source_entity_id") > F.col("target_entity_id"))
     s, t = F.col("source_entity_id"), F.col("target_entity_id")
-    rows = edges(spark, sf_dir).where(s != t)
+    rows = edges(spark, sf_dir, read).where(s != t)
     return rows.select("doc_id", "chunk_id", "source", "predicate", F.when(flip, t).otherwise(s).alias("source_entity_id"), F.when(flip, s).otherwise(t).alias("target_entity_id")).distinct()
 
 
@@ -541,16 +541,17 @@ def _(spark, sf_dir):
     return resolution.grounding_classes(found, resolved_mentions(spark, sf_dir, read), "narrative", "historical")[0].select("norm", "predicate", "source_type", "target_type", "links")
 
 
-def _ground(spark, sf_dir):
-    read = parsed(spark, sf_dir)
+def _ground(spark, sf_dir, read=None):
+    read = parsed(spark, sf_dir) if read is None else read
     found, _ = entities(spark, sf_dir, read)
     return resolution.ground(found, resolved_mentions(spark, sf_dir, read), "narrative", "historical")
 
 
 @R.query("ag03_grounding_rate", "SELECT round(count(DISTINCT CASE WHEN b.entity_id IS NOT NULL THEN a.entity_id END) / count(DISTINCT a.entity_id), 9) AS grounding_rate FROM entities a LEFT JOIN entities b ON b.source = 'historical' AND a.norm = b.norm AND a.norm <> '' AND (a.entity_type = b.entity_type OR (a.entity_type = 'Character' AND b.entity_type = 'Person')) WHERE a.source = 'narrative'")
 def _(spark, sf_dir):
-    found, _ = entities(spark, sf_dir)
-    return quality_control.grounding_rate(found.select("entity_id", F.col("scope_id").alias("source")), _ground(spark, sf_dir), "narrative").select(F.round("grounding_rate", 9).alias("grounding_rate"))
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    return quality_control.grounding_rate(found.select("entity_id", F.col("scope_id").alias("source")), _ground(spark, sf_dir, read), "narrative").select(F.round("grounding_rate", 9).alias("grounding_rate"))
 
 
 @R.query("ag01_counts", "SELECT 'type' AS kind, entity_type AS value, count(*) AS n FROM mentions GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM mentions GROUP BY ALL UNION ALL SELECT 'predicate', predicate, count(*) FROM edges GROUP BY ALL")
@@ -575,8 +576,8 @@ R.cte("degree", "SELECT id AS entity_id, count(*) AS degree FROM (SELECT unnest(
 R.cte("kept", f"SELECT e.* FROM entities e LEFT JOIN degree d USING (entity_id) WHERE NOT (norm = '' OR norm IN ({_sql_list(vocab.JUNK_NAMES)}) OR (length(norm) <= 2 AND coalesce(degree, 0) >= 20) OR (NOT contains(norm, ' ') AND length(norm) <= 6 AND coalesce(degree, 0) >= 5000))")
 R.cte(
     "judged",
-    """SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY s, predicate, t, doc_id, chunk_id, reason IS NULL ORDER BY sent, n) > 1 THEN 'duplicate' ELSE reason END AS final FROM (
-SELECT e.doc_id, e.chunk_id // 8 AS chunk_id, e.chunk_id AS sent, e.n, e.confidence, e.sentence, e.predicate, CASE WHEN predicate = 'INTERACTS_WITH' THEN least(source_entity_id, target_entity_id) ELSE source_entity_id END AS s, CASE WHEN predicate = 'INTERACTS_WITH' THEN greatest(source_entity_id, target_entity_id) ELSE target_entity_id END AS t,
+    """SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY s, predicate, t, doc_id, chunk_id, reason IS NULL ORDER BY sent, place) > 1 THEN 'duplicate' ELSE reason END AS final FROM (
+SELECT e.doc_id, e.chunk_id // 8 AS chunk_id, e.chunk_id AS sent, e.place, e.confidence, e.sentence, e.predicate, CASE WHEN predicate = 'INTERACTS_WITH' THEN least(source_entity_id, target_entity_id) ELSE source_entity_id END AS s, CASE WHEN predicate = 'INTERACTS_WITH' THEN greatest(source_entity_id, target_entity_id) ELSE target_entity_id END AS t,
   CASE WHEN source_entity_id = target_entity_id THEN 'self_loop' WHEN a.entity_id IS NULL OR b.entity_id IS NULL THEN 'missing_end' WHEN predicate = 'LOCATED_IN' AND NOT (a.entity_type <> 'Location' AND b.entity_type = 'Location') THEN 'type_violation' WHEN predicate = 'INTERACTS_WITH' AND (a.entity_type = 'Location' OR b.entity_type = 'Location') THEN 'type_violation' END AS reason
 FROM edges e LEFT JOIN kept a ON a.entity_id = e.source_entity_id LEFT JOIN kept b ON b.entity_id = e.target_entity_id)""",
 )
@@ -643,8 +644,8 @@ def _(spark, sf_dir):
     return named.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("canonical_name")), 1, 20), "|").alias("characters"))
 
 
-def _named(spark, sf_dir, rows, kinds=("entity_type",)):
-    found, _ = entities(spark, sf_dir)
+def _named(spark, sf_dir, rows, read):
+    found, _ = entities(spark, sf_dir, read)
     for end in ("source", "target"):
         rows = rows.join(found.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("canonical_name").alias(f"{end}_name"), F.col("entity_type").alias(f"{end}_type")), f"{end}_entity_id")
     return rows
@@ -653,23 +654,26 @@ def _named(spark, sf_dir, rows, kinds=("entity_type",)):
 @R.query("cq02_top_interactions", "SELECT a.canonical_name AS source_name, b.canonical_name AS target_name, x.n, CAST(0.5 AS DOUBLE) AS avg_confidence FROM (SELECT source_entity_id, target_entity_id, count(*) AS n FROM clean_edges WHERE predicate = 'INTERACTS_WITH' GROUP BY ALL) x JOIN entities a ON a.entity_id = source_entity_id JOIN entities b ON b.entity_id = target_entity_id WHERE a.entity_type = 'Character' AND b.entity_type = 'Character' ORDER BY n DESC, source_entity_id, target_entity_id LIMIT 20")
 def _(spark, sf_dir):
     # counted by ids first: names are joined to one row a pair, not to every edge
-    rows = edges(spark, sf_dir).where("predicate = 'INTERACTS_WITH' AND source_entity_id <> target_entity_id")
+    read = parsed(spark, sf_dir)
+    rows = edges(spark, sf_dir, read).where("predicate = 'INTERACTS_WITH' AND source_entity_id <> target_entity_id")
     ends = F.least("source_entity_id", "target_entity_id").alias("source_entity_id"), F.greatest("source_entity_id", "target_entity_id").alias("target_entity_id")
     counted = rows.groupBy("doc_id", "chunk_id", *ends).agg(F.avg("confidence").alias("c")).groupBy("source_entity_id", "target_entity_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 6).alias("avg_confidence"))
-    named = _named(spark, sf_dir, counted).where("source_type = 'Character' AND target_type = 'Character'")
+    named = _named(spark, sf_dir, counted, read).where("source_type = 'Character' AND target_type = 'Character'")
     return named.orderBy(F.desc("n"), "source_entity_id", "target_entity_id").limit(20).select("source_name", "target_name", "n", "avg_confidence")
 
 
 @R.query("cq03_based_on", "SELECT a.canonical_name AS character, b.canonical_name AS person FROM entities a JOIN entities b ON a.norm = b.norm WHERE a.source = 'narrative' AND b.source = 'historical' AND a.entity_type = 'Character' AND b.entity_type = 'Person' ORDER BY a.entity_id, b.entity_id LIMIT 50")
 def _(spark, sf_dir):
-    rows = _named(spark, sf_dir, _ground(spark, sf_dir).where("predicate = 'BASED_ON'"))
+    read = parsed(spark, sf_dir)
+    rows = _named(spark, sf_dir, _ground(spark, sf_dir, read).where("predicate = 'BASED_ON'"), read)
     return rows.orderBy(F.desc("confidence"), "source_entity_id", "target_entity_id").limit(50).select(F.col("source_name").alias("character"), F.col("target_name").alias("person"))
 
 
 @R.query("cq04_located", "SELECT b.canonical_name AS location, n FROM (SELECT target_entity_id, count(*) AS n FROM clean_edges WHERE predicate = 'LOCATED_IN' GROUP BY 1) JOIN entities b ON b.entity_id = target_entity_id ORDER BY n DESC, target_entity_id LIMIT 50")
 def _(spark, sf_dir):
-    found, _ = entities(spark, sf_dir)
-    rows = clean_edges(spark, sf_dir).where("predicate = 'LOCATED_IN'").groupBy("target_entity_id").agg(F.count(F.lit(1)).alias("n"))
+    read = parsed(spark, sf_dir)
+    found, _ = entities(spark, sf_dir, read)
+    rows = clean_edges(spark, sf_dir, read).where("predicate = 'LOCATED_IN'").groupBy("target_entity_id").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(found.select(F.col("entity_id").alias("target_entity_id"), F.col("canonical_name").alias("location")), "target_entity_id").orderBy(F.desc("n"), "target_entity_id").limit(50).select("location", "n")
 
 
@@ -703,7 +707,8 @@ def _(spark, sf_dir):
 
 @R.query("cq06_character_interactions", "SELECT count(*) AS n FROM clean_edges x JOIN entities a ON a.entity_id = source_entity_id JOIN entities b ON b.entity_id = target_entity_id WHERE predicate = 'INTERACTS_WITH' AND a.entity_type = 'Character' AND b.entity_type = 'Character'")
 def _(spark, sf_dir):
-    return _named(spark, sf_dir, clean_edges(spark, sf_dir).where("predicate = 'INTERACTS_WITH'")).where("source_type = 'Character' AND target_type = 'Character'").agg(F.count(F.lit(1)).alias("n"))
+    read = parsed(spark, sf_dir)
+    return _named(spark, sf_dir, clean_edges(spark, sf_dir, read).where("predicate = 'INTERACTS_WITH'"), read).where("source_type = 'Character' AND target_type = 'Character'").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("cq11_provenance", "SELECT mention_id, doc_id, sent FROM mentions WHERE norm = (SELECT min(norm) FROM mentions)")

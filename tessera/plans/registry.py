@@ -17,6 +17,8 @@ class Registry:
         self.parts: dict[str, str] = {}
 
     def cte(self, name: str, body: str) -> None:
+        if name in self.parts:
+            raise ValueError(f"two SQL parts are called {name}")
         self.parts[name] = body
 
     def query(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
