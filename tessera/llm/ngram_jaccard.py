@@ -51,8 +51,10 @@ from tessera.session import cut, drop_cut, row_hash, small_batches
 CHUNK_DOCS, CHUNK_TOKENS = 256, 200_000
 #: Bundles that the grouping step holds at a time, about.
 TASK_BUNDLES = 500_000
-#: Bytes of bundles that are packed together.
-PACK_BYTES = 4 << 20
+#: Bytes of bundles that are packed together, and sets: a set's number in a pack takes two bytes.
+PACK_BYTES, PACK_SETS = 4 << 20, 1 << 16
+#: Bytes of a bundle that travel; 56 bits with the one that tells guests. Chance hits are judged like other candidates.
+BUNDLE_BYTES = 7
 #: Chunks on one side of a tile of chunk pairs.
 TILE = 64
 #: Word hashes remembered by a worker; emptied beyond that.
@@ -207,6 +209,17 @@ def sketch(docs: DataFrame, n: int, threshold: Fraction, id_col: str, text_col:
     return rows.mapInArrow(make, f"id {kind}, h bigint, n bigint, digest binary, bundles binary, bitmap binary")
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """The low BUNDLE_BYTES bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BUNDLE_BYTES].tobytes()
+
+
+def widen(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // BUNDLE_BYTES, 8), np.uint8)
+    wide[:, :BUNDLE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BUNDLE_BYTES)
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
 def _pack(parts: int):
     """Bundles dealt into parts, a few packed rows at a time: (part, bundles, owner among the digests, digests)."""
 
@@ -218,21 +231,21 @@ def _pack(parts: int):
             if not held:
                 return
             sizes = np.array([len(b) // 8 for b in held.values()])
-            values = np.frombuffer(b"".join(held.values()), np.uint64)
+            values = np.frombuffer(b"".join(held.values()), np.uint64) & np.uint64((1 << 8 * BUNDLE_BYTES) - 1)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
             digests = np.frombuffer(b"".join(held), "V16")
             to = ((values >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             for piece in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                 who, local = np.unique(owner[piece], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([int(to[piece[0]])], pa.int32()), pa.array([values[piece].tobytes()], pa.binary()), pa.array([local.astype(np.uint32).tobytes()], pa.binary()), pa.array([digests[who].tobytes()], pa.binary())], names=["part", "bundles", "owner", "digests"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[piece[0]])], pa.int32()), pa.array([narrow(values[piece])], pa.binary()), pa.array([local.astype(np.uint16).tobytes()], pa.binary()), pa.array([digests[who].tobytes()], pa.binary())], names=["part", "bundles", "owner", "digests"])
 
         for batch in batches:
             for digest, b in zip(batch.column(0), batch.column(1), strict=True):
                 if (d := digest.as_py()) not in held:
                     held[d] = b.as_py()
                     size += len(held[d])
-                if size >= PACK_BYTES:
+                if size >= PACK_BYTES or len(held) == PACK_SETS:
                     yield from flush()
                     held, size = {}, 0
         yield from flush()
@@ -282,8 +295,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _shared_of_part(values, owner, digests)
                 values, owner, digests = [], [], []
             part = p
-            values.append(np.frombuffer(v.as_py(), np.uint64))
-            owner.append(np.frombuffer(o.as_py(), np.uint32).astype(np.int64))
+            values.append(widen(v.as_py()))
+            owner.append(np.frombuffer(o.as_py(), np.uint16).astype(np.int64))
             digests.append(np.frombuffer(d.as_py(), "V16"))
     if values:
         yield from _shared_of_part(values, owner, digests)
@@ -427,7 +440,9 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     rooted = cut(rooted, "rooted", few=True)
     drop_cut(entries, members, placed, content, opened)
     if per_row:
-        return sketched.where("digest IS NOT NULL").select("id", "h", "digest").join(rooted.select("digest", F.col("root").alias("component")), "digest").select("id", "h", "component")
+        rows = sketched.where("digest IS NOT NULL").select("id", "h", "digest").join(rooted.select("digest", F.col("root").alias("component")), "digest").select("id", "h", "component")
+        rows._reads = (sketched, rooted)
+        return rows
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(roots, "root").select("digest", "component_id")
     out = sketched.select("id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
@@ -443,11 +458,15 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5),
     found = components(docs, n, threshold, id_col, text_col, per_row=True)
     # a bounded aggregate: a hot component is one partial row a task
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
-    heads = found.groupBy("component").agg(first).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"), F.xxhash64("first.id").alias("__key"))
-    rows = docs.withColumns({"__hash": text_hash(text_col), "__id_hash": F.xxhash64(id_col)})
-    same = (F.col("__id_hash") == F.col("__key")) & (F.col("__hash") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    kept = rows.join(heads, same, "left_semi")
-    once = Window.partitionBy("__id_hash", "__hash").orderBy(row_hash(docs))
+    # written before texts are moved, so that sketches and texts aren't on disk together
+    heads = cut(found.groupBy("component").agg(first).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"), F.xxhash64("first.id").alias("__key")), "heads", few=True)
+    drop_cut(*found._reads)
+    # the id as a value that is never null: the join and the window have the same keys, and texts move once
+    rows = docs.withColumns({"__hash": text_hash(text_col), "__id_hash": F.xxhash64(id_col), "__one": F.array(id_col)})
+    keys = ["__id_hash", "__hash", "__one"]
+    heads = heads.select(F.col("__key").alias("__id_hash"), F.col("__h").alias("__hash"), F.array("__id").alias("__one"))
+    kept = rows.join(heads, keys, "left_semi")
+    once = Window.partitionBy(*keys).orderBy(row_hash(docs))
     copies = kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").select(*docs.columns)
     wordless = F.btrim(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(BLANKS)) == ""
     return copies.unionByName(docs.where(wordless))
