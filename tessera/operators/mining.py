@@ -13,6 +13,8 @@ from tessera.session import cut, drop_cut
 
 #: Paths of a question and, where it has none, edges; triples that a sample keeps.
 PATHS, FALLBACK_PATHS, SAMPLE_TRIPLES = 8, 4, 50
+#: Triples of a graph that is searched inside one row; larger graphs are searched by joins.
+ROW_TRIPLES = 64
 
 
 def flatten_graph(rows: DataFrame, graph: str = "graph", most: int = 2000, id_col: str = "question_id") -> DataFrame:
@@ -30,6 +32,74 @@ def adjacency(triples: DataFrame) -> DataFrame:
 ENDS = ["question_id", "start", "goal"]
 
 
+def _by_graph_size(triples: DataFrame, ends: DataFrame, in_row: Column, by_joins) -> DataFrame:
+    """(question_id, start, goal, path) of ``ends``: ``in_row`` makes the paths of small graphs, ``by_joins(triples, ends)`` those of others.
+
+    A small graph is one array of at most ``ROW_TRIPLES`` triples beside each pair of ends, so rows that are dealt by question stay
+    where they are and no walk is exchanged or written.
+    """
+    large = cut(triples.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROW_TRIPLES).select("question_id"), "large-graphs", few=True)
+    some = not large.isEmpty()
+    few = triples.join(large, "question_id", "left_anti") if some else triples
+    graphs = few.groupBy("question_id").agg(F.collect_list(F.struct(F.col("idx").cast("bigint").alias("idx"), "s", "o")).alias("graph"))
+    found = ends.where("start <> goal").select(*ENDS).join(graphs, "question_id").select(*ENDS, F.explode(in_row).alias("path"))
+    if not some:
+        return found
+    of_large = lambda rows: rows.join(large, "question_id", "left_semi")
+    return found.unionByName(by_joins(of_large(triples), of_large(ends)))
+
+
+def _walks_in_row(hops: int) -> Column:
+    """All walks of ``graph`` from start to goal without repeated nodes, of 1 to ``hops`` directed edges."""
+    none = F.array().cast("array<array<string>>")
+    last = lambda w: F.element_at(w, -1)
+
+    def step(acc: Column, hop: Column) -> Column:
+        on = lambda w: lambda e: (e["s"] == last(w)) & ~F.array_contains(w, e["o"]) & ((hop < hops) | (e["o"] == F.col("goal")))
+        grown = F.flatten(F.transform(acc["open"], lambda w: F.transform(F.filter("graph", on(w)), lambda e: F.concat(w, F.array(e["o"])))))
+        return T.let(grown, lambda ws: F.struct(F.filter(ws, lambda w: last(w) != F.col("goal")).alias("open"), F.concat(acc["found"], F.filter(ws, lambda w: last(w) == F.col("goal"))).alias("found")))
+
+    start = F.struct(F.array(F.array("start")).alias("open"), none.alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(hops)), start, step, lambda acc: acc["found"])
+
+
+def _breadth_first_in_row(hops: int) -> Column:
+    """The first shortest path of ``graph`` from start to goal in either direction of edges, as an array of at most one path.
+
+    A front holds the parts of one length in order of insertion; a node is kept where it is reached first.
+    """
+    last = lambda part: F.element_at(part["path"], -1)
+    both = F.flatten(F.transform("graph", lambda e: F.array(F.struct((e["idx"] * 2).alias("at"), e["s"].alias("u"), e["o"].alias("v")), F.struct((e["idx"] * 2 + 1).alias("at"), e["o"].alias("u"), e["s"].alias("v")))))
+
+    def search(steps: Column) -> Column:
+        def grown(acc: Column) -> Column:
+            longer = lambda part: F.transform(
+                F.filter(steps, lambda e: (e["u"] == last(part)) & ~F.array_contains(acc["seen"], e["v"])),
+                lambda e: F.struct(F.concat(part["key"], F.array(e["at"])).alias("key"), F.concat(part["path"], F.array(e["v"])).alias("path")),
+            )
+            return F.array_sort(F.flatten(F.transform(acc["front"], longer)))
+
+        def step(acc: Column, hop: Column) -> Column:
+            def next_(parts: Column) -> Column:
+                return T.let(
+                    F.transform(parts, last),
+                    lambda nodes: F.struct(
+                        F.filter(parts, lambda part, i: F.array_position(nodes, last(part)) == i + 1).alias("front"),
+                        F.array_union(acc["seen"], nodes).alias("seen"),
+                        F.transform(F.slice(F.filter(parts, lambda part: last(part) == F.col("goal")), 1, 1), lambda part: part["path"]).alias("found"),
+                    ),
+                )
+
+            return F.when(F.size(acc["found"]) > 0, acc).otherwise(T.let(grown(acc), next_))
+
+        start = F.struct(
+            F.array(F.struct(F.array().cast("array<bigint>").alias("key"), F.array("start").alias("path"))).alias("front"), F.array("start").alias("seen"), F.array().cast("array<array<string>>").alias("found")
+        )
+        return F.aggregate(F.sequence(F.lit(1), F.lit(hops)), start, step, lambda acc: acc["found"])
+
+    return T.let(both, search)
+
+
 def _meet_in_the_middle(ends: DataFrame, hops: int, grow, join, settle: bool) -> DataFrame:
     """Paths of 1 to ``hops`` edges of ``ends``, of parts from both ends: (question_id, start, goal, path).
 
@@ -67,7 +137,13 @@ def shortest_paths(triples: DataFrame, ends: DataFrame, hops: int = 4) -> DataFr
     ``ends``: question_id, start, goal. The search goes from both ends: each round is one join and keeps one part for
     every node reached, the one whose edges were inserted first along the way; where parts meet, the first of
     the joined paths is the one that breadth-first search keeps. A start that is its goal has no path of two nodes and is left out.
+    Graphs of few triples are searched in a row each, with the same result.
     """
+    joined = lambda t, e: _shortest_by_joins(t, e, hops)
+    return _by_graph_size(triples, ends.select(*ENDS).distinct(), _breadth_first_in_row(hops), joined)
+
+
+def _shortest_by_joins(triples: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
     steps = cut(adjacency(triples).select("question_id", "u", "v", F.col("at").cast("bigint").alias("at")), "steps")
 
     def grow(part: DataFrame, forward: bool) -> DataFrame:
@@ -85,7 +161,7 @@ def shortest_paths(triples: DataFrame, ends: DataFrame, hops: int = 4) -> DataFr
         both = heads.join(rest, ["pair", "node"]).select("pair", F.struct(F.concat("key", "more").alias("key"), F.concat("path", "rest").alias("path")).alias("best"))
         return both.groupBy("pair").agg(F.min("best").alias("best")).select("pair", "best.path")
 
-    found = _meet_in_the_middle(ends.select(*ENDS).distinct(), hops, grow, join, settle=True)
+    found = _meet_in_the_middle(ends, hops, grow, join, settle=True)
     drop_cut(steps)
     return found
 
@@ -100,8 +176,13 @@ def capped_paths(paths: DataFrame, ends: DataFrame, most: int = PATHS) -> DataFr
 def simple_paths(triples: DataFrame, ends: DataFrame, hops: int = 3) -> DataFrame:
     """(question_id, start, goal, path) of all directed paths without repeated nodes; parallel edges repeat a path.
 
-    Walks start from both ends and are joined where they meet, each path at one place of it alone.
+    Walks start from both ends and are joined where they meet, each path at one place of it alone. Graphs of few triples
+    are walked in a row each.
     """
+    return _by_graph_size(triples, ends, _walks_in_row(hops), lambda t, e: _walks_by_joins(t, e, hops))
+
+
+def _walks_by_joins(triples: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
     steps = triples.select("question_id", F.col("s").alias("u"), F.col("o").alias("v"))
 
     def grow(part: DataFrame, forward: bool) -> DataFrame:
