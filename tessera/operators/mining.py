@@ -283,10 +283,15 @@ def path_edges(paths: DataFrame) -> DataFrame:
 
 
 def label_edges(triples: DataFrame, paths: DataFrame) -> DataFrame:
-    """``triples`` with label 1 where a path steps along the edge in either direction, else 0."""
-    marked = path_edges(paths).withColumn("hit", F.lit(1))
-    keyed = triples.withColumns({"a": F.least("s", "o"), "b": F.greatest("s", "o")})
-    return keyed.join(marked, ["question_id", "a", "b"], "left").select(*triples.columns, F.coalesce("hit", F.lit(0)).alias("label"))
+    """``triples`` with label 1 where a path steps along the edge in either direction, else 0.
+
+    Marks and triples are rows of one frame and meet in a window, which takes rows that are dealt by question where they are.
+    """
+    kept = F.struct(*(c for c in triples.columns if c != "question_id"))
+    keyed = triples.select("question_id", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), kept.alias("t"), F.lit(0).alias("hit"))
+    marks = path_edges(paths).select("question_id", "a", "b", F.lit(None).cast(keyed.schema["t"].dataType).alias("t"), F.lit(1).alias("hit"))
+    label = F.max("hit").over(Window.partitionBy("question_id", "a", "b"))
+    return keyed.unionByName(marks).withColumn("label", label).where("t IS NOT NULL").select(*(c if c == "question_id" else f"t.{c}" for c in triples.columns), "label")
 
 
 def label_facts(triples: DataFrame, relevant: DataFrame) -> DataFrame:

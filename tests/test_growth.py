@@ -21,7 +21,7 @@ def exchanges(df) -> list[str]:
 
 def test_paths_exchange_lines_alone(spark):
     """Orders are small graphs: their paths, labels and counts need no exchange but that which deals lines by order."""
-    for name in ("hm02_paths_of_all_lengths", "hm02_shortest_paths", "hm10_circular_paths", "hm10_simple_paths", "hm11_path_edges", "hm12_valid_samples"):
+    for name in ("hm02_paths_of_all_lengths", "hm02_shortest_paths", "hm10_circular_paths", "hm10_simple_paths", "hm11_path_edges", "hm12_valid_samples", "hm13_jn18_edge_labels", "hm14_trainable"):
         found = exchanges(queries()[name](spark, SMALL))
         assert found and all(x.startswith("hashpartitioning(l_orderkey") for x in found), (name, found)
 
