@@ -52,3 +52,10 @@ def test_tasks_of_dealt_rows_grow_in_number(spark, monkeypatch):
     more = session.dealt(lines, "l_orderkey")
     assert more.rdd.getNumPartitions() > 2 * parts
     assert more.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 600_000 / parts
+
+
+def test_adjacency_tasks_grow_in_number(spark, monkeypatch):
+    tasks = lambda: [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", " ".join(exchanges(queries()["hm01_adjacency"](spark, "/root/testdata/sf0.1"))))]
+    before = tasks()
+    monkeypatch.setattr(session, "DEAL_BYTES", session.DEAL_BYTES // 32)
+    assert len(before) == 1 and tasks()[0] > 2 * before[0]
