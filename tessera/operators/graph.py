@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.session import cut, drop_cut
+from tessera.session import EXCHANGED, cut, drop_cut, setting
 
 #: Rounds of an iterative operator between two writes of its state.
 CUT_EVERY = 5
@@ -161,8 +161,14 @@ def lineages(edges: DataFrame) -> DataFrame:
 
     Of several parents the largest counts. Ancestors are found by doubling: tables of the ancestor 1, 2, 4, …
     generations above, as many as the logarithm of the longest chain; from the farthest table down each leaf's
-    ancestors double, each found once, and chains are gathered at the end, at the size they have in the result.
+    ancestors double, each found once, and chains are gathered at the end, at the size they have in the result. All joins
+    exchange rows: tables of pointers are small as files, and Spark would send each of them through the driver.
     """
+    with setting(edges.sparkSession, **EXCHANGED):
+        return _lineages(edges)
+
+
+def _lineages(edges: DataFrame) -> DataFrame:
     parent = cut(edges.where("predicate = 'DESCENDS_FROM' AND source_entity_id <> target_entity_id").groupBy(F.col("source_entity_id").alias("child")).agg(F.max("target_entity_id").alias("parent")), "parents", few=True)
     if parent.isEmpty():
         return parent.select(F.col("child").alias("leaf"), F.lit(0).alias("depth"), F.array("child").alias("chain"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tessera import session
-from tessera.operators import mining
+from tessera.operators import graph, mining
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -59,3 +59,14 @@ def test_adjacency_tasks_grow_in_number(spark, monkeypatch):
     before = tasks()
     monkeypatch.setattr(session, "DEAL_BYTES", session.DEAL_BYTES // 32)
     assert len(before) == 1 and tasks()[0] > 2 * before[0]
+
+
+def test_lineages_send_nothing_through_the_driver(spark, monkeypatch):
+    """Every table of a doubling is written from a plan without a broadcast."""
+    plans, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, *a, **b: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a, **b))[1])
+    edges = spark.range(1, 3000).select(F.col("id").alias("source_entity_id"), F.expr("id div 2").alias("target_entity_id"), F.lit("DESCENDS_FROM").alias("predicate"))
+    found = graph.lineages(edges)
+    assert sum("Join" in p for p in plans) > 10 and not any("Broadcast" in p for p in plans)
+    assert found.count() == 1500 and found.agg(F.max("depth")).first()[0] == 13
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
