@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tessera import session
+from tessera.functions import text
 from tessera.operators import graph, mining
 
 SMALL = "/root/testdata/sf0.01"
@@ -70,3 +71,13 @@ def test_lineages_send_nothing_through_the_driver(spark, monkeypatch):
     assert sum("Join" in p for p in plans) > 10 and not any("Broadcast" in p for p in plans)
     assert found.count() == 1500 and found.agg(F.max("depth")).first()[0] == 13
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_detokenized_text_needs_no_places(spark):
+    tokens = [["", "", "a", ",", "", "b", "(", "c", ")", None, ".", "", "", "d"], ["(", "", "x"], [], [""], ["a", "\n", "b"], ["„", "", "", "w", "”", "!"]]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t array<string>")
+    found = rows.select(text.detokenized(F.col("t")).alias("x"), text.detokenize(F.col("t")).alias("y")).collect()
+    assert all(r["x"] == r["y"]["text"] for r in found) and found[0]["x"] == "a, b (c). d"
+    # running sums are folds: the query asks for none
+    plan = queries()["txt09_detokenize"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "detoken" not in plan and "array_join" in plan
