@@ -81,3 +81,11 @@ def test_detokenized_text_needs_no_places(spark):
     # running sums are folds: the query asks for none
     plan = queries()["txt09_detokenize"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and "detoken" not in plan and "array_join" in plan
+
+
+def test_merged_mentions_tasks_grow_in_number(spark, monkeypatch):
+    """Names and chunks are dealt by document, by the size of the scan; merging moves no row again."""
+    monkeypatch.setattr(session, "DEAL_BYTES", 64 << 10)
+    found = [x for x in exchanges(queries()["txt14_merge_mentions"](spark, SMALL)) if "RoundRobin" not in x]
+    assert found and all(x.startswith("hashpartitioning(doc_id") and "REPARTITION_BY_NUM" in x for x in found), found
+    assert all(int(re.search(r", (\d+)\)", x)[1]) > 8 for x in found)
