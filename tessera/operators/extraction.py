@@ -232,3 +232,36 @@ def contexts(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("start_char")
     rows = chunks.join(forms, "chunk_id", "left").withColumn("before", F.lag("chunk_id").over(order)).withColumn("before_forms", F.lag("forms").over(order))
     return rows.select("chunk_id", F.when(F.arrays_overlap("forms", "before_forms"), F.col("before")).alias("context_chunk_id"))
+def bio_spans_of(tokens: Column) -> Column:
+    """array<struct<start_char, end_char, label>>: :func:`bio_spans` of an array of structs with start, end and label, in order."""
+
+    def read(x: Column) -> Column:
+        label = F.upper(F.trim(F.coalesce(x["label"], F.lit("O"))))
+        dash = F.locate("-", label)
+        kind = F.when(dash > 0, F.trim(F.substring(label, dash + 1, F.length(label)))).otherwise(label)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.when(dash > 0, F.substring_index(label, "-", 1)).otherwise("B").alias("prefix"))
+
+    outside = lambda x: F.upper(F.trim(F.coalesce(x["label"], F.lit("O")))).isin("O", "")
+    # what stands outside goes first; its place shows where a span can't go on
+    placed = F.filter(F.transform(tokens, lambda x, i: F.when(~outside(x), F.struct(i.alias("i"), read(x).alias("x")))), lambda t: t.isNotNull())
+
+    def spans(ts: Column) -> Column:
+        def fresh(t: Column, k: Column) -> Column:
+            before = F.get(ts, k - 1)
+            return (k == 0) | (before["i"] < t["i"] - 1) | (t["x"]["prefix"] == "B") | (before["x"]["kind"] != t["x"]["kind"])
+
+        begins = F.filter(F.transform(ts, lambda t, k: F.when(fresh(t, k), k)), lambda k: k.isNotNull())
+
+        def one(bs: Column) -> Column:
+            def span(b: Column, n: Column) -> Column:
+                end = F.coalesce(F.get(bs, n + 1), F.size(ts))
+                start = F.array_min(F.transform(F.slice(ts, b + 1, end - b), lambda t: t["x"]["start"]))
+                return F.struct(start.alias("start_char"), F.get(ts, end - 1)["x"]["end"].alias("end_char"), F.get(ts, b)["x"]["kind"].alias("label"))
+
+            return F.filter(F.transform(bs, span), lambda s: s["end_char"] > s["start_char"])
+
+        return T.let(begins, one)
+
+    return T.let(placed, spans)
+
+
