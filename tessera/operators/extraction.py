@@ -83,6 +83,17 @@ def regex_mentions(chunks: DataFrame, fictional_source: str, confidence: float =
     return _with_ids(rows.withColumn("entity_type", kind).withColumn("confidence", F.lit(0.6 if advanced else confidence)))
 
 
+def advanced_mentions(chunks: DataFrame, fictional_source: str, confidence: float = 0.5) -> DataFrame:
+    """The rows of :func:`regex_mentions` and of its ``advanced`` form; the expression runs once a chunk and an id is made once for both."""
+    found = chunks.select("chunk_id", "doc_id", "source", F.col("start_char").alias("base"), F.explode(T.match_spans(F.col("text"), T.NAME)).alias("m"))
+    rows = found.select("chunk_id", "doc_id", "source", F.col("m.token").alias("surface"), (F.col("base") + F.col("m.start")).alias("start_char"), (F.col("base") + F.col("m.end")).alias("end_char"))
+    first, second = T.is_name(F.col("surface")), T.is_name(F.col("surface"), vocab.STOPWORDS_SHORT, ())
+    kind = F.when(F.col("source") == fictional_source, "Character").otherwise("Person")
+    lists = F.array_compact(F.array(F.when(first, F.lit(confidence)), F.when(second, F.lit(0.6))))
+    ids = _with_ids(rows.where(first | second).withColumn("entity_type", kind).withColumn("lists", lists))
+    return ids.select(*rows.columns, "entity_type", F.explode("lists").alias("confidence"), "mention_id", "entity_id")
+
+
 FOUND = "array<struct<surface:string,start:int,end:int,label:string,score:double>>"
 
 
@@ -175,7 +186,7 @@ def extract_mentions(docs: DataFrame, chunks: DataFrame, gold_source: str, ficti
     elif engine == "ensemble":
         found = merge_mentions(regex_mentions(rest, fictional_source), model_mentions(rest, provider, fictional_source, cache))
     elif engine == "advanced":
-        found = vote_overlaps(regex_mentions(rest, fictional_source).unionByName(regex_mentions(rest, fictional_source, advanced=True))).drop("merged_from")
+        found = vote_overlaps(advanced_mentions(rest, fictional_source)).drop("merged_from")
     else:
         raise ValueError(f"unknown engine {engine!r}")
     return spanned.unionByName(found)
@@ -204,12 +215,20 @@ def vote_overlaps(mentions: DataFrame) -> DataFrame:
         return F.struct(F.when(fresh, m["end_char"]).otherwise(acc["anchor"]).alias("anchor"), run.alias("run"), F.concat(acc["runs"], F.array(run)).alias("runs"))
 
     rows = sorted_.withColumn("runs", F.aggregate("ms", start, step)["runs"]).select("doc_id", "chunk_id", "source", F.inline(F.arrays_zip("ms", "runs"))).select("doc_id", "chunk_id", "source", F.col("runs").alias("run"), "ms.*")
-    key = ["doc_id", "chunk_id", "source", "run"]
-    votes = rows.groupBy(*key, "entity_type").agg(F.sum("confidence").alias("votes"), F.min(F.struct("start_char", "end_char", "mention_id")).alias("first"))
-    chosen = votes.groupBy(*key).agg(F.max_by("entity_type", F.struct("votes", (-F.col("first.start_char")).alias("a"), (-F.col("first.end_char")).alias("b"))).alias("entity_type"))
+    # rows stay where their chunk is: a run is one group, and its votes by type are counted in its row
     best = F.max_by(F.struct("start_char", "end_char", "surface"), F.struct("confidence", (-F.col("start_char")).alias("a"), (-F.col("end_char")).alias("b")))
-    merged = rows.groupBy(*key).agg(best.alias("m"), F.least(F.avg("confidence"), F.lit(1.0)).alias("confidence"), F.count(F.lit(1)).alias("merged_from"))
-    out = merged.join(chosen, key).select("doc_id", "chunk_id", "source", "m.*", "entity_type", "confidence", "merged_from")
+    ballots = F.collect_list(F.struct("entity_type", "confidence", "start_char", "end_char", "mention_id"))
+    merged = rows.groupBy("doc_id", "chunk_id", "source", "run").agg(best.alias("m"), F.least(F.avg("confidence"), F.lit(1.0)).alias("confidence"), F.count(F.lit(1)).alias("merged_from"), ballots.alias("ballots"))
+
+    def stand(kind: Column) -> Column:
+        mine = F.filter("ballots", lambda v: v["entity_type"] == kind)
+        first = F.array_min(F.transform(mine, lambda v: F.struct(v["start_char"].alias("a"), v["end_char"].alias("b"), v["mention_id"].alias("id"))))
+        votes = F.aggregate(mine, F.lit(0.0), lambda n, v: n + v["confidence"])
+        return F.struct(votes.alias("votes"), (-first["a"]).alias("a"), (-first["b"]).alias("b"), kind.alias("entity_type"))
+
+    kinds = F.array_distinct(F.transform("ballots", lambda v: v["entity_type"]))
+    chosen = F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise(F.array_max(F.transform(kinds, stand))["entity_type"])
+    out = merged.select("doc_id", "chunk_id", "source", "m.*", chosen.alias("entity_type"), "confidence", "merged_from")
     return _with_ids(out)
 
 
@@ -226,12 +245,6 @@ def bio_spans(tokens: DataFrame) -> DataFrame:
     return spans.where("end_char > start_char").drop("island")
 
 
-def contexts(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(chunk_id, context_chunk_id): the previous chunk of a document, if both share a normal form."""
-    forms = mentions.groupBy("chunk_id").agg(F.collect_set(T.normalize_mention(F.col("surface"))).alias("forms"))
-    order = Window.partitionBy("doc_id").orderBy("start_char")
-    rows = chunks.join(forms, "chunk_id", "left").withColumn("before", F.lag("chunk_id").over(order)).withColumn("before_forms", F.lag("forms").over(order))
-    return rows.select("chunk_id", F.when(F.arrays_overlap("forms", "before_forms"), F.col("before")).alias("context_chunk_id"))
 def bio_spans_of(tokens: Column) -> Column:
     """array<struct<start_char, end_char, label>>: :func:`bio_spans` of an array of structs with start, end and label, in order."""
 
@@ -265,3 +278,9 @@ def bio_spans_of(tokens: Column) -> Column:
     return T.let(placed, spans)
 
 
+def contexts(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, context_chunk_id): the previous chunk of a document, if both share a normal form."""
+    forms = mentions.groupBy("chunk_id").agg(F.collect_set(T.normalize_mention(F.col("surface"))).alias("forms"))
+    order = Window.partitionBy("doc_id").orderBy("start_char")
+    rows = chunks.join(forms, "chunk_id", "left").withColumn("before", F.lag("chunk_id").over(order)).withColumn("before_forms", F.lag("forms").over(order))
+    return rows.select("chunk_id", F.when(F.arrays_overlap("forms", "before_forms"), F.col("before")).alias("context_chunk_id"))
