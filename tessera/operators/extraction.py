@@ -56,7 +56,8 @@ def chunk_documents(docs: DataFrame, target: int = 250, overlap: int = 40, token
 
         docs = docs.select("doc_id", "source", "text", offsets("text").alias("__tokens"))
         places = T.chunks(F.col("__tokens"), target, overlap)
-    spans = docs.select("doc_id", "source", "text", F.explode(places).alias("c"))
+    # outer: else Spark first asks whether there are places, and makes all of them for that once more
+    spans = docs.select("doc_id", "source", "text", F.explode_outer(places).alias("c")).where("c IS NOT NULL")
     return spans.select(
         T.stable_id("chunk", F.col("doc_id"), F.col("c.start"), F.col("c.end")).alias("chunk_id"),
         "doc_id", "source", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), T.span_text(F.col("text"), F.col("c.start"), F.col("c.end")).alias("text"),

@@ -82,29 +82,59 @@ def mention_relations(chunks: DataFrame, mentions: DataFrame, most: int = SENTEN
     return found.select("source_entity_id", "predicate", "target_entity_id", "doc_id", "chunk_id", "source", "confidence", T.compact(F.col("sentence")).alias("evidence_text"), "rel_type", "pos")
 
 
-def semantic_relations(chunks: DataFrame, mentions: str = "mentions", between_only: bool = False, patterns: tuple = vocab.SEMANTIC_PATTERNS) -> DataFrame:
+def all_pairs(rows: DataFrame, items: str) -> DataFrame:
+    """``rows`` with a, b and n of all pairs i < j of the array ``items``, which goes; n is the place of a pair in order of (i, j).
+
+    Items meet by two explodes: no array of all pairs is built, and what isn't asked of a pair isn't copied.
+    """
+    rest = [c for c in rows.columns if c != items]
+    # outer: else Spark first asks whether the array is empty, and makes all of it for that once more
+    heads = rows.select(*rest, items, F.posexplode_outer(items).alias("__i", "a")).where("__i IS NOT NULL")
+    pairs = heads.select(*rest, "__i", "a", F.size(items).alias("__size"), F.posexplode(F.slice(items, F.col("__i") + 2, F.size(items))).alias("__d", "b"))
+    i, size = F.col("__i").cast("bigint"), F.col("__size")
+    return pairs.select(*rest, "a", "b", (F.shiftright(i * (2 * size - i - 1), 1) + F.col("__d")).alias("n"))
+
+
+def semantic_relations(chunks: DataFrame, mentions: str = "mentions", between_only: bool = False, patterns: tuple = vocab.SEMANTIC_PATTERNS, evidence: bool = True, digits: int | None = None) -> DataFrame:
     """Relations whose keywords stand between two mentions or, unless ``between_only``, anywhere in their chunk.
 
     ``chunks``: chunk_id, doc_id, source, start_char, text and ``mentions`` (structs with entity_id, start_char,
-    end_char). Keywords are counted once a chunk; symmetric predicates give both directions.
+    end_char). Keywords are counted once a chunk; symmetric predicates give both directions. Without ``evidence`` the
+    text between two mentions is not cut out and ``evidence_text`` is null; then mentions need no places. ``digits``
+    rounds the confidence, where it is that of the chunk before the pairs are made.
     """
-    lower = F.lower("text")
+    places = evidence or between_only
+    item = F.col(mentions) if places else F.transform(mentions, lambda m: F.struct(m["entity_id"].alias("entity_id")))
     kinds = F.array(*(F.struct(F.lit(p).alias("predicate"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(c).alias("base"), F.lit(s).alias("symmetric")) for p, k, c, s in patterns))
-    pairs = chunks.withColumn("low", lower).select("*", F.posexplode(kinds).alias("k", "kind")).select(
-        "chunk_id", "doc_id", "source", "start_char", "text", "low", "k", "kind", F.filter("kind.keywords", lambda k: F.contains(F.col("low"), k)).alias("here"), mentions
-    )
+    rest = ["chunk_id", "doc_id", "source", *(["start_char", "text"] if places else [])]
+    rows = chunks.select(*rest, F.lower("text").alias("low"), item.alias("items")).select("*", F.posexplode(kinds).alias("k", "kind"))
     # no keyword in the chunk, none between its mentions
-    pairs = pairs.where(F.size("here") > 0).select("*", F.posexplode(ordered_pairs(F.col(mentions), None)).alias("n", "p"))
-    a, b = F.col("p.a"), F.col("p.b")
-    lo, hi = F.least(a["end_char"], b["end_char"]), F.greatest(a["start_char"], b["start_char"])
-    between = T.span_text(F.col("text"), lo - F.col("start_char"), hi - F.col("start_char"))
-    hits = F.size(F.filter("here", lambda k: F.contains(F.lower("between"), k))) if between_only else F.size("here")
-    found = pairs.withColumn("between", between).withColumn("hits", hits).where("hits > 0")
-    ends = F.struct(a["entity_id"].alias("s"), b["entity_id"].alias("t")), F.struct(b["entity_id"].alias("s"), a["entity_id"].alias("t"))
-    out = found.withColumn("e", F.explode(F.when(F.col("kind.symmetric"), F.array(*ends)).otherwise(F.array(ends[0]))))
-    return out.select(
-        F.col("e.s").alias("source_entity_id"), F.col("kind.predicate").alias("predicate"), F.col("e.t").alias("target_entity_id"), "doc_id", "chunk_id", "source",
-        F.least(F.col("kind.base") + 0.05 * (F.col("hits") - 1), F.lit(0.95)).alias("confidence"), F.substring("between", 1, 200).alias("evidence_text"), F.lit("semantic_pattern").alias("rel_type"),
+    rows = rows.select(*rest, "items", "k", "kind", F.filter("kind.keywords", lambda k: F.contains(F.col("low"), k)).alias("here")).where(F.size("here") > 0)
+
+    def confidence(hits: Column) -> Column:
+        found = F.least(F.col("kind.base") + 0.05 * (hits - 1), F.lit(0.95))
+        return found if digits is None else F.round(found, digits)
+
+    # directions before pairs: a pair is then two rows and no array
+    forward = F.explode(F.when(F.col("kind.symmetric"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("forward")
+    if between_only:
+        rows = rows.select(*rest, "items", "k", "kind", "here", forward)
+    else:
+        rows = rows.select(*rest, "items", "k", F.col("kind.predicate").alias("predicate"), confidence(F.size("here")).alias("confidence"), forward)
+    pairs = all_pairs(rows, "items")
+    a, b = F.col("a"), F.col("b")
+    evidence_text = F.lit(None).cast("string")
+    if places:
+        lo, hi = F.least(a["end_char"], b["end_char"]), F.greatest(a["start_char"], b["start_char"])
+        pairs = pairs.withColumn("between", T.span_text(F.col("text"), lo - F.col("start_char"), hi - F.col("start_char")))
+    if evidence:
+        evidence_text = F.substring("between", 1, 200)
+    if between_only:
+        hits = F.size(F.filter("here", lambda k: F.contains(F.lower("between"), k)))
+        pairs = pairs.withColumn("hits", hits).where("hits > 0").withColumn("predicate", F.col("kind.predicate")).withColumn("confidence", confidence(F.col("hits")))
+    return pairs.select(
+        F.when(F.col("forward"), a["entity_id"]).otherwise(b["entity_id"]).alias("source_entity_id"), "predicate", F.when(F.col("forward"), b["entity_id"]).otherwise(a["entity_id"]).alias("target_entity_id"), "doc_id", "chunk_id", "source",
+        "confidence", evidence_text.alias("evidence_text"), F.lit("semantic_pattern").alias("rel_type"),
         (F.col("k").cast("bigint") * PLACES + F.col("n")).alias("pos"),
     )
 
@@ -113,9 +143,10 @@ def temporal_relations(chunks: DataFrame, mentions: str = "mentions", indicators
     """Pairs of event mentions of a chunk under the first temporal class that has an indicator in the chunk."""
     low = F.lower("text")
     kind = F.coalesce(*(F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(name)) for name, words in indicators))
-    events = F.filter(mentions, lambda m: m["entity_type"] == "Event")
-    pairs = chunks.withColumn("predicate", kind).where("predicate IS NOT NULL").select("chunk_id", "doc_id", "source", "predicate", F.posexplode(ordered_pairs(events, None)).alias("n", "p"))
-    return pairs.select(F.col("p.a.entity_id").alias("source_entity_id"), "predicate", F.col("p.b.entity_id").alias("target_entity_id"), "doc_id", "chunk_id", "source", F.lit(0.7).alias("confidence"), F.lit("temporal").alias("rel_type"), (F.lit(len(vocab.SEMANTIC_PATTERNS)).cast("bigint") * PLACES + F.col("n")).alias("pos"))
+    events = F.transform(F.filter(mentions, lambda m: m["entity_type"] == "Event"), lambda m: m["entity_id"])
+    rows = chunks.withColumn("predicate", kind).where("predicate IS NOT NULL").select("chunk_id", "doc_id", "source", "predicate", events.alias("items"))
+    pairs = all_pairs(rows, "items")
+    return pairs.select(F.col("a").alias("source_entity_id"), "predicate", F.col("b").alias("target_entity_id"), "doc_id", "chunk_id", "source", F.lit(0.7).alias("confidence"), F.lit("temporal").alias("rel_type"), (F.lit(len(vocab.SEMANTIC_PATTERNS)).cast("bigint") * PLACES + F.col("n")).alias("pos"))
 
 
 def type_allows(predicate: Column, source_type: Column, target_type: Column, owns_places: bool = False) -> Column:
