@@ -37,6 +37,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ from tessera.session import cut, drop_cut, row_hash, small_batches
 CHUNK_DOCS, CHUNK_TOKENS = 256, 200_000
 #: Bundles that the grouping step holds at a time, about.
 TASK_BUNDLES = 500_000
+#: Passes over the bundles, at most, and bundles of one at least: each exchanges a share of them, and its shuffle files go with it.
+PASSES, PASS_BUNDLES = 4, 4_000_000
 #: Bytes of bundles that are packed together, and sets: a set's number in a pack takes two bytes.
 PACK_BYTES, PACK_SETS = 4 << 20, 1 << 16
 #: Bytes of a bundle that travel; 56 bits with the one that tells guests. Chance hits are judged like other candidates.
@@ -220,8 +223,8 @@ def widen(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
-def _pack(parts: int):
-    """Bundles dealt into parts, a few packed rows at a time: (part, bundles, owner among the digests, digests)."""
+def _pack(parts: int, number: int = 0, of: int = 1):
+    """Bundles dealt into parts, a few packed rows at a time: (part, bundles, owner among the digests, digests); every ``of``-th part only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, bytes] = {}
@@ -235,7 +238,10 @@ def _pack(parts: int):
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
             digests = np.frombuffer(b"".join(held), "V16")
             to = ((values >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            here = np.flatnonzero(to % of == number)
+            if not len(here):
+                return
+            order = here[np.argsort(to[here], kind="stable")]
             for piece in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                 who, local = np.unique(owner[piece], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array([int(to[piece[0]])], pa.int32()), pa.array([narrow(values[piece])], pa.binary()), pa.array([local.astype(np.uint16).tobytes()], pa.binary()), pa.array([digests[who].tobytes()], pa.binary())], names=["part", "bundles", "owner", "digests"])
@@ -302,16 +308,21 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _shared_of_part(values, owner, digests)
 
 
-def _shared_bundles(sketched: DataFrame) -> DataFrame:
-    """(bundle, digest, first): the sets that share a bundle with another, and the smallest digest of the bundle.
+def _shared_bundles(sketched: DataFrame) -> list[DataFrame]:
+    """(bundle, digest, first): the sets that share a bundle with another, and the smallest digest of the bundle; written, a table a pass.
 
-    Bundles travel packed; a task sorts the packed rows by part and holds one part of bundles at a time.
+    Bundles travel packed; a task sorts the packed rows by part and holds one part of bundles at a time. Equal bundles are in one
+    part and so in one pass: passes see all bundles, but only those of one are on disk twice.
     """
     spark = sketched.sparkSession
-    total = sketched.agg(F.sum(F.octet_length("bundles")) / 8).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_BUNDLES) + 1)
-    packed = sketched.where("digest IS NOT NULL").select("digest", "bundles").mapInArrow(_pack(parts), "part int, bundles binary, owner binary, digests binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_match, "bundle bigint, digest binary, first binary")
+    total = int(sketched.agg(F.sum(F.octet_length("bundles")) / 8).first()[0] or 0)
+    of = min(PASSES, total // PASS_BUNDLES + 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (TASK_BUNDLES * of) + 1)
+    found = []
+    for number in range(of):
+        packed = sketched.where("digest IS NOT NULL").select("digest", "bundles").mapInArrow(_pack(tasks * of, number, of), "part int, bundles binary, owner binary, digests binary")
+        found.append(cut(packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_match, "bundle bigint, digest binary, first binary"), "shared-bundles"))
+    return found
 
 
 def _chunk_pairs(lists: DataFrame) -> DataFrame:
@@ -401,7 +412,11 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     levels = Levels(threshold)
     small_batches(docs.sparkSession)
     sketched = cut(sketch(docs, n, threshold, id_col, text_col), "shingle-sketch")
-    entries = cut(_shared_bundles(sketched), "shared-bundles")
+    passes = _shared_bundles(sketched)
+    entries = reduce(DataFrame.unionByName, passes)
+    # bundles have done their work, and are most of the sketch
+    whole, sketched = sketched, cut(sketched.drop("bundles"), "shingle-sets")
+    drop_cut(whole)
     grouped = entries.groupBy("digest").agg(F.min("first").alias("group"))
     # one row a set before the join: copies are combined ahead of the exchange and never meet in one task
     reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.min("id").alias("id"))
@@ -438,7 +453,7 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     least = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first_id"))
     rooted = least.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first_id", F.coalesce("component", "digest").alias("root"))
     rooted = cut(rooted, "rooted", few=True)
-    drop_cut(entries, members, placed, content, opened)
+    drop_cut(*passes, members, placed, content, opened)
     if per_row:
         rows = sketched.where("digest IS NOT NULL").select("id", "h", "digest").join(rooted.select("digest", F.col("root").alias("component")), "digest").select("id", "h", "component")
         rows._reads = (sketched, rooted)
